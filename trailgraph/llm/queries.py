@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, sharding, url_filter
-from .common import read_table
+from . import decontaminate, html_text, licenses, mixing, quality, search, sharding, simhash, token_counts, url_filter
+from .common import read_table, shared_path
 
 N_SHARDS = 24
 
@@ -18,10 +18,32 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: every document whose id is divisible by 100, with its whole text, against all documents."""
+    docs = read_table(spark, sf_dir, "documents")
+    queries = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    return search.top_k(docs, queries)
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sure = F.filter("findings", lambda f: f["confirmed"])
+    return found.select(
+        "doc_id",
+        F.size("findings").cast("long").alias("n_paragraphs"),
+        F.size(sure).cast("long").alias("n_confirmed"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda f: f["family"]))), ",").alias("families"),
+    )
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(read_table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, _ = sharding.assign(read_table(spark, sf_dir, "documents"), N_SHARDS)
     return placed.select(
@@ -29,15 +51,38 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after one batch that inserts every document."""
+    name = "byte_bpe_50k"
+    rollup = token_counts.Rollup(spark, shared_path(spark, "token-rollup"), {name: token_counts.load_vocabulary(name)})
+    rollup.commit("documents", read_table(spark, sf_dir, "documents").withColumn("op", F.lit(token_counts.INSERT)))
+    return rollup.totals()
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_search": op2_search,
+    "op3_licenses": op3_licenses,
     "op4_decontaminate": op4_decontaminate,
+    "op5_simhash": op5_simhash,
     "op6_sharding": op6_sharding,
+    "op7_quality": op7_quality,
+    "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
+    "op10_html_text": op10_html_text,
 }
 
 
