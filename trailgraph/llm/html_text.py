@@ -2,7 +2,7 @@
 
 A page is cut into leaf blocks (runs of text between block-level tags).  Each
 block has features of its ancestors (tags, words of class and id) and of its
-text (length, link share, punctuation, place).  The field labels the chain of
+text (length, link share, punctuation).  The field labels the chain of
 blocks as content or not; weights are fitted by gradient ascent on the
 conditional likelihood (forward-backward) over labelled pages, and Viterbi
 decodes.  The labelled pages are composed by ``labelled_pages`` from public
@@ -37,11 +37,8 @@ BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
-HIDDEN_TAGS = "script|style|noscript|template|textarea|title|select|svg|iframe|object|math|head"
 #: An element of the key's tag ends an open one of these tags, up to the nearest container.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-LISTS = frozenset("ul ol menu dl table".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -51,6 +48,8 @@ _TOKEN = re.compile(
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
+#: Elements between a link and its text at most; a deeper one does not count for the share of linked text.
+LINK_DEPTH = 8
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -68,7 +67,7 @@ def blocks(page: str | None) -> list[Block]:
     found: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     run: list[str] = []
-    linked, links = 0, 0
+    linked, links = 0, False
 
     def flush() -> None:
         nonlocal run, linked
@@ -107,9 +106,8 @@ def blocks(page: str | None) -> list[Block]:
                         break
             attrs = token["attrs"]
             names = tuple(w for a in _NAMES.finditer(attrs) for w in _WORD.findall(a[2].lower())) if "=" in attrs else ()
-            if not attrs.rstrip().endswith("/") or tag in BLOCK_TAGS:
-                stack.append((tag, names))
-        links = sum(t == "a" for t, _ in stack)
+            stack.append((tag, names))
+        links = "a" in (t for t, _ in stack[-LINK_DEPTH:])
     flush()
     return found
 
@@ -117,7 +115,7 @@ def blocks(page: str | None) -> list[Block]:
 def features(chain: list[Block]) -> list[list[str]]:
     """The features of each block of a page."""
     result = []
-    for i, b in enumerate(chain):
+    for b in chain:
         n = b.text.count(" ") + 1
         share = b.linked / max(1, len(b.text))
         own = next((t for t in reversed(b.tags) if t in BLOCK_TAGS), "none")
@@ -129,10 +127,6 @@ def features(chain: list[Block]) -> list[list[str]]:
             got.append("copyright")
         if "|" in b.text or "·" in b.text or "»" in b.text[:-1]:
             got.append("bars")
-        if i == 0:
-            got.append("first")
-        if i == len(chain) - 1:
-            got.append("last")
         result.append(got)
     return result
 
@@ -207,7 +201,7 @@ def _add(a: float, b: float) -> float:
     return m + log(exp(a - m) + exp(b - m))
 
 
-def fit(pages: list[tuple[list[list[str]], list[int]]], epochs: int = 8, rate: float = 0.2, decay: float = 1e-3) -> Field:
+def fit(pages: list[tuple[list[list[str]], list[int]]], epochs: int = 12, rate: float = 0.5, decay: float = 1e-3) -> Field:
     """Gradient ascent with per-weight rates; the same pages give the same field."""
     field, seen = Field(), defaultdict(lambda: [1e-6, 1e-6])
     step_seen = [[1e-6, 1e-6], [1e-6, 1e-6]]
@@ -315,8 +309,8 @@ def labelled_pages(n: int = 500, seed: int = 11) -> list[tuple[str, list[int]]]:
     """Composed pages with the label of each leaf block."""
     rng, pages = random.Random(seed), []
     for _ in range(n):
-        before = rng.sample(["nav", "header", "ad", "notice", "form", "aside"], rng.randint(1, 4))
-        after = [k for k in rng.sample(["comments", "aside", "ad", "form", "share", "nav"], rng.randint(0, 4))] + ["footer"] * (rng.random() < 0.9)
+        before = rng.sample(["nav", "header", "ad", "notice", "form", "aside"], rng.choice([0, 0, 1, 2, 3, 4]))
+        after = [k for k in rng.sample(["comments", "aside", "ad", "form", "share", "nav"], rng.choice([0, 0, 1, 2, 3, 4]))] + ["footer"] * (rng.random() < 0.8)
         parts, labels = [], []
 
         def put(kind: str, parts=parts, labels=labels) -> None:

@@ -33,7 +33,7 @@ from .common import small_batches
 
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the public pre-tokenizer pattern of this vocabulary.
-PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 INSERT, DELETE, REVISE = "insert", "delete", "revise"
 _GROUP = ("source", "lang", "tokenizer")
