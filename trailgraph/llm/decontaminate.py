@@ -9,9 +9,10 @@ length bound (the window must fit into the document) and the positional bound
 verification compares the words of the window exactly.
 
 Words become numbers by the vocabulary of the benchmark block; every other
-word is 0 and never matches.  The benchmark is read in blocks of bounded size,
-each of which is broadcast; documents are scanned once for each block, and
-nothing is shuffled but hits when there is more than one block.
+word is 0 and never matches.  The benchmark is read in blocks of bounded
+size, and a pass over the documents broadcasts a bounded number of them; a
+larger benchmark takes more passes, between which each row carries a bit for
+each of its words and the items found.  Nothing is shuffled.
 
 Defined cases
 -------------
@@ -34,12 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import cut, small_batches
 
 WINDOW = 10
 SHINGLE = 3
-#: Benchmark text that one broadcast block may hold.
+#: Benchmark text that one block may hold, and blocks that one pass broadcasts.
 BLOCK_BYTES = 4 << 20
+BLOCKS_PER_PASS = 4
 
 #: A-Z to a-z; what is no digit, letter or byte of a non-ASCII character becomes a blank.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -57,7 +59,10 @@ class Index:
 
     vocabulary: dict[bytes, int]
     groups: list[tuple] = field(default_factory=list)
-    items: list[list[str]] = field(default_factory=list)
+    names: list[str] = field(default_factory=list)
+    #: items of window w: ``items[first[w] : first[w + 1]]``, as places in ``names``
+    first: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.int64))
+    items: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int32))
 
 
 def _codes(ids: np.ndarray, length: int, base: int) -> np.ndarray:
@@ -71,19 +76,23 @@ def _codes(ids: np.ndarray, length: int, base: int) -> np.ndarray:
 
 def build_index(items: list[tuple[str, str | None]], window: int = WINDOW, shingle: int = SHINGLE) -> Index:
     index = Index({})
-    windows: dict[tuple[int, ...], set[str]] = defaultdict(set)
+    windows: dict[tuple[int, ...], set[int]] = defaultdict(set)
+    place_of: dict[str, int] = {}
     for name, text in items:
+        number = place_of.setdefault(name, len(place_of))
         ids = [index.vocabulary.setdefault(w, len(index.vocabulary) + 1) for w in words(text)]
         if ids:
             size = min(window, len(ids))
             for i in range(len(ids) - size + 1):
-                windows[tuple(ids[i : i + size])].add(name)
+                windows[tuple(ids[i : i + size])].add(number)
     if len(index.vocabulary) + 1 >= 1 << 20:
         raise ValueError("a benchmark block holds too many different words; lower BLOCK_BYTES")
     base = len(index.vocabulary) + 1
     by_length: dict[int, list[tuple[int, ...]]] = defaultdict(list)
     for w in sorted(windows):
         by_length[len(w)].append(w)
+    index.names = list(place_of)
+    listed: list[list[int]] = []
     for size, own in sorted(by_length.items()):
         length = min(shingle, size)
         matrix = np.array(own, dtype=np.int64)
@@ -93,9 +102,10 @@ def build_index(items: list[tuple[str, str | None]], window: int = WINDOW, shing
         place = rarity.argmin(axis=1)  # the necessary prefix: the rarest shingle, the first among equals
         prefix = codes[np.arange(len(own)), place]
         order = np.argsort(prefix, kind="stable")
-        first = len(index.items)
-        index.items += [sorted(windows[w]) for w in own]
-        index.groups.append((size, length, prefix[order], place[order], order + first, matrix[order]))
+        index.groups.append((size, length, prefix[order], place[order].astype(np.int32), (order + len(listed)).astype(np.int32), matrix[order].astype(np.int32)))
+        listed += [sorted(windows[w]) for w in own]
+    index.first = np.cumsum([0, *map(len, listed)])
+    index.items = np.fromiter((i for own in listed for i in own), dtype=np.int32)
     return index
 
 
@@ -131,8 +141,8 @@ def match(index: Index, text: str | bytes | None) -> tuple[int, np.ndarray, set[
             start, entry = start[same], entry[same]
         for k in range(size):
             hit[start + k] = True
-        for w in set(window[entry].tolist()):
-            found.update(index.items[w])
+        for w in np.unique(window[entry]).tolist():
+            found.update(index.names[i] for i in index.items[index.first[w] : index.first[w + 1]].tolist())
     return len(own), hit, found
 
 
@@ -154,43 +164,72 @@ def digest(items) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
+def _passes(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int, block_bytes: int) -> list[list]:
+    """Broadcast indexes by pass; at least one pass, maybe without any."""
+    broadcast = docs.sparkSession.sparkContext.broadcast
+    indexes = [broadcast(build_index(b, window, shingle)) for b in blocks(benchmark, block_bytes)]
+    return [indexes[i : i + BLOCKS_PER_PASS] for i in range(0, max(1, len(indexes)), BLOCKS_PER_PASS)]
+
+
+def _marks(text: bytes | None, indexes: list) -> tuple[np.ndarray, set[str]]:
+    """Which words any of the blocks hits, and the items found."""
+    hit, found = None, set()
+    for index in indexes:
+        _, own, items = match(index.value, text)
+        hit = own if hit is None else hit | own
+        found |= items
+    return (np.zeros(len(words(text)), dtype=bool) if hit is None else hit), found
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES, key: str = "doc_id") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of ``docs``."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    indexes = [spark.sparkContext.broadcast(build_index(b, window, shingle)) for b in blocks(benchmark, block_bytes)]
+    small_batches(docs.sparkSession)
+    passes = _passes(docs, benchmark, window, shingle, block_bytes)
     kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(key, "text")
+
+    def run(indexes: list, last: bool):
+        def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = batch.column(1).cast(pa.large_binary())
+                made = []
+                for i, text in enumerate(texts):
+                    hit, found = _marks(text.as_py(), indexes)
+                    if batch.num_columns > 2:  # what earlier passes have found
+                        hit |= np.unpackbits(np.frombuffer(batch.column(2)[i].as_py(), dtype=np.uint8))[: len(hit)].astype(bool)
+                        found.update(batch.column(3)[i].as_py())
+                    made.append((len(hit), int(hit.sum()), len(found), digest(found), bool(hit.any())) if last else (np.packbits(hit).tobytes(), sorted(found)))
+                fields = _RESULT if last else _STATE
+                columns = list(zip(*made, strict=True)) or [[]] * len(fields)
+                arrays = [pa.array(c, type=t) for c, (_, t) in zip(columns, fields, strict=True)]
+                kept = batch.columns[: 1 if last else 2]
+                yield pa.RecordBatch.from_arrays([*kept, *arrays], names=[key, "text"][: len(kept)] + [n for n, _ in fields])
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for text in batch.column(1).cast(pa.large_binary()):
-                value = text.as_py()
-                n, hit, found = len(words(value)) if not indexes else 0, None, set()
-                for index in indexes:  # a word that any block hits is hit
-                    n, own, items = match(index.value, value)
-                    hit = own if hit is None else hit | own
-                    found |= items
-                n_hit = 0 if hit is None else int(hit.sum())
-                out.append((n, n_hit, len(found), digest(found), n_hit > 0))
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
-            arrays = [batch.column(0), *(pa.array(c, type=t) for c, t in zip(columns, types, strict=True))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[key, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-
-    return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+        return marked
+
+    for indexes in passes[:-1]:
+        rows = cut(rows.mapInArrow(run(indexes, False), f"{key} {kind}, text string, hits binary, found array<string>"))
+    return rows.mapInArrow(run(passes[-1], True), f"{key} {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+
+
+_RESULT = (("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()))
+_STATE = (("hits", pa.binary()), ("found", pa.list_(pa.string())))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` without a single hit word, with all their columns."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    indexes = [spark.sparkContext.broadcast(build_index(b, window, shingle)) for b in blocks(benchmark, block_bytes)]
+    small_batches(docs.sparkSession)
     place = docs.columns.index("text")
 
-    def run(batches):
-        for batch in batches:
-            keep = [not any(match(i.value, text.as_py())[1].any() for i in indexes) for text in batch.column(place).cast(pa.large_binary())]
-            yield batch.filter(pa.array(keep, type=pa.bool_()))
+    def run(indexes: list):
+        def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = [not any(match(i.value, text.as_py())[1].any() for i in indexes) for text in batch.column(place).cast(pa.large_binary())]
+                yield batch.filter(pa.array(keep, type=pa.bool_()))
+
+        return kept
 
-    return docs.mapInArrow(run, docs.schema)
+    passes = _passes(docs, benchmark, window, shingle, block_bytes)
+    for indexes in passes[:-1]:
+        docs = cut(docs.mapInArrow(run(indexes), docs.schema))
+    return docs.mapInArrow(run(passes[-1]), docs.schema)
