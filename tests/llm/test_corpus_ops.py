@@ -164,9 +164,9 @@ def test_search_against_brute_force(spark):
     texts = [" ".join(rng.choices(vocabulary, k=rng.randint(1, 80))) for _ in range(500)] + [None, "", "w1 w2", "w1 w2"]
     table = docs(spark, [(i, t, "s") for i, t in enumerate(texts)])
     queries = spark.createDataFrame([(i, texts[i]) for i in (0, 7, 500, 501, 502)] + [(99, "nothingknown")], "query_id long, text string")
-    for size in (1 << 30, 4000):  # one shard and many
+    for size, block in ((1 << 30, 1000), (4000, 1000), (8000, 2)):  # one shard and many, one block of queries and several
         got = {}
-        for r in search.top_k(table, queries, 5, size).collect():
+        for r in search.top_k(table, queries, 5, size, block).collect():
             got.setdefault(r.query_id, {})[r["rank"]] = (r.doc_id, r.score)
         own = [Counter(words(t)) for t in texts]
         lengths = [sum(c.values()) for c in own]
