@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import schemas
 from .fixture import Network
 from .functions import geo, tags
 from .functions.storage import checkpoint_dir, materialise
@@ -158,6 +159,29 @@ def e7_quantize(spark, sf_dir):
     return Network(spark, sf_dir).nodes().select("osm_id", geo.to_e7(F.col("lat") + 0.00000005).alias("lat_e7"), geo.to_e7(F.col("lon") - 0.00000005).alias("lon_e7"))
 
 
+@query
+def e7_dequantize(spark, sf_dir):
+    """Both ways back to degrees; they may differ in the last bit, and each has its use."""
+    points = Network(spark, sf_dir).fuel_stations()
+    return points.select("osm_id", geo.from_e7(F.col("lat_e7")).alias("lat"), geo.from_e7_scaled(F.col("lon_e7")).alias("lon"))
+
+
+@query
+def grid_cells(spark, sf_dir):
+    """Nodes by grid cell, at the fixed step of snapping and at the profile's step."""
+    step = load_profile().routing.grid_step
+    cells = Network(spark, sf_dir).nodes().select(geo.cell(F.col("lat"), conflate.SNAP_STEP * 100).alias("ci"), geo.cell(F.col("lon"), step * 100).alias("cj"))
+    return cells.groupBy("ci", "cj").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def flag_counts(spark, sf_dir):
+    """Ways by flag."""
+    flags = _kept(Network(spark, sf_dir), keep_private=True).select(tags.edge_flags(F.col("tags"), load_profile().routing).alias("f"))
+    names = {"paved": schemas.PAVED, "ford": schemas.FORD, "fourwd_only": schemas.FOURWD_ONLY, "seasonal": schemas.SEASONAL, "private": schemas.PRIVATE, "trail": schemas.TRAIL, "rough": schemas.ROUGH, "very_rough": schemas.VERY_ROUGH}
+    return flags.agg(*(F.count_if(tags.has_flag(F.col("f"), bit)).alias(name) for name, bit in names.items()))
+
+
 @query
 def haversine_len(spark, sf_dir):
     return _segments(Network(spark, sf_dir)).select("way_id", "pos", _d("length_m", 3))
@@ -189,6 +213,17 @@ def bidirectional_edges(spark, sf_dir):
     return ways.directed(_segments(Network(spark, sf_dir))).select("way_id", "pos", "dir", "src", "dst")
 
 
+@query
+def bbox_segments(spark, sf_dir):
+    """Segments kept and dropped where a box cuts the nodes: a segment needs both ends, and nothing bridges a gap."""
+    net = Network(spark, sf_dir)
+    kept = _kept(net)
+    located = ways.graph_nodes(kept, net.nodes(), BBOX)
+    total = ways.segments(kept).agg(F.count(F.lit(1)).alias("total"))
+    placed = ways.costed_segments(kept, located, load_profile()).agg(F.count(F.lit(1)).alias("kept"))
+    return total.join(placed).select("kept", (F.col("total") - F.col("kept")).alias("dropped"))
+
+
 @query
 def node_ids_first_encounter(spark, sf_dir):
     net = Network(spark, sf_dir)
@@ -320,6 +355,13 @@ def conflation_kept(spark, sf_dir):
     return conflate.uncovered(_kept(net), net.nodes(), _roads(net, spark, sf_dir)[1]).select("way_id")
 
 
+@query
+def conflation_counts(spark, sf_dir):
+    """Ways kept and dropped by conflation."""
+    net = Network(spark, sf_dir)
+    return conflate.counts(_kept(net), conflate.uncovered(_kept(net), net.nodes(), _roads(net, spark, sf_dir)[1]))
+
+
 @query
 def ways_union(spark, sf_dir):
     net = Network(spark, sf_dir)
@@ -413,6 +455,18 @@ def fuel_nearest(spark, sf_dir):
     return fuel.nearest_station(points, graph.fuel_stations).select("node_id", "station", _d("station_m", 3))
 
 
+@query
+def fuel_lookback(spark, sf_dir):
+    """The last station passed within reach (-1: none yet), at every node of every way (which stand for routes)."""
+    net = Network(spark, sf_dir)
+    kept = _kept(net)
+    located = ways.graph_nodes(kept, net.nodes())
+    near = fuel_nearest(spark, sf_dir)
+    steps = kept.select(F.col("way_id").alias("request_id"), F.lit(1).alias("rank"), F.posexplode("nodes").alias("pos", "osm_id")).join(located, "osm_id")
+    points = steps.join(near, "node_id").select("request_id", "rank", "pos", "station", "station_m")
+    return fuel.last_station(points).select(F.col("request_id").alias("way_id"), "pos", F.coalesce("last_station", F.lit(-1)).alias("last_station"))
+
+
 @query
 def cumulative_distance(spark, sf_dir):
     """Running distance along ways, which stand for routes."""

@@ -92,3 +92,9 @@ def uncovered(ways: DataFrame, nodes: DataFrame, road_nodes: DataFrame, radius_m
     low = ways.where(tag_in(F.col("tags"), "highway", TRACK_CLASSES))
     gone = coverage(low, nodes, road_nodes, radius_m, grid_step).where(F.col("coverage") >= min_coverage)
     return ways.join(gone, "way_id", "left_anti")
+
+
+def counts(before: DataFrame, after: DataFrame) -> DataFrame:
+    """kept and dropped: one row."""
+    marked = before.select("way_id").join(after.select("way_id", F.lit(True).alias("stays")), "way_id", "left")
+    return marked.agg(F.count_if(F.col("stays")).alias("kept"), F.count_if(F.col("stays").isNull()).alias("dropped"))

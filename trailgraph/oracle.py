@@ -26,15 +26,16 @@ def _values(rows) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else repr(v) for v in r) + ")" for r in rows) + ")"
 
 
+def names(values) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
 def _network(profile: Profile) -> str:
     lat, lon = (_d(t.replace("{id}", "c_custkey")) for t in (fx.LAT, fx.LON))
     flat, flon = map(_d, fx.offset_point("p_partkey", 100))
     slat, slon = map(_d, fx.offset_point("s_suppkey", 60))
     r = profile.routing
 
-    def names(values) -> str:
-        return ", ".join(f"'{v}'" for v in values)
-
     factors = [(t, k, float(v)) for t in ("base", "surface", "tracktype", "smoothness") for k, v in getattr(profile, t).items()]
     node_kind = """CASE WHEN tourism = 'viewpoint' THEN 'Viewpoint' WHEN "natural" = 'peak' THEN 'Peak' WHEN "natural" = 'saddle' THEN 'Saddle' WHEN "natural" = 'water' THEN 'Water'
       WHEN "natural" = 'glacier' THEN 'Glacier' WHEN "natural" = 'cliff' THEN 'Cliff' WHEN waterway = 'river' THEN 'River' WHEN waterway = 'stream' THEN 'Stream' END"""
@@ -160,6 +161,17 @@ dist(rid, node, d) USING KEY (rid, node) AS (
         "bbox_derive": q("SELECT min(lon) AS min_lon, min(lat) AS min_lat, max(lon) AS max_lon, max(lat) AS max_lat FROM nodes"),
         "bbox_filter": q("SELECT osm_id FROM nodes WHERE lat BETWEEN 44.02 AND 44.3 AND lon BETWEEN -121.95 AND -121.7"),
         "e7_quantize": q("SELECT osm_id, CAST(trunc((lat + 0.00000005) * 1e7) AS INTEGER) AS lat_e7, CAST(trunc((lon - 0.00000005) * 1e7) AS INTEGER) AS lon_e7 FROM nodes"),
+        "e7_dequantize": q("SELECT osm_id, lat_e7 / 1e7 AS lat, lon_e7 * 1e-7 AS lon FROM stations"),
+        "grid_cells": q("SELECT CAST(floor(lat / 0.1::DOUBLE) AS BIGINT) AS ci, CAST(floor(lon / 0.1::DOUBLE) AS BIGINT) AS cj, count(*) AS n FROM nodes GROUP BY ALL"),
+        "flag_counts": q(f"""SELECT count(*) FILTER (surface IN ({names(profile.routing.paved_surfaces)})) AS paved, count(*) FILTER (ford = 'yes') AS ford, count(*) FILTER ("4wd_only" = 'yes') AS fourwd_only, count(*) FILTER (seasonal = 'yes') AS seasonal,
+            count(*) FILTER (access = 'private') AS private, count(*) FILTER (highway = 'path') AS trail, count(*) FILTER (smoothness IN ({names(profile.routing.smoothness_rough)})) AS rough, count(*) FILTER (smoothness IN ({names(profile.routing.smoothness_very_rough)})) AS very_rough
+            FROM ways WHERE highway IN (SELECT highway FROM allowed) AND coalesce(vehicle, '') <> 'no' AND coalesce(motor_vehicle, '') <> 'no'"""),
+        "bbox_segments": q("""SELECT count(*) FILTER (ok) AS kept, count(*) FILTER (NOT ok) AS dropped FROM (SELECT way_id, pos, x.lat BETWEEN 44.02 AND 44.3 AND x.lon BETWEEN -121.95 AND -121.7 AND y.lat BETWEEN 44.02 AND 44.3 AND y.lon BETWEEN -121.95 AND -121.7 AS ok
+            FROM seg JOIN nodes x ON x.osm_id = a JOIN nodes y ON y.osm_id = b)"""),
+        "conflation_counts": q("SELECT count(*) FILTER (c.way_id IS NULL) AS kept, count(*) FILTER (c.way_id IS NOT NULL) AS dropped FROM fways f LEFT JOIN (SELECT way_id FROM cover WHERE coverage >= 0.5) c ON f.way_id = c.way_id"),
+        "fuel_lookback": q(f"""SELECT way_id, CAST(pos AS INTEGER) AS pos, coalesce(last_value(CASE WHEN station_m <= 2000 THEN station END IGNORE NULLS) OVER (PARTITION BY way_id ORDER BY pos ROWS UNBOUNDED PRECEDING), -1) AS last_station FROM occ JOIN gnodes USING (osm_id) JOIN (
+            SELECT g.node_id, s.osm_id AS station, {hav("g.lat_e7 / 1e7", "g.lon_e7 / 1e7", "s.lat_e7 / 1e7", "s.lon_e7 / 1e7")} AS station_m,
+            row_number() OVER (PARTITION BY g.node_id ORDER BY (g.lat_e7 / 1e7 - s.lat_e7 / 1e7) * (g.lat_e7 / 1e7 - s.lat_e7 / 1e7) + (g.lon_e7 / 1e7 - s.lon_e7 / 1e7) * (g.lon_e7 / 1e7 - s.lon_e7 / 1e7), s.osm_id) AS rn FROM gnodes g, stations s) USING (node_id) WHERE rn = 1"""),
         "haversine_len": q("SELECT way_id, pos, round(CAST(length_m AS DOUBLE), 3) AS length_m FROM lengths"),
         "edge_flags": q("SELECT way_id, flags FROM wflags"),
         "factor_lookup": q("SELECT way_id, f_base, f_surface, f_tracktype, f_smoothness, f_ford FROM wcost"),
