@@ -55,9 +55,14 @@ def snap_requests(valid: DataFrame, graph: Graph) -> DataFrame:
 
 
 def edge_penalties(requests: DataFrame, edges: DataFrame) -> DataFrame:
-    """request_id, edge_id, penalty of every edge for every request of a small table of requests."""
+    """request_id, edge_id, penalty of every edge for every request: a report, for up to ``REQUEST_BLOCK`` requests.
+
+    Searches never use it; they work penalties out inside their own task.
+    """
+    if requests.count() > REQUEST_BLOCK:
+        raise ValueError(f"penalties are reported for up to {REQUEST_BLOCK} requests at a time")
     ready = requests.select("request_id", "avoid_paved", "avoid_fords", "prefer_scenic", "scenic_weight", "vehicle", "fourwd_only_penalty", "min_smoothness")
-    pairs = edges.select("edge_id", "flags", "scenic_score").join(ready)
+    pairs = edges.select("edge_id", "flags", "scenic_score").join(F.broadcast(ready))
     return pairs.select("request_id", "edge_id", req.initial_penalty(F.col("flags"), F.col("scenic_score")).alias("penalty"))
 
 
