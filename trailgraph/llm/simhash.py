@@ -346,6 +346,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     key = F.xxhash64("doc_id", "text")
     fps = cut(fingerprints(docs.withColumn("_k", key), "doc_id", "_k"))
     groups = cut(component_map(fps).select("fp", "group"))
+    return keep_least(docs, fps.join(groups, "fp").select("doc_id", "_k", "group"))
+
+
+def keep_least(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each group of ``members`` (doc_id, _k, group): that of the least id, then of the least _k."""
     rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("_k").alias("k"))
-    kept = fps.join(groups, "fp").groupBy("group").agg(F.min(rank).alias("r")).select(F.col("r.k").alias("_k"), F.col("r.i").alias("_i"))
-    return docs.withColumn("_k", key).join(kept, "_k").where(F.col("doc_id").eqNullSafe(F.col("_i"))).dropDuplicates(["_k"]).select(*docs.columns)
+    kept = members.groupBy("group").agg(F.min(rank).alias("r")).select(F.col("r.k").alias("_k"), F.col("r.i").alias("_i"))
+    same = F.when(F.col("doc_id").isNull(), F.col("_i").isNull()).otherwise(F.col("doc_id") == F.col("_i"))  # not a join key, so that texts are shuffled once
+    return docs.withColumn("_k", F.xxhash64("doc_id", "text")).join(kept, "_k").where(same).dropDuplicates(["_k"]).select(*docs.columns)
