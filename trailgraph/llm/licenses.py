@@ -1,7 +1,8 @@
 """Licence scans: a trained paragraph classifier, confirmed by templates.
 
-Paragraphs (lines) with a licence cue are classified by logistic regression
-over sparse hashed word 1- to 3-grams.  Classes are licence families and
+Paragraphs (lines) with a licence cue, or with a three-word shingle of a
+template, are classified by logistic regression over sparse hashed word 1- to
+3-grams.  No other line can be confirmed, as that takes shared shingles.  Classes are licence families and
 ``unknown``; probabilities are calibrated by a temperature fitted on held-out
 paragraphs, and a family needs at least ``MIN_PROBABILITY``.  A prediction
 counts as confirmed if the paragraph shares enough three-word shingles with a
@@ -14,7 +15,7 @@ functions without shuffle.
 Defined cases
 -------------
 * null or empty text: no findings; null ids are kept;
-* a paragraph without a cue word: no licence statement by definition, so not listed;
+* a paragraph with neither cue nor template shingle: cannot be confirmed, so not listed;
 * repeated rows and lines: each is listed; ties between families: the first in order;
 * empty table: empty result; very long texts: every line is read, whole;
 * extra columns: ``scan`` keeps them and adds ``findings``.
@@ -291,12 +292,24 @@ def classify(paragraph: Column, model: Model) -> Column:
     return _let(F.filter(F.split(ascii_lower(paragraph), "[^a-z0-9]+"), lambda w: w != ""), of_words)
 
 
+def _shares_template(line: Column) -> Column:
+    """Whether a line has a three-word shingle of any template."""
+    every = sorted({h for family in TEMPLATES.values() for t in family for h in shingle_hashes(words(t))})
+    known = _constant(every, "array<bigint>")
+
+    def shared(w: Column) -> Column:
+        at = F.sequence(F.lit(1), F.size(w) - 2)
+        return F.when(F.size(w) > 2, F.arrays_overlap(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(w, i, 3), " "))), known)).otherwise(F.lit(False))
+
+    return _let(F.filter(F.split(ascii_lower(line), "[^a-z0-9]+"), lambda w: w != ""), shared)
+
+
 def scan(docs: DataFrame, model: Model | None = None, column: str = "text") -> DataFrame:
-    """``docs`` with ``findings``: paragraph (line number from 0), family, probability, similarity, confirmed for each line with a cue."""
+    """``docs`` with ``findings``: paragraph (line number from 0), family, probability, similarity, confirmed for each line with a cue or a template's shingle."""
     model = model or trained()
     lines = F.split(F.col(column), "\n")
     numbered = F.transform(lines, lambda x, i: F.struct(i.alias("paragraph"), x.alias("text")))
-    with_cue = F.filter(numbered, lambda p: p["text"].rlike(CUE))
+    with_cue = F.filter(numbered, lambda p: p["text"].rlike(CUE) | _shares_template(p["text"]))
     found = F.transform(
         with_cue,
         lambda p: _let(
@@ -305,4 +318,4 @@ def scan(docs: DataFrame, model: Model | None = None, column: str = "text") -> D
         ),
     )
     none = F.from_json(F.lit("[]"), "array<struct<paragraph:int,family:string,probability:double,similarity:double,confirmed:boolean>>")
-    return docs.withColumn("findings", F.when(F.col(column).rlike(CUE), found).otherwise(none))
+    return docs.withColumn("findings", F.coalesce(found, none))
