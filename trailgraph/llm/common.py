@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import checkpoint_dir, materialise, shared_path  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -24,31 +23,36 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="trailgraph-")
-        )
-    return context.getCheckpointDir()
+cut = materialise
+
+
+def quoted(name: str) -> str:
+    """A column's name, for use in expressions."""
+    return "`" + name.replace("`", "``") + "`"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so that a lost executor costs no lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, with as many underscores before each as keep it apart from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    made = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        made.append(name)
+    return made
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def own_columns(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever their names."""
+    return [F.col(quoted(c)) for c in df.columns]
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the Arrow batches that Python workers hold: whole texts may be long."""
+def small_batches(spark: SparkSession, rows: int = 512, size: int = 8 << 20) -> None:
+    """Bound the Arrow batches that Python workers hold, by rows and by bytes: whole texts may be long."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{size}b")
 
 
 def sql_text(value: str) -> str:
