@@ -12,9 +12,10 @@ Defined cases
 -------------
 * null or empty html, or no content block: empty text, 0 code points;
 * truncated or unbalanced markup: open elements end with the page; an unclosed comment or script hides what follows;
+* formulas, drawings and fallback content (``math``, ``svg``, ``object``, ``noscript``): their text, in line; a formula's annotations are markup;
 * character references without semicolon or unknown: as browsers read them, else left as they are;
 * repeated rows and ties: alike (equal scores decode as content last); null ids and urls are kept;
-* empty table: empty result; very long pages: whole; extra columns: ``extract`` returns its own only.
+* empty table: empty result; very long or deeply nested pages: whole, in linear time; extra columns: ``extract`` returns its own only.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -40,95 +41,127 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta source trac
 #: An element of the key's tag ends an open one of these tags, up to the nearest container.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
+#: Elements whose content is never shown, or belongs to a form.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<hidden>script|style|noscript|template|textarea|title|select|svg|iframe|object|math)\b(?:[^\"'>]|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=hidden)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>"
+    r"|<(?P<hidden>script|style|template|textarea|title|select|annotation-xml|annotation)\b(?:[^\"'>]|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=hidden)\s*>|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*')|=)*+)>"
     r"|</?[a-z!?][^>]*(?:>|\Z)"
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
-#: Elements between a link and its text at most; a deeper one does not count for the share of linked text.
-LINK_DEPTH = 8
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 
 @dataclass
 class Block:
+    """A leaf block: its text, the nearest block-level tag, characters in links, and what its ancestors give: features, or their summed weights."""
+
     text: str
-    tags: tuple[str, ...]
-    names: tuple[str, ...]
+    own: str
     linked: int
+    above: list[str] | tuple[float, float]
+
+
+@dataclass
+class _Open:
+    """An open element: its features, and the summed weights of those of all open elements, each counted once."""
+
+    tag: str
+    features: tuple[str, ...]
+    weights: tuple[float, float]
+
 
+def blocks(page: str | None, state: dict[str, list[float]] | None = None) -> list[Block]:
+    """The leaf blocks of a page, in page order; with ``state`` (weights by feature), ancestors are summed up.
 
-def blocks(page: str | None) -> list[Block]:
-    """The leaf blocks of a page, in page order."""
+    Every step is amortised constant: sums are kept on the stack of open
+    elements, features are counted as elements open and close.
+    """
     found: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[_Open] = []
+    levels: list[int] = []  # places in the stack of block-level elements
+    active: Counter[str] = Counter()
+    open_tags: Counter[str] = Counter()
     run: list[str] = []
-    linked, links = 0, False
+    linked = 0
 
     def flush() -> None:
         nonlocal run, linked
-        text = " ".join(html.unescape("".join(run)).split())
+        text = " ".join("".join(run).split())
         if text:
-            found.append(Block(text, tuple(t for t, _ in stack), tuple(n for _, names in stack for n in names), linked))
+            above = [f for f, n in active.items() if n] if state is None else stack[-1].weights if stack else (0.0, 0.0)
+            found.append(Block(text, stack[levels[-1]].tag if levels else "none", linked, above))
         run, linked = [], 0
 
+    def close(place: int) -> None:
+        while len(stack) > place:
+            gone = stack.pop()
+            open_tags[gone.tag] -= 1
+            for f in gone.features:
+                active[f] -= 1
+        while levels and levels[-1] >= place:
+            levels.pop()
+
     for token in _TOKEN.finditer(page or ""):
         text = token["text"]
         if text is not None:
+            text = html.unescape(text)
             run.append(text)
-            linked += len(text) if links else 0
+            linked += len(text) if open_tags["a"] else 0
             continue
         tag = (token["tag"] or "").lower()
         if not tag:
             continue
-        if tag in BLOCK_TAGS:
+        block = tag in BLOCK_TAGS
+        if block:
             flush()
-        elif tag in VOID_TAGS:
+        elif tag == "br":
             run.append(" ")
         if tag in VOID_TAGS:
             continue
         if token["end"]:
-            for depth in reversed(range(len(stack))):
-                if stack[depth][0] == tag:
-                    del stack[depth:]
-                    break
-        else:
-            if tag in BLOCK_TAGS:  # a block ends an open paragraph, a list item its predecessor
-                for depth in reversed(range(len(stack))):
-                    open_tag = stack[depth][0]
-                    if open_tag == "p" or open_tag in ENDS.get(tag, ()):
-                        del stack[depth:]
-                    elif open_tag in BLOCK_TAGS:
-                        break
-            attrs = token["attrs"]
-            names = tuple(w for a in _NAMES.finditer(attrs) for w in _WORD.findall(a[2].lower())) if "=" in attrs else ()
-            stack.append((tag, names))
-        links = "a" in (t for t, _ in stack[-LINK_DEPTH:])
+            if open_tags[tag]:
+                place = len(stack) - 1
+                while stack[place].tag != tag:
+                    place -= 1
+                close(place)
+            continue
+        while block and levels and (stack[levels[-1]].tag == "p" or stack[levels[-1]].tag in ENDS.get(tag, ())):
+            close(levels[-1])  # a block ends an open paragraph, a list item its predecessor
+        attrs = token["attrs"]
+        names = {f"name:{w}" for a in _NAMES.finditer(attrs) for w in _WORD.findall(a[2].lower())} if "=" in attrs else set()
+        features = (f"in:{tag}", *sorted(names)) if block else tuple(sorted(names))
+        a, b = stack[-1].weights if stack else (0.0, 0.0)
+        for f in features:
+            if not active[f] and state is not None and f in state:
+                a, b = a + state[f][0], b + state[f][1]
+            active[f] += 1
+        open_tags[tag] += 1
+        if block:
+            levels.append(len(stack))
+        stack.append(_Open(tag, features, (a, b)))
     flush()
     return found
 
 
+def text_features(b: Block) -> list[str]:
+    """The features of a block's text and place."""
+    n = b.text.count(" ") + 1
+    share = b.linked / max(1, len(b.text))
+    got = ["any", f"own:{b.own}", f"words:{min(7, n.bit_length())}", f"links:{min(3, int(share * 4))}"]
+    got.append("ends" if b.text[-1] in ".!?:;,\"'…»”" else "open")
+    if "©" in b.text or "copyright" in b.text.lower():
+        got.append("copyright")
+    if "|" in b.text or "·" in b.text or "»" in b.text[:-1]:
+        got.append("bars")
+    return got
+
+
 def features(chain: list[Block]) -> list[list[str]]:
-    """The features of each block of a page."""
-    result = []
-    for b in chain:
-        n = b.text.count(" ") + 1
-        share = b.linked / max(1, len(b.text))
-        own = next((t for t in reversed(b.tags) if t in BLOCK_TAGS), "none")
-        got = ["any", f"own:{own}", f"words:{min(7, n.bit_length())}", f"links:{min(3, int(share * 4))}"]
-        got += [f"in:{t}" for t in set(b.tags) if t in BLOCK_TAGS]
-        got += [f"name:{w}" for w in set(b.names)]
-        got.append("ends" if b.text[-1] in ".!?:;,\"'…»”" else "open")
-        if "©" in b.text or "copyright" in b.text.lower():
-            got.append("copyright")
-        if "|" in b.text or "·" in b.text or "»" in b.text[:-1]:
-            got.append("bars")
-        result.append(got)
-    return result
+    """All features of each block of a page."""
+    return [text_features(b) + b.above for b in chain]
 
 
 class Field:
@@ -154,10 +187,12 @@ class Field:
         return out
 
     def decode(self, rows: list[list[str]]) -> list[int]:
-        """The likeliest labels (Viterbi)."""
-        if not rows:
+        return self.viterbi(self.potentials(rows))
+
+    def viterbi(self, at: list[tuple[float, float]]) -> list[int]:
+        """The likeliest labels, from the potentials of each block."""
+        if not at:
             return []
-        at = self.potentials(rows)
         best, back = list(at[0]), []
         for own in at[1:]:
             new, came = [], []
@@ -367,8 +402,9 @@ def trained(n: int = 500, seed: int = 11) -> Field:
 
 
 def main_text(page: str | None, field: Field) -> str:
-    chain = blocks(page)
-    return "\n\n".join(b.text for b, y in zip(chain, field.decode(features(chain)), strict=True) if y)
+    chain = blocks(page, field.state)
+    at = [(a + b.above[0], c + b.above[1]) for b, (a, c) in zip(chain, field.potentials([text_features(b) for b in chain]), strict=True)]
+    return "\n\n".join(b.text for b, y in zip(chain, field.viterbi(at), strict=True) if y)
 
 
 def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:

@@ -1,12 +1,15 @@
 """Licence scans: a trained paragraph classifier, confirmed by templates.
 
-Paragraphs (lines) with a licence cue, or with a three-word shingle of a
-template, are classified by logistic regression over sparse hashed word 1- to
-3-grams.  No other line can be confirmed, as that takes shared shingles.  Classes are licence families and
-``unknown``; probabilities are calibrated by a temperature fitted on held-out
-paragraphs, and a family needs at least ``MIN_PROBABILITY``.  A prediction
-counts as confirmed if the paragraph shares enough three-word shingles with a
-template of that family; unconfirmed ones are reported as unknown.
+Lines that share a shingle (three words, or all of a shorter line) with a
+template are candidates; neighbouring candidates, up to one that ends a
+sentence, are one paragraph, as the lines of a wrapped notice are.  Paragraphs
+are classified by logistic regression over sparse hashed word 1- to 3-grams.
+Classes are licence families and ``unknown``; probabilities are calibrated by a
+temperature fitted on held-out paragraphs, and a family needs at least
+``MIN_PROBABILITY``.  A prediction counts as confirmed if the paragraph shares
+enough shingles with a template of that family; unconfirmed ones are reported
+as unknown.  No line that shares no shingle could be confirmed by itself, so
+none is lost.
 
 The model is fitted in the driver on variations of the templates (a fixed,
 small set); it becomes a constant of the plan, and scanning is one pass of SQL
@@ -15,10 +18,10 @@ functions without shuffle.
 Defined cases
 -------------
 * null or empty text: no findings; null ids are kept;
-* a paragraph with neither cue nor template shingle: cannot be confirmed, so not listed;
+* a line without a template's shingle: cannot be confirmed, so not listed;
 * repeated rows and lines: each is listed; ties between families: the first in order;
 * empty table: empty result; very long texts: every line is read, whole;
-* extra columns: ``scan`` keeps them and adds ``findings``.
+* extra columns: ``scan`` keeps them and adds ``findings``, in place of a column of that name.
 """
 
 from __future__ import annotations
@@ -38,10 +41,8 @@ from .common import ascii_lower
 SPACE = 1 << 14
 MIN_PROBABILITY = 0.5
 MIN_SIMILARITY = 0.5
-CUE = r"(?i)licen[sc]|copyright|copyleft|creative commons|public domain|all rights reserved|permission is hereby|redistribut|without warranty|\bgpl|apache|as is"
-
 #: Opening or characteristic sentences of public licence texts and the usual notices.
-TEMPLATES: dict[str, tuple[str, ...]] = {
+SENTENCES: dict[str, tuple[str, ...]] = {
     "apache": (
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
@@ -53,16 +54,22 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "This project is licensed under the MIT License.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software',
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ),
     "bsd": (
         "This software is released under the BSD License.",
         "Licensed under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
     ),
     "isc": (
         "Released under the ISC License.",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
     ),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3.",
@@ -108,6 +115,23 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential.",
     ),
 }
+#: Titles, and short identifiers as they stand in file headers.
+TITLES: dict[str, tuple[str, ...]] = {
+    "apache": ("Apache License", "Apache License 2.0", "Apache License, Version 2.0"), "mit": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "bsd": ("BSD License", "BSD 2-Clause License", "BSD 3-Clause License"), "isc": ("ISC License", "The ISC License"),
+    "gpl": ("GNU General Public License", "GNU General Public License v3.0", "GPL v2", "GPL v3", "GPLv2", "GPLv3"),
+    "lgpl": ("GNU Lesser General Public License", "GNU Lesser General Public License v3.0", "LGPL v3", "LGPLv3"),
+    "agpl": ("GNU Affero General Public License", "GNU Affero General Public License v3.0", "AGPL v3", "AGPLv3"),
+    "mpl": ("Mozilla Public License", "Mozilla Public License 2.0"), "cc-by": ("Creative Commons Attribution 4.0 International",),
+    "cc-by-sa": ("Creative Commons Attribution-ShareAlike 4.0 International",), "cc-by-nc": ("Creative Commons Attribution-NonCommercial 4.0 International",),
+    "public-domain": ("The Unlicense", "CC0 1.0 Universal"),
+}
+IDENTIFIERS: dict[str, tuple[str, ...]] = {
+    "apache": ("Apache-2.0",), "mit": ("MIT",), "bsd": ("BSD-2-Clause", "BSD-3-Clause"), "isc": ("ISC",), "gpl": ("GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later"),
+    "lgpl": ("LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later"), "agpl": ("AGPL-3.0-only", "AGPL-3.0-or-later"), "mpl": ("MPL-2.0",),
+    "cc-by": ("CC-BY-4.0",), "cc-by-sa": ("CC-BY-SA-4.0",), "cc-by-nc": ("CC-BY-NC-4.0", "CC-BY-NC-SA-4.0"), "public-domain": ("CC0-1.0", "Unlicense"),
+}
+TEMPLATES = {f: (*t, *TITLES.get(f, ()), *(f"SPDX-License-Identifier: {i}" for i in IDENTIFIERS.get(f, ()))) for f, t in SENTENCES.items()}
 UNKNOWN = "unknown"
 FAMILIES = (*TEMPLATES, UNKNOWN)
 #: Licence words in other uses, and licences outside the families: what unknown is learned from.
@@ -120,6 +144,12 @@ OTHERS = (
     "Licensed under the Artistic License 2.0.",
     "Licensed under the Eclipse Public License, version 2.0.",
     "Distributed under the terms of the Academic Free License.",
+    "SPDX-License-Identifier: EPL-2.0",
+    "SPDX-License-Identifier: Zlib",
+    "SPDX-License-Identifier: Artistic-2.0",
+    "SPDX-License-Identifier: NONE",
+    "Eclipse Public License",
+    "Fishing License",
     "See the file for the licence that applies here.",
     "Apache helicopters and Apache tribes share no more than a name.",
     "He left the room as is, with the books on the floor.",
@@ -141,7 +171,8 @@ def grams(own: list[str]) -> list[str]:
 
 
 def shingle_hashes(own: list[str]) -> list[int]:
-    hashes = {xxhash.xxh64_intdigest(" ".join(own[i : i + 3]).encode(), 42) for i in range(len(own) - 2)}
+    """Signed hashes of the runs of three words, or of all words where they are fewer."""
+    hashes = {xxhash.xxh64_intdigest(" ".join(own[i : i + 3]).encode(), 42) for i in range(max(1, len(own) - 2)) if own}
     return sorted(h - (1 << 64) if h >> 63 else h for h in hashes)
 
 
@@ -273,7 +304,7 @@ def classify(paragraph: Column, model: Model) -> Column:
         return _let(
             F.struct(w.alias("one"), pairs.alias("two")),
             lambda s: _let(
-                F.struct(s["one"].alias("one"), s["two"].alias("two"), F.array_compact(F.zip_with(s["two"], F.slice(s["one"], 3, F.greatest(F.size(s["one"]), F.lit(1))), lambda ab, c: F.concat(ab, F.lit(" "), c))).alias("three")),
+                F.struct(s["one"].alias("one"), s["two"].alias("two"), F.when(F.size(s["one"]) > 2, F.array_compact(F.zip_with(s["two"], F.slice(s["one"], 3, F.greatest(F.size(s["one"]), F.lit(1))), lambda ab, c: F.concat(ab, F.lit(" "), c)))).otherwise(_whole(s["one"])).alias("three")),
                 of_grams,
             ),
         )
@@ -292,26 +323,53 @@ def classify(paragraph: Column, model: Model) -> Column:
     return _let(F.filter(F.split(ascii_lower(paragraph), "[^a-z0-9]+"), lambda w: w != ""), of_words)
 
 
-def _shares_template(line: Column) -> Column:
-    """Whether a line has a three-word shingle of any template."""
+def _whole(own: Column) -> Column:
+    """A line of fewer than three words is one shingle; one without words has none."""
+    return F.filter(F.array(F.array_join(own, " ")), lambda x: x != "")
+
+
+def _candidate(line: Column) -> Column:
+    """Whether a line has a shingle of any template."""
     every = sorted({h for family in TEMPLATES.values() for t in family for h in shingle_hashes(words(t))})
     known = _constant(every, "array<bigint>")
 
     def shared(w: Column) -> Column:
-        at = F.sequence(F.lit(1), F.size(w) - 2)
-        return F.when(F.size(w) > 2, F.arrays_overlap(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(w, i, 3), " "))), known)).otherwise(F.lit(False))
+        at = F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1)))
+        return (F.size(w) > 0) & F.arrays_overlap(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(w, i, 3), " "))), known)
 
     return _let(F.filter(F.split(ascii_lower(line), "[^a-z0-9]+"), lambda w: w != ""), shared)
 
 
+def paragraphs(text: Column) -> Column:
+    """paragraph (number of its first line, from 0) and text of each run of neighbouring candidates; a run ends where a sentence does."""
+    numbered = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("text")))
+
+    def runs(own: Column) -> Column:
+        def begins(i: Column) -> Column:
+            here, last = F.get(own, i), F.get(own, i - 1)
+            return (i == 0) | (here["line"] != last["line"] + 1) | last["text"].rlike(r"[.!?:;][\s\"')]*$")
+
+        starts = F.filter(F.sequence(F.lit(0), F.size(own) - 1), begins)
+        return _let(
+            starts,
+            lambda at: F.transform(
+                at,
+                lambda first, j: F.struct(
+                    F.get(own, first)["line"].alias("paragraph"),
+                    F.array_join(F.transform(F.slice(own, first + 1, F.coalesce(F.get(at, j + 1), F.size(own)) - first), lambda p: p["text"]), " ").alias("text"),
+                ),
+            ),
+        )
+
+    none = F.from_json(F.lit("[]"), "array<struct<paragraph:int,text:string>>")
+    return _let(F.filter(numbered, lambda p: _candidate(p["text"])), lambda own: F.when(F.size(own) > 0, runs(own)).otherwise(none))
+
+
 def scan(docs: DataFrame, model: Model | None = None, column: str = "text") -> DataFrame:
-    """``docs`` with ``findings``: paragraph (line number from 0), family, probability, similarity, confirmed for each line with a cue or a template's shingle."""
+    """``docs`` with ``findings``: paragraph (number of its first line, from 0), family, probability, similarity, confirmed for each paragraph of candidates."""
     model = model or trained()
-    lines = F.split(F.col(column), "\n")
-    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("paragraph"), x.alias("text")))
-    with_cue = F.filter(numbered, lambda p: p["text"].rlike(CUE) | _shares_template(p["text"]))
     found = F.transform(
-        with_cue,
+        paragraphs(F.col(column)),
         lambda p: _let(
             classify(p["text"], model),
             lambda c: F.struct(p["paragraph"].alias("paragraph"), c["family"].alias("family"), c["probability"].alias("probability"), c["similarity"].alias("similarity"), c["confirmed"].alias("confirmed")),

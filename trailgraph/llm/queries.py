@@ -45,7 +45,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed, _ = sharding.assign(read_table(spark, sf_dir, "documents"), N_SHARDS)
+    placed, _ = sharding.assign(read_table(spark, sf_dir, "documents"), N_SHARDS, path=shared_path(spark, "slot-maps"))
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version"
     )
@@ -121,7 +121,8 @@ FROM w LEFT JOIN covered USING (rn) LEFT JOIN named USING (rn)"""
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS ord
+         CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS ord,
+         row_number() OVER () AS rn
   FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [3, 1, 2][1 + CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER)] AS weight
@@ -134,15 +135,36 @@ l AS (
 t AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), max(level) OVER () * weight) AS target FROM l),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
 k AS (
-  SELECT source, ord, size, sum(sum(size)) OVER (PARTITION BY source ORDER BY ord, size ROWS UNBOUNDED PRECEDING) AS upto, sum(size) AS own
-  FROM d GROUP BY source, ord, size)
+  SELECT rn, sum(size) OVER (PARTITION BY source ORDER BY ord, size, rn ROWS UNBOUNDED PRECEDING) AS upto FROM d)
 SELECT d.doc_id, d.size, source_size, target,
-       CAST((whole + CASE WHEN target - whole * source_size > 0 AND 2 * upto - own < 2 * (target - whole * source_size) THEN 1 ELSE 0 END) * d.size AS BIGINT) AS taken
-FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
-JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.ord = k.ord AND d.size = k.size"""
+       CAST((whole + CASE WHEN target - whole * source_size > 0 AND 2 * upto - d.size < 2 * (target - whole * source_size) THEN 1 ELSE 0 END) * d.size AS BIGINT) AS taken
+FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source JOIN k USING (rn)"""
+
+#: The heaviest slot goes to the lightest shard, again and again.  CRC-32 by its table, byte by byte; the table follows from the polynomial.
+OP6_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(CAST(3988292384 AS BIGINT), c >> 1) ELSE c >> 1 END)) AS tab),
+d AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size,
+         xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+             lambda c, b: xor(c >> 8, tab[1 + (xor(c, b) & 255)])), 4294967295) AS text_crc32,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) % 8192 AS virtual_slot
+  FROM documents, crc),
+s AS (SELECT virtual_slot, CAST(sum(size) AS BIGINT) AS bytes, row_number() OVER (ORDER BY sum(size) DESC, virtual_slot) AS rk FROM d GROUP BY virtual_slot),
+g AS (
+  SELECT CAST(0 AS BIGINT) AS i, list_transform(range(24), lambda x: CAST(0 AS BIGINT)) AS loads, CAST(NULL AS BIGINT) AS slot, CAST(NULL AS BIGINT) AS shard
+  UNION ALL
+  SELECT rk, list_transform(loads, lambda x, j: CASE WHEN j = p THEN x + bytes ELSE x END), virtual_slot, p - 1
+  FROM (SELECT *, CAST(list_position(loads, list_min(loads)) AS BIGINT) AS p FROM g JOIN s ON s.rk = g.i + 1)),
+placed AS (SELECT d.*, shard FROM d JOIN g ON g.slot = d.virtual_slot)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY virtual_slot, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, CAST(NULL AS DOUBLE) AS grown_shard,
+       CAST(virtual_slot AS INTEGER) AS virtual_slot, 1 AS map_version
+FROM placed"""
 
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": _op1_sql(),
     "op4_decontaminate": OP4_SQL,
+    "op6_sharding": OP6_SQL,
     "op9_mixing": OP9_SQL,
 }
