@@ -61,8 +61,8 @@ def test_url_empty_and_extra_columns(spark):
     frame = spark.createDataFrame([], "page_id long, url string, html string")
     assert url_filter.judge(frame).columns == ["page_id", "url", "html", "host", "path", "rule", "verdict"]
     assert url_filter.judge(frame).count() == 0
-    with pytest.raises(ValueError):
-        url_filter.judge(frame, tuple(url_filter.Rule("/" + "x" * 9000 + f"{i}/", "block") for i in range(4000)))
+    many = tuple(url_filter.Rule("/" + "x" * 9000 + f"{i}/", "block") for i in range(4000))  # more than a constant of the plan may take
+    assert url_filter.judge(spark.createDataFrame([(1, "http://a/" + "x" * 9000 + "77/", "")], frame.schema), many).first().verdict == "block"
 
 
 # ------------------------------------------------------------- decontamination
@@ -171,7 +171,7 @@ def test_licences(spark):
     assert found[0] == [(1, "mit", True)]
     assert found[1] == [(0, "cc-by-nc", True)]
     assert found[2] == [(0, "gpl", True)]
-    assert found[3] == [(0, "unknown", False)] and found[4] == [(0, "unknown", False)]
+    assert found[3] == [] and found[4] == [(0, "unknown", False)]
     assert found[5] == found[6] == found[7] == []
     assert found[8] == [(0, "proprietary", True), (1, "proprietary", True)]
     assert licenses.scan(docs(spark)).count() == 0

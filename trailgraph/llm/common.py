@@ -48,6 +48,11 @@ def own_columns(df: DataFrame) -> list[Column]:
     return [F.col(quoted(c)) for c in df.columns]
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with plain column names, for functions that take no others; ``toDF`` brings the names back."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def small_batches(spark: SparkSession, rows: int = 512, size: int = 8 << 20) -> None:
     """Bound the Arrow batches that Python workers hold, by rows and by bytes: whole texts may be long."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:

@@ -10,9 +10,10 @@ verification compares the words of the window exactly.
 
 Words become numbers by the vocabulary of the benchmark block; every other
 word is 0 and never matches.  The benchmark is read in blocks of bounded
-size, and a pass over the documents broadcasts a bounded number of them; a
-larger benchmark takes more passes, between which each row carries a bit for
-each of its words and the items found.  Nothing is shuffled.
+size; an item that is longer is cut into parts that overlap by a window less
+one word.  A pass over the documents broadcasts a bounded number of blocks, and
+they are released before the next pass is built; between passes each row
+carries a bit for each of its words and the items found.  Nothing is shuffled.
 
 Defined cases
 -------------
@@ -20,7 +21,7 @@ Defined cases
 * null item id: named ``null``; items with one id are one item; repeated rows and ties count alike;
 * empty documents: empty result; empty benchmark: every document is clean;
 * very long texts: whole; memory follows the longest text of a batch;
-* extra columns: ``scan`` returns its own columns only, ``clean`` keeps all.
+* extra columns, with whatever names: ``scan`` returns its own columns only, ``clean`` keeps all.
 """
 
 from __future__ import annotations
@@ -35,13 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, numbered, small_batches
 
 WINDOW = 10
 SHINGLE = 3
-#: Benchmark text that one block may hold, and blocks that one pass broadcasts.
+#: Benchmark text that one block may hold, about, and blocks that one pass broadcasts.
 BLOCK_BYTES = 4 << 20
 BLOCKS_PER_PASS = 4
+#: Words that one part of an item may hold; a block of up to four parts stays within the 20 bits of a word's number.
+PART_WORDS = 1 << 18
 
 #: A-Z to a-z; what is no digit, letter or byte of a non-ASCII character becomes a blank.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -85,9 +88,9 @@ def build_index(items: list[tuple[str, str | None]], window: int = WINDOW, shing
             size = min(window, len(ids))
             for i in range(len(ids) - size + 1):
                 windows[tuple(ids[i : i + size])].add(number)
-    if len(index.vocabulary) + 1 >= 1 << 20:
-        raise ValueError("a benchmark block holds too many different words; lower BLOCK_BYTES")
     base = len(index.vocabulary) + 1
+    if base**shingle >= 1 << 63:
+        raise ValueError("shingles of that many words do not fit a number; use shorter ones")
     by_length: dict[int, list[tuple[int, ...]]] = defaultdict(list)
     for w in sorted(windows):
         by_length[len(w)].append(w)
@@ -146,16 +149,30 @@ def match(index: Index, text: str | bytes | None) -> tuple[int, np.ndarray, set[
     return len(own), hit, found
 
 
-def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str]]]:
+def parts(text: str, window: int, part_words: int = PART_WORDS) -> Iterator[str]:
+    """A text in overlapping parts that have the same windows; a short one as it is."""
+    own = words(text)
+    if len(own) <= part_words:
+        yield text
+        return
+    for first in range(0, len(own), part_words):
+        if first == 0 or len(own) - first >= window:
+            yield b" ".join(own[first : first + part_words + window - 1]).decode("utf-8", "surrogatepass")
+
+
+def blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, part_words: int = PART_WORDS) -> Iterator[list[tuple[str, str]]]:
     """The benchmark in blocks of bounded size, never more than one at a time in the driver."""
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), "text").where(F.col("text").isNotNull())
-    block, size = [], 0
+    block, size, n = [], 0, 0
     for name, text in rows.toLocalIterator():
-        block.append((name, text))
-        size += len(text.encode("utf-8", "surrogatepass"))
-        if size >= block_bytes:
-            yield block
-            block, size = [], 0
+        for part in parts(text, window, part_words):
+            own = len(words(part))
+            if block and (size >= block_bytes or n + own >= 4 * PART_WORDS - 1):
+                yield block
+                block, size, n = [], 0, 0
+            block.append((name, part))
+            size += len(part.encode("utf-8", "surrogatepass"))
+            n += own
     if block:
         yield block
 
@@ -164,11 +181,21 @@ def digest(items) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
-def _passes(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int, block_bytes: int) -> list[list]:
-    """Broadcast indexes by pass; at least one pass, maybe without any."""
+def _passes(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int, block_bytes: int) -> Iterator[tuple[list, bool]]:
+    """Broadcast indexes by pass, and whether it is the last; at least one pass, maybe without any.  Those of a pass are released when the next one is asked for."""
     broadcast = docs.sparkSession.sparkContext.broadcast
-    indexes = [broadcast(build_index(b, window, shingle)) for b in blocks(benchmark, block_bytes)]
-    return [indexes[i : i + BLOCKS_PER_PASS] for i in range(0, max(1, len(indexes)), BLOCKS_PER_PASS)]
+    ahead = blocks(benchmark, window, block_bytes)
+    block = next(ahead, None)
+    while True:
+        shared = []
+        while block is not None and len(shared) < BLOCKS_PER_PASS:
+            shared.append(broadcast(build_index(block, window, shingle)))
+            block = next(ahead, None)
+        yield shared, block is None
+        if block is None:
+            return
+        for index in shared:
+            index.destroy()
 
 
 def _marks(text: bytes | None, indexes: list) -> tuple[np.ndarray, set[str]]:
@@ -184,7 +211,6 @@ def _marks(text: bytes | None, indexes: list) -> tuple[np.ndarray, set[str]]:
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES, key: str = "doc_id") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of ``docs``."""
     small_batches(docs.sparkSession)
-    passes = _passes(docs, benchmark, window, shingle, block_bytes)
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(key, "text")
 
@@ -207,9 +233,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: i
 
         return marked
 
-    for indexes in passes[:-1]:
+    for indexes, last in _passes(docs, benchmark, window, shingle, block_bytes):
+        if last:
+            break
         rows = cut(rows.mapInArrow(run(indexes, False), f"{key} {kind}, text string, hits binary, found array<string>"))
-    return rows.mapInArrow(run(passes[-1], True), f"{key} {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return rows.mapInArrow(run(indexes, True), f"{key} {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 _RESULT = (("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()))
@@ -220,6 +248,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle:
     """The rows of ``docs`` without a single hit word, with all their columns."""
     small_batches(docs.sparkSession)
     place = docs.columns.index("text")
+    rows = numbered(docs)
 
     def run(indexes: list):
         def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +258,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle:
 
         return kept
 
-    passes = _passes(docs, benchmark, window, shingle, block_bytes)
-    for indexes in passes[:-1]:
-        docs = cut(docs.mapInArrow(run(indexes), docs.schema))
-    return docs.mapInArrow(run(passes[-1]), docs.schema)
+    for indexes, last in _passes(docs, benchmark, window, shingle, block_bytes):
+        if last:
+            break
+        rows = cut(rows.mapInArrow(run(indexes), rows.schema))
+    return rows.mapInArrow(run(indexes), rows.schema).toDF(*docs.columns)

@@ -11,9 +11,9 @@ Defined cases
 -------------
 * null or empty text: features of an empty text, and a score like any other;
 * null id: never in the training set, never held out; no label, conflicting labels (a mean of one half) or null labels: not used;
-* repeated rows and ties: scored alike; empty table or no labels of one kind: the score is the labels' mean, one half without any;
+* repeated rows and ties: scored alike; of a labelled id with several texts, the one of the least hash is learned from; empty table or no labels of one kind: the score is the labels' mean, one half without any;
 * very long text: whole;
-* extra columns: ``score`` returns its own columns only, ``accept`` keeps all.
+* extra columns, with whatever names: ``score`` returns its own columns only, ``accept`` keeps all.
 """
 
 from __future__ import annotations
@@ -28,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import numbered, small_batches
 
 #: Hash space of words; structure statistics follow behind it.
 WORD_SPACE = 1 << 14
@@ -166,37 +167,38 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mac
                 names=["id", "y", "i", "v"],
             )
 
-    # at most max_train ids: that bounds the broadcast
-    own = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "_y", "text")
-    got = own.mapInArrow(run, "id long, y int, i binary, v binary").dropDuplicates(["id"]).limit(max_train).collect()
-    got.sort(key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"]))
+    # at most max_train ids: that bounds the broadcast, and the rows that are collected
+    own = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    own = own.groupBy(F.col("_id").cast("string").alias("_id"), "_y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    got = own.mapInArrow(run, "id string, y int, i binary, v binary").collect()
+    got.sort(key=lambda r: (zlib.crc32(r["id"].encode()), r["id"]))
     rows = [(np.frombuffer(r["i"], dtype=np.int32).astype(np.int64), np.frombuffer(r["v"])) for r in got]
     return fit(rows, [r["y"] for r in got])
 
 
-def _scores(docs: DataFrame, machine: Machine, *keep: str) -> DataFrame:
+def _scores(docs: DataFrame, machine: Machine, place: int) -> DataFrame:
+    """``docs`` with a column ``score``; the text is the column at ``place``."""
     small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(machine)
-    place = list(keep).index("text")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(place).cast(pa.large_binary())
-            parts = [model.value.score([features(t.as_py()) for t in texts[i : i + 64]]) for i in range(0, len(texts), 64)]
-            score = pa.array(np.concatenate(parts) if parts else np.zeros(0))
-            yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*keep, "_score"])
+            made = [model.value.score([features(t.as_py()) for t in texts[i : i + 64]]) for i in range(0, len(texts), 64)]
+            score = pa.array(np.concatenate(made) if made else np.zeros(0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*batch.schema.names, "score"])
 
-    return docs.select(*keep).mapInArrow(run, f"{fields}, _score double")
+    return docs.mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """doc_id, held_out, score and predicted for every row."""
-    scored = _scores(docs, machine, "doc_id", "text")
+    scored = _scores(docs.select("doc_id", "text"), machine, 1)
     held = F.coalesce(fold() == HELD_OUT, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def accept(docs: DataFrame, machine: Machine) -> DataFrame:
     """The rows of ``docs`` that the machine takes for good, with all their columns."""
-    return _scores(docs, machine, *docs.columns).where(F.col("_score") >= 0.5).select(*docs.columns)
+    return _scores(numbered(docs), machine, docs.columns.index("text")).where(F.col("score") >= 0.5).drop("score").toDF(*docs.columns)

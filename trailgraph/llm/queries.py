@@ -11,6 +11,8 @@ from . import decontaminate, html_text, licenses, mixing, quality, search, shard
 from .common import read_table, shared_path
 
 N_SHARDS = 24
+#: Tokenizer versions of the counts.
+TOKENIZERS = ("byte_bpe_50k", "byte_bpe_multi_50k")
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,10 +59,22 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after one batch that inserts every document."""
-    name = "byte_bpe_50k"
-    rollup = token_counts.Rollup(spark, shared_path(spark, "token-rollup"), {name: token_counts.load_vocabulary(name)})
-    rollup.commit("documents", read_table(spark, sf_dir, "documents").withColumn("op", F.lit(token_counts.INSERT)))
+    """Totals of all documents for two tokenizer versions, kept up through batches.
+
+    The first batch inserts every document, and second copies of some under
+    other ids.  The second deletes the copies and revises documents with
+    unique ids to the text that they have.  It is committed twice, and counts
+    once, so the totals are those of the table.
+    """
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    vocabularies = {name: token_counts.load_vocabulary(name) for name in TOKENIZERS}
+    rollup = token_counts.Rollup(spark, shared_path(spark, "token-rollup"), vocabularies)
+    copies = docs.where("doc_id % 20 = 3").withColumn("doc_id", -F.col("doc_id"))
+    unique = docs.where("doc_id % 20 = 7").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("doc_id")
+    rollup.commit("load", docs.unionByName(copies).withColumn("op", F.lit(token_counts.INSERT)))
+    corrections = copies.withColumn("op", F.lit(token_counts.DELETE)).unionByName(docs.join(unique, "doc_id", "left_semi").withColumn("op", F.lit(token_counts.REVISE)))
+    for _ in range(2):
+        rollup.commit("corrections", corrections)
     return rollup.totals()
 
 

@@ -24,7 +24,7 @@ Defined cases
 * repeated rows and ties: same fingerprint, same component; ``keep_one`` keeps one row of them;
 * empty table: empty result;
 * very long text: whole, in chunks of shingles;
-* extra columns: ``components`` returns its own columns only, ``keep_one`` keeps all.
+* extra columns, with whatever names: ``components`` returns its own columns only, ``keep_one`` keeps all.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, fresh, own_columns, small_batches
 
 BITS = 64
 BLOCK = 16
@@ -341,17 +341,23 @@ def components(docs: DataFrame) -> DataFrame:
     return fps.join(groups, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def row_key() -> Column:
+    """What tells rows apart by id and text."""
+    return F.xxhash64("doc_id", "text")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component: that of the least id, then of the least hash.  All columns are kept; texts are shuffled once."""
-    key = F.xxhash64("doc_id", "text")
-    fps = cut(fingerprints(docs.withColumn("_k", key), "doc_id", "_k"))
+    own = docs.select("doc_id", "text", row_key().alias("_k"))
+    fps = cut(fingerprints(own, "doc_id", "_k"))
     groups = cut(component_map(fps).select("fp", "group"))
     return keep_least(docs, fps.join(groups, "fp").select("doc_id", "_k", "group"))
 
 
 def keep_least(docs: DataFrame, members: DataFrame) -> DataFrame:
     """One row of ``docs`` for each group of ``members`` (doc_id, _k, group): that of the least id, then of the least _k."""
+    k, key, least = fresh(docs, "_k", "_key", "_least")
     rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("_k").alias("k"))
-    kept = members.groupBy("group").agg(F.min(rank).alias("r")).select(F.col("r.k").alias("_k"), F.col("r.i").alias("_i"))
-    same = F.when(F.col("doc_id").isNull(), F.col("_i").isNull()).otherwise(F.col("doc_id") == F.col("_i"))  # not a join key, so that texts are shuffled once
-    return docs.withColumn("_k", F.xxhash64("doc_id", "text")).join(kept, "_k").where(same).dropDuplicates(["_k"]).select(*docs.columns)
+    kept = members.groupBy("group").agg(F.min(rank).alias("r")).select(F.col("r.k").alias(key), F.col("r.i").alias(least))
+    same = F.when(F.col("doc_id").isNull(), F.col(least).isNull()).otherwise(F.col("doc_id") == F.col(least))  # not a join key, so that texts are shuffled once
+    return docs.withColumn(k, row_key()).join(kept, F.col(k) == F.col(key)).where(same).dropDuplicates([k]).select(*own_columns(docs))

@@ -7,14 +7,20 @@ batch only ever adds its own delta.  A batch is written under its id (log,
 then delta, then a ledger entry); writing it again replaces the same files,
 and a batch in the ledger is never applied twice.
 
+Inside a batch, an id that is only inserted keeps all its inserts.  Where it is
+revised or deleted too, what earlier batches hold of it goes, and its last
+change alone decides: a deletion leaves nothing, any other one document with
+that row's text.  The last change is the one of the highest ``seq`` (a column
+that changes may have), then by kind (insert, revise, delete), then by hash.
+
 All files lie in one folder that driver and executors share, written and read
 by Spark alone.
 
 Defined cases
 -------------
 * null or empty text: a document of 0 tokens; null source or language: a group of its own;
-* null id: counted by inserts; it cannot be deleted or revised;
-* repeated rows: each insert counts; a delete takes away all that its id holds; deleting an unknown id does nothing;
+* null id: counted by inserts and revisions; it cannot be deleted;
+* repeated rows: each insert counts, a repeated revision or deletion counts once; a delete takes away all that its id holds; deleting an unknown id does nothing; unknown kinds of change do nothing;
 * empty batch: committed, without effect; empty rollup: no totals;
 * very long text: encoded whole; extra columns: not read.
 """
@@ -77,6 +83,21 @@ def count_tokens(docs: DataFrame, vocabularies: dict[str, bytes]) -> DataFrame:
     return own.mapInArrow(run, "doc_id long, source string, lang string, tokenizer string, tokens long")
 
 
+def _netted(changes: DataFrame) -> DataFrame:
+    """The changes that count: all inserts of ids that are only inserted, and of other ids the last change (an insert after a deletion as a revision)."""
+    seq = F.col("seq").cast("long") if "seq" in changes.columns else F.lit(0).cast("long")
+    known = changes.select("op", F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang", seq.alias("seq"))
+    known = known.where(F.col("op").isin(INSERT, REVISE) | ((F.col("op") == DELETE) & F.col("doc_id").isNotNull()))
+    touched = known.where(F.col("op").isin(DELETE, REVISE) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    plain = known.where(F.col("op") == INSERT).join(touched, "doc_id", "left_anti").select("op", "doc_id", "text", "source", "lang")
+    nameless = known.where((F.col("op") == REVISE) & F.col("doc_id").isNull()).select(F.lit(INSERT).alias("op"), "doc_id", "text", "source", "lang")
+    kind = F.when(F.col("op") == DELETE, 2).when(F.col("op") == REVISE, 1).otherwise(0)
+    order = F.struct(F.coalesce("seq", F.lit(-(1 << 63))), kind, F.xxhash64("text", "source", "lang"))
+    last = known.join(touched, "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by(F.struct("op", "text", "source", "lang"), order).alias("c"))
+    decided = last.select(F.when(F.col("c.op") == DELETE, DELETE).otherwise(REVISE).alias("op"), "doc_id", "c.text", "c.source", "c.lang")
+    return plain.unionByName(nameless).unionByName(decided)
+
+
 class Rollup:
     """Totals that batches of changes maintain; ``root`` is a folder that all machines share."""
 
@@ -96,12 +117,12 @@ class Rollup:
         return self.spark.read.schema(schema).parquet(*(f"{self.root}/{kind}/batch={b}" for b in batches))
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
-        """Apply ``changes`` (op, doc_id, text, source, lang) once; False if the batch was there already."""
+        """Apply ``changes`` (op, doc_id, text, source, lang, maybe seq) once; False if the batch was there already."""
         done = self.committed()
         if batch_id in done:
             return False
-        changes = changes.select("op", "doc_id", "text", "source", "lang")
-        log = count_tokens(changes.where(F.col("op").isin(INSERT, REVISE)), self.vocabularies).withColumn("docs", F.lit(1).cast("long"))
+        changes = _netted(changes)
+        log = count_tokens(changes.where(F.col("op") != DELETE), self.vocabularies).withColumn("docs", F.lit(1).cast("long"))
         if done:
             gone = changes.where(F.col("op").isin(DELETE, REVISE) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
             held = self._read("log", _LOG, done).join(gone, "doc_id", "left_semi").groupBy("doc_id", *_GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))

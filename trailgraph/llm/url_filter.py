@@ -5,7 +5,9 @@ subdomains, ``|`` an end, ``*`` matches anything, ``^`` a separator.  Each rule
 is filed under the literal token of it that fewest rules have; rules without a
 complete token are candidates everywhere.  A URL's tokens fetch its candidate
 rules, and only those run regular expressions.  The index is a constant of the
-plan (its size is checked), so that one pass without shuffle or join does it all.
+plan while its size is below ``MAX_INDEX_BYTES``, so that one pass without
+shuffle or join does it all; a larger set of rules is a table, and tokens fetch
+their rules from it by a join, with the same results.
 
 Defined cases
 -------------
@@ -13,7 +15,7 @@ Defined cases
 * empty path: no rule with a path fits;
 * ties: the longest rule wins; among equals the one listed first;
 * repeated rows: judged alike; empty table: empty result;
-* very long URLs: read whole; extra columns: kept by ``judge`` unless named like one it adds.
+* very long URLs: read whole; extra columns, with whatever names: kept by ``judge``; its own four replace those of their names.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, fresh
 
 #: Bytes that the index may take as a constant of the plan.
 MAX_INDEX_BYTES = 32 << 20
@@ -115,25 +117,50 @@ def path(url: Column) -> Column:
 ENTRY = "struct<pattern:string,tier:int,length:int,order:int,action:string,rule:string>"
 
 
-def judge(urls: DataFrame, rules: tuple[Rule, ...] = HOST_RULES + PATTERN_RULES, default: str = "allow", column: str = "url") -> DataFrame:
+def _tokens(place: Column) -> Column:
+    return F.array_distinct(F.split(ascii_lower(place), "[^a-z0-9]+"))
+
+
+def _ranked(c: Column) -> Column:
+    return F.struct(c["tier"], c["length"], c["order"], c["action"], c["rule"])
+
+
+def judge(urls: DataFrame, rules: tuple[Rule, ...] = HOST_RULES + PATTERN_RULES, default: str = "allow", column: str = "url", max_index_bytes: int = MAX_INDEX_BYTES) -> DataFrame:
     """``urls`` with host, path, rule and verdict."""
     table, everywhere, n = build_index(rules)
     text, always = json.dumps(table), json.dumps(everywhere)
-    if len(text) + len(always) > MAX_INDEX_BYTES:
-        raise ValueError("the rule index is too large for a constant of the plan; split the rules into several passes")
-    index = F.from_json(F.lit(text), f"array<map<string,array<{ENTRY}>>>")
     places = urls.withColumns({"host": host(F.col(column)), "path": path(F.col(column))})
-    place = F.concat("host", "path")
-    none = F.from_json(F.lit("[]"), f"array<{ENTRY}>")
-
-    def fetch(token: Column) -> Column:
-        return F.coalesce(F.try_element_at(F.get(index, F.pmod(F.crc32(token.cast("binary")), F.lit(n)).cast("int")), token), none)
-
-    tokens = F.array_distinct(F.split(ascii_lower(place), "[^a-z0-9]+"))
-    candidates = F.concat(F.flatten(F.transform(tokens, fetch)), F.from_json(F.lit(always), f"array<{ENTRY}>"))
-    fits = F.filter(candidates, lambda c: F.regexp_like(place, c["pattern"]))
-    best = F.array_max(F.transform(fits, lambda c: F.struct(c["tier"], c["length"], c["order"], c["action"], c["rule"])))
-    return places.withColumn("_best", best).withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce("_best.action", F.lit(default))}).drop("_best")
+    best = fresh(places, "_best")[0]
+    if len(text) + len(always) > max_index_bytes:
+        judged = _by_join(places, table, everywhere, best)
+    else:
+        index = F.from_json(F.lit(text), f"array<map<string,array<{ENTRY}>>>")
+        place = F.concat("host", "path")
+        none = F.from_json(F.lit("[]"), f"array<{ENTRY}>")
+
+        def fetch(token: Column) -> Column:
+            return F.coalesce(F.try_element_at(F.get(index, F.pmod(F.crc32(token.cast("binary")), F.lit(n)).cast("int")), token), none)
+
+        candidates = F.concat(F.flatten(F.transform(_tokens(place), fetch)), F.from_json(F.lit(always), f"array<{ENTRY}>"))
+        fits = F.filter(candidates, lambda c: F.regexp_like(place, c["pattern"]))
+        judged = places.withColumn(best, F.array_max(F.transform(fits, _ranked)))
+    return judged.withColumns({"rule": F.col(f"{best}.rule"), "verdict": F.coalesce(F.col(f"{best}.action"), F.lit(default))}).drop(best)
+
+
+def _by_join(places: DataFrame, table: list[dict], everywhere: list[dict], best: str) -> DataFrame:
+    """``places`` with the best rule that fits, the rules being a table; rules without a token are tried on every place that differs."""
+    spark = places.sparkSession
+    rows = [(token, *(e[k] for k in ("pattern", "tier", "length", "order", "action", "rule"))) for bucket in table for token, own in bucket.items() for e in own]
+    schema = "token string, pattern string, tier int, length int, order int, action string, rule string"
+    filed = spark.createDataFrame(rows, schema)
+    always = spark.createDataFrame([(None, *(e[k] for k in ("pattern", "tier", "length", "order", "action", "rule"))) for e in everywhere], schema)
+    asked = places.select(F.concat("host", "path").alias("_place")).distinct()
+    met = asked.select("_place", F.explode(_tokens(F.col("_place"))).alias("token")).join(filed, "token")
+    tried = met.unionByName(asked.withColumn("token", F.lit(None).cast("string")).join(F.broadcast(always.drop("token")))) if everywhere else met
+    fits = tried.where(F.regexp_like("_place", F.col("pattern"))).groupBy("_place").agg(F.max(F.struct("tier", "length", "order", "action", "rule")).alias("_found"))
+    place, found = fresh(places, "_place", "_found")
+    fits = fits.select(F.col("_place").alias(place), F.col("_found").alias(found))
+    return places.join(fits, F.concat("host", "path") == F.col(place), "left").withColumnRenamed(found, best).drop(place)
 
 
 def oracle_case(rules: tuple[Rule, ...], default: str, place: str) -> tuple[str, str]:
