@@ -45,7 +45,7 @@ def canonical(frame):
     import pandas as pd
 
     def plain(v):
-        if v is None or v is pd.NaT or isinstance(v, float) and v != v:
+        if v is None or v is pd.NaT or v is pd.NA or isinstance(v, float) and v != v:
             return None
         kind = type(v).__name__
         return bool(v) if "bool" in kind else int(v) if "int" in kind else float(v) if "float" in kind else str(v)

@@ -41,7 +41,7 @@ def test_answers(spark, graph_path):
     got = answers(spark, store.load(spark, graph_path), body(alternatives=2, tank_range_km=10), body(diversity=3), body(**{"from": [10, 10]}), "no json", body())
     assert [got[i][0] for i in range(5)] == [200, 422, 400, 422, 200]
     assert got[0][1] == "application/gpx+xml" and "<trk>" in got[0][2] and "<wpt" in got[0][2] and "fuel_stops=" in got[0][2]
-    assert "diversity" in json.loads(got[1][2])["error"] and "snap failed" in json.loads(got[2][2])["error"]
+    assert "diversity" in json.loads(got[1][2])["error"] and "1000 m" in json.loads(got[2][2])["error"]
     assert "<wpt" not in got[4][2]
 
 

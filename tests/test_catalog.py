@@ -23,7 +23,30 @@ def test_query(spark, duck, name):
 def test_kernel_statistics_equal_relational_ones(spark):
     names = ["request_id", "found", "length_m", "unpaved_fraction", "ford_count", "fourwd_only_count"]
     kernel = catalog.QUERIES["k_alternatives"](spark, SMALL).where("n_edges > 0").select(*names)
-    assert canonical(kernel.toPandas()) == canonical(catalog.QUERIES["route_stats"](spark, SMALL).select(*names).toPandas())
+    assert canonical(kernel.toPandas()) == canonical(catalog.QUERIES["planned_stats"](spark, SMALL).select(*names).toPandas())
+
+
+def test_alternatives_are_diverse_and_short_enough(spark):
+    pairs = catalog.QUERIES["alt_diversity"](spark, SMALL).collect()
+    assert pairs and all(r.distance >= r.diversity - 1e-6 for r in pairs)
+    lengths = catalog.QUERIES["alt_detour"](spark, SMALL).collect()
+    assert any(r.found for r in lengths) and all(r.length_m <= r.longest + 0.01 for r in lengths)
+
+
+def test_large_graphs(spark):
+    """A graph that may not be broadcast gives the same costs and routes."""
+    from pyspark.sql import functions as F
+
+    from trailgraph.fixture import Network
+    from trailgraph.operators import requests, routes
+
+    graph = catalog._graph(spark, SMALL)
+    own = {r.node_id: pytest.approx(r.cost) for r in routes.single_source(graph, 0).collect()}
+    assert len(own) > 50 and {r.node_id: r.cost for r in routes.single_source(graph, 0, broadcast_edges=0).collect()} == own
+    asked = routes.snap_requests(requests.validate(Network(spark, SMALL).requests()), graph).where("error is null").withColumn("alternatives", F.lit(2))
+    some, all_ = (routes.search_routes(asked, graph, catalog.load_profile(), n) for n in (0, routes.BROADCAST_EDGES))
+    assert canonical(some.toPandas()) == canonical(all_.toPandas())
+    assert routes.resident(graph) is routes.resident(graph)
 
 
 def test_contraction_preserves_costs(spark):

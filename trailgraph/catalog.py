@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import schemas
-from .fixture import Network
+from .fixture import EVENT_VEHICLE, Network
 from .functions import geo, tags
-from .functions.storage import checkpoint_dir, materialise
+from .functions.storage import materialise, shared_path
 from .operators import conflate, contract, fuel, requests, routes, scenic, ways
 from .plans.build import build
 from .plans.profile import load_profile, report
@@ -149,6 +149,13 @@ def bbox_derive(spark, sf_dir):
     return ways.derived_bbox(Network(spark, sf_dir).nodes())
 
 
+@query
+def bbox_parse(spark, sf_dir):
+    """Nodes in a box that is given as text."""
+    box = geo.parse_bbox(" -121.95,44.02 , -121.7,44.3")
+    return Network(spark, sf_dir).nodes().where(geo.in_bbox(F.col("lat"), F.col("lon"), box)).select("osm_id")
+
+
 @query
 def bbox_filter(spark, sf_dir):
     return Network(spark, sf_dir).nodes().where(geo.in_bbox(F.col("lat"), F.col("lon"), BBOX)).select("osm_id")
@@ -170,7 +177,7 @@ def e7_dequantize(spark, sf_dir):
 def grid_cells(spark, sf_dir):
     """Nodes by grid cell, at the fixed step of snapping and at the profile's step."""
     step = load_profile().routing.grid_step
-    cells = Network(spark, sf_dir).nodes().select(geo.cell(F.col("lat"), conflate.SNAP_STEP * 100).alias("ci"), geo.cell(F.col("lon"), step * 100).alias("cj"))
+    cells = Network(spark, sf_dir).nodes().select(geo.cell(F.col("lat"), conflate.SNAP_STEP).alias("ci"), geo.cell(F.col("lon"), step).alias("cj"))
     return cells.groupBy("ci", "cj").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -295,10 +302,35 @@ def graph_inspect(spark, sf_dir):
 
 @query
 def graph_store(spark, sf_dir):
-    """Written, read again and reported by its counts."""
-    path = f"{checkpoint_dir(spark)}/graph-store"
+    """The edges of a graph that was written and read again."""
+    path = shared_path(spark, "graph-store")
     store.save(_graph(spark, sf_dir), path, load_profile().fingerprint())
-    return store.inspect(spark, path).select("nodes", "edges", "fuel_stations")
+    edges = store.load(spark, path, load_profile().fingerprint()).edges
+    return edges.select("edge_id", "src", "dst", _d("cost", 3), _d("length_m", 3), "flags", "scenic_score", F.size("polyline").alias("n_points"))
+
+
+@query
+def profile_fingerprint(spark, sf_dir):
+    return spark.range(1).select(F.lit(load_profile().fingerprint()).alias("fingerprint"))
+
+
+@query
+def private_segments(spark, sf_dir):
+    """Segments with and without private ways, where the filter lets them through; their nodes are numbered either way."""
+    net = Network(spark, sf_dir)
+    kept = _kept(net, keep_private=True)
+    located = materialise(ways.graph_nodes(kept, net.nodes()))
+    every, public = (ways.costed_segments(kept, located, load_profile(), keep_private=k).select("way_id", "pos", "src", "dst") for k in (True, False))
+    return every.join(public.withColumn("open", F.lit(True)), ["way_id", "pos", "src", "dst"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
+
+
+@query
+def scenic_in_box(spark, sf_dir):
+    """Scores by the features inside a box alone."""
+    net = Network(spark, sf_dir)
+    kept = _kept(net)
+    located = ways.graph_nodes(kept, net.nodes())
+    return ways.costed_segments(kept, located, load_profile(), net.scenic_features(), bbox=BBOX).select("way_id", "pos", "scenic_score").where("scenic_score > 0")
 
 
 @query
@@ -387,16 +419,13 @@ def build_all(spark, sf_dir):
 
 @query
 def snap_request(spark, sf_dir):
-    asked = Network(spark, sf_dir).requests()
-    ends = asked.select("request_id", F.explode(F.array(*(F.struct(F.lit(e).alias("side"), F.col(f"{e}_lat").alias("lat"), F.col(f"{e}_lon").alias("lon")) for e in ("from", "to")))).alias("p"))
-    points = ends.select(F.struct("request_id", "p.side").alias("point"), "p.lat", "p.lon")
-    return routes.snap(points, "point", _graph(spark, sf_dir)).select("point.request_id", "point.side", "node_id", _d("snap_m", 6))
+    points = Network(spark, sf_dir).event_ends().select(F.struct("event_id", "side").alias("point"), "lat", "lon")
+    return routes.snap(points, "point", _graph(spark, sf_dir)).select("point.event_id", "point.side", "node_id", _d("snap_m", 6))
 
 
 @query
 def request_validation(spark, sf_dir):
-    events = Network(spark, sf_dir).read("events").where("event_id < 2000")
-    made = events.selectExpr(
+    made = Network(spark, sf_dir).read("events").selectExpr(
         "event_id as request_id", "cast(event_id % 200 - 100 as double) as from_lat", "cast(event_id % 500 - 250 as double) as from_lon", "cast(0 as double) as to_lat", "cast(0 as double) as to_lon",
         "cast(event_id % 7 - 1 as float) as max_detour", "cast((event_id % 8 - 2) * 0.25 as float) as diversity", "cast((event_id % 6) * 0.25 as float) as scenic_weight",
     )
@@ -408,28 +437,30 @@ def request_defaults(spark, sf_dir):
     """JSON bodies with and without optional fields."""
     body = """concat('{"from":[', event_id % 50, ',-120],"to":[44,-121]', if(event_id % 2 = 0, ',"alternatives":3', ''), if(event_id % 3 = 0, ',"diversity":0.5', ''), if(event_id % 5 = 0, ',"vehicle":"dirtbike"', ''),
       if(event_id % 7 = 0, ',"avoid_paved":false', ''), if(event_id % 4 = 0, ',"tank_range_km":120', ''), '}')"""
-    bodies = Network(spark, sf_dir).read("events").where("event_id < 2000").selectExpr("event_id as request_id", f"{body} as body")
+    bodies = Network(spark, sf_dir).read("events").selectExpr("event_id as request_id", f"{body} as body")
     return requests.decode(bodies).select("request_id", "from_lat", "alternatives", "diversity", "vehicle", "avoid_paved", "tank_range_km")
 
 
 @query
 def vehicle_fallback(spark, sf_dir):
-    return requests.with_vehicle(Network(spark, sf_dir).requests(), load_profile()).select("request_id", "vehicle", "vehicle_used", "fourwd_only_penalty", "min_smoothness")
+    asked = Network(spark, sf_dir).read("events").selectExpr("event_id as request_id", f"{EVENT_VEHICLE} as vehicle")
+    return requests.with_vehicle(asked, load_profile()).select("request_id", "vehicle", "vehicle_used", "fourwd_only_penalty", "min_smoothness")
 
 
-def _penalties(spark, sf_dir, below: int = 20) -> DataFrame:
-    asked = requests.with_vehicle(Network(spark, sf_dir).requests(below), load_profile())
-    return routes.edge_penalties(asked, _graph(spark, sf_dir).edges)
+def _asked(spark, sf_dir) -> DataFrame:
+    return requests.with_vehicle(Network(spark, sf_dir).requests(), load_profile())
 
 
 @query
 def initial_penalties(spark, sf_dir):
-    return _penalties(spark, sf_dir, 5).select("request_id", "edge_id", _d("penalty", 9))
+    """For each request, by class of edges."""
+    return routes.class_penalties(_asked(spark, sf_dir), _graph(spark, sf_dir).edges).select("request_id", "flags", "scenic_score", _d("penalty", 9), "n")
 
 
 @query
 def penalty_histogram(spark, sf_dir):
-    return _penalties(spark, sf_dir).select("request_id", _d("penalty", 6)).groupBy("request_id", "penalty").agg(F.count(F.lit(1)).alias("n"))
+    found = routes.class_penalties(_asked(spark, sf_dir), _graph(spark, sf_dir).edges)
+    return found.select("request_id", _d("penalty", 6), "n").groupBy("request_id", "penalty").agg(F.sum("n").alias("n"))
 
 
 @query
@@ -442,10 +473,10 @@ def jaccard_pairs(spark, sf_dir):
 @query
 def route_rank(spark, sf_dir):
     """Ranking of many routes: order lines stand for routes."""
-    lines = Network(spark, sf_dir).read("lineitem").where("l_orderkey < 2000")
+    lines = Network(spark, sf_dir).read("lineitem")
     number = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     made = lines.withColumn("found", (F.row_number().over(number) - 1).cast("long")).select(F.col("l_orderkey").alias("request_id"), "found", F.round(F.col("l_discount") * 10, 2).alias("unpaved_fraction"), F.col("l_quantity").alias("length_m"))
-    return routes.rank_routes(made).select("request_id", "found", F.col("rank").cast("long").alias("rank"))
+    return routes.rank_routes(made).select("request_id", "found", F.col("rank").cast("long").alias("rank"), _d("score", 9))
 
 
 @query
@@ -478,6 +509,51 @@ def cumulative_distance(spark, sf_dir):
     return fuel.cumulative(points).select(F.col("request_id").alias("way_id"), "pos", _d("cum_m", 4))
 
 
+@query
+def route_stats(spark, sf_dir):
+    """Totals of routes from their edges: ways, driven forward, stand for routes, each asked for by one of the requests."""
+    net = Network(spark, sf_dir)
+    numbered = edge_ids_total_order(spark, sf_dir).where("dir = 0")
+    steps = numbered.select(F.col("way_id").alias("request_id"), F.lit(0).alias("found"), "pos", "edge_id")
+    asked = _asked(spark, sf_dir).withColumnRenamed("request_id", "asker")
+    number = net.read("supplier").count()
+    each = steps.select("request_id").distinct().join(asked, F.pmod(F.col("request_id"), F.lit(number)) == F.col("asker")).drop("asker")
+    edges = _graph(spark, sf_dir).edges
+    total = routes.route_stats(steps, edges, routes.step_penalties(steps, each, edges))
+    return total.select("request_id", _d("length_m", 2), _d("cost", 2), _d("unpaved_fraction", 6), "ford_count", "fourwd_only_count")
+
+
+@query
+def fuel_stops_along_ways(spark, sf_dir):
+    """Fuel stops with a tank for a kilometre and a half, along ways that stand for routes."""
+    net = Network(spark, sf_dir)
+    graph = _graph(spark, sf_dir)
+    kept = _kept(net)
+    steps = kept.select("way_id", F.posexplode("nodes").alias("pos", "osm_id")).join(ways.graph_nodes(kept, net.nodes()), "osm_id")
+    lists = steps.groupBy("way_id").agg(F.array_sort(F.collect_list(F.struct("pos", "node_id"))).alias("l"))
+    driven = lists.select(F.col("way_id").alias("request_id"), F.lit(1).alias("rank"), F.transform("l", lambda x: x["node_id"]).alias("nodes"), F.lit(2.0).cast("float").alias("tank_range_km"), F.lit(0.25).cast("float").alias("fuel_buffer"))
+    return fuel.fuel_stops(driven, graph).select(F.col("request_id").alias("way_id"), "stop_no", _d("at_distance_m", 2), "osm_id", "lat_e7", "lon_e7")
+
+
+@query
+def gpx_way_tracks(spark, sf_dir):
+    """Track elements of ways, driven forward, as routes without stops."""
+    net = Network(spark, sf_dir)
+    steps = edge_ids_total_order(spark, sf_dir).where("dir = 0")
+    edges = _graph(spark, sf_dir).edges.select("edge_id", "length_m", "flags")
+    each = steps.join(edges, "edge_id").groupBy("way_id").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "src", "dst", "edge_id"))).alias("l"),
+        F.sum("length_m").alias("length_m"),
+        F.count_if(tags.has_flag(F.col("flags"), schemas.FORD)).cast("int").alias("ford_count"),
+        F.count_if(tags.has_flag(F.col("flags"), schemas.FOURWD_ONLY)).cast("int").alias("fourwd_only_count"),
+        F.when(F.max(tags.has_flag(F.col("flags"), schemas.PAVED)), 0.0).otherwise(1.0).alias("unpaved_fraction"),
+    )
+    nodes = F.concat(F.transform("l", lambda x: x["src"]), F.array(F.element_at("l", -1)["dst"]))
+    driven = each.select(F.col("way_id").alias("request_id"), F.lit(1).alias("rank"), nodes.alias("nodes"), F.transform("l", lambda x: x["edge_id"]).alias("edges"), "length_m", "ford_count", "fourwd_only_count", "unpaved_fraction")
+    none = spark.createDataFrame([], schemas.FUEL_STOPS)
+    return gpx.tracks(driven, none, _graph(spark, sf_dir)).select(F.col("request_id").alias("way_id"), "xml")
+
+
 # ------------------------------------------------------------------------ routes
 
 
@@ -489,6 +565,18 @@ def _planned(spark, sf_dir):
     return _once(spark, sf_dir, "planned", make)
 
 
+def _plain(spark, sf_dir) -> DataFrame:
+    """Plain cheapest routes (no penalties) between the ends of the requests."""
+
+    def make():
+        graph = _graph(spark, sf_dir)
+        snapped = routes.snap_requests(requests.validate(Network(spark, sf_dir).requests()).where("error is null"), graph)
+        neutral = {"avoid_paved": F.lit(False), "avoid_fords": F.lit(False), "prefer_scenic": F.lit(False), "vehicle": F.lit("dirtbike"), "alternatives": F.lit(1)}
+        return materialise(routes.search_routes(snapped.where("error is null").withColumns(neutral), graph, load_profile()))
+
+    return _once(spark, sf_dir, "plain", make)
+
+
 @query
 def sssp(spark, sf_dir):
     """Exact cost from the first node to every node that can be reached."""
@@ -498,12 +586,24 @@ def sssp(spark, sf_dir):
 
 @query
 def route_cost(spark, sf_dir):
-    """Plain cheapest routes (no penalties) between the ends of the requests."""
-    graph = _graph(spark, sf_dir)
-    snapped = routes.snap_requests(requests.validate(Network(spark, sf_dir).requests()).where("error is null"), graph)
-    neutral = {"avoid_paved": F.lit(False), "avoid_fords": F.lit(False), "prefer_scenic": F.lit(False), "vehicle": F.lit("dirtbike"), "alternatives": F.lit(1)}
-    plain = snapped.where("error is null").withColumns(neutral)
-    return routes.search_routes(plain, graph, load_profile()).select("request_id", _d("cost", 2))
+    return _plain(spark, sf_dir).select("request_id", _d("cost", 2))
+
+
+@query
+def route_path(spark, sf_dir):
+    """Ends and cost of the same routes, worked out from the path: whether its edges lead from node to node, and what they cost."""
+    steps = _plain(spark, sf_dir).select("request_id", "nodes", F.posexplode_outer("edges").alias("pos", "edge_id"))
+    edges = _graph(spark, sf_dir).edges.select("edge_id", "src", "dst", F.col("cost").cast("double").alias("step"))
+    joined = steps.join(edges, "edge_id", "left")
+    fits = F.col("edge_id").isNull() | ((F.col("src") == F.get("nodes", F.col("pos"))) & (F.col("dst") == F.get("nodes", F.col("pos") + 1)))
+    ends = (F.first(F.element_at("nodes", i)).alias(name) for i, name in ((1, "first_node"), (-1, "last_node")))
+    return joined.groupBy("request_id").agg(*ends, F.round(F.coalesce(F.sum("step"), F.lit(0.0)), 2).alias("cost"), F.bool_and(F.coalesce(fits, F.lit(False))).alias("connected"))
+
+
+@query
+def first_route_cost(spark, sf_dir):
+    """What the first route of each request costs with its penalties, on the contracted graph."""
+    return _planned(spark, sf_dir)[0].where("found = 0").select("request_id", _d("cost", 2))
 
 
 @query
@@ -518,30 +618,29 @@ def route_errors(spark, sf_dir):
 
 
 @query
-def route_stats(spark, sf_dir):
-    """Totals of the routes recomputed from their edges; equal to the kernel's."""
+def planned_stats(spark, sf_dir):
+    """Totals of the planned routes recomputed from their edges."""
     found = _planned(spark, sf_dir)[0]
     graph = _graph(spark, sf_dir, contracted=True)
     steps = found.select("request_id", "found", F.posexplode("edges").alias("pos", "edge_id"))
-    asked = requests.with_vehicle(Network(spark, sf_dir).requests(), load_profile())
-    own = routes.edge_penalties(asked, graph.edges.join(steps.select("edge_id").distinct(), "edge_id", "left_semi"))
+    own = routes.step_penalties(steps, _asked(spark, sf_dir), graph.edges)
     return routes.route_stats(steps, graph.edges, own).select("request_id", "found", _d("length_m", 2), _d("unpaved_fraction", 6), "ford_count", "fourwd_only_count")
 
 
 @query
-def alt_diversity_ok(spark, sf_dir):
-    """Every pair of a request's routes is diverse enough: one row, true."""
-    found = _planned(spark, sf_dir)[0]
-    pairs = routes.route_pairs(found).join(Network(spark, sf_dir).requests().select("request_id", "diversity"), "request_id")
-    return pairs.agg(F.coalesce(F.bool_and(F.col("distance") >= F.col("diversity").cast("double")), F.lit(True)).alias("ok"))
+def alt_diversity(spark, sf_dir):
+    """The distance of every pair of a request's routes, and what it has to be."""
+    pairs = routes.route_pairs(_planned(spark, sf_dir)[0]).join(Network(spark, sf_dir).requests().select("request_id", "diversity"), "request_id")
+    return pairs.select("request_id", "found_a", "found_b", _d("distance", 9), _d("diversity", 6))
 
 
 @query
-def alt_detour_ok(spark, sf_dir):
+def alt_detour(spark, sf_dir):
+    """The length of every route against the first of its request, and what it may be."""
     found = _planned(spark, sf_dir)[0]
     first = found.where("found = 0").select("request_id", F.col("length_m").alias("base"))
     asked = Network(spark, sf_dir).requests().select("request_id", "max_detour")
-    return found.join(first, "request_id").join(asked, "request_id").agg(F.coalesce(F.bool_and(F.col("length_m") <= F.col("base") * F.col("max_detour") + 1e-6), F.lit(True)).alias("ok"))
+    return found.join(first, "request_id").join(asked, "request_id").select("request_id", "found", _d("length_m", 2), F.round(F.col("base") * F.col("max_detour"), 2).alias("longest"))
 
 
 def _with_range(spark, sf_dir) -> DataFrame:
@@ -560,11 +659,7 @@ def gpx_tracks(spark, sf_dir):
     return gpx.documents(_planned(spark, sf_dir)[0], stops, graph, time=F.lit("2020-01-01T00:00:00Z"))
 
 
-def _ok(sql: dict[str, str]) -> dict[str, str]:
-    return sql | {"alt_diversity_ok": "SELECT true AS ok", "alt_detour_ok": "SELECT true AS ok", "graph_store": sql["graph_inspect"]}
-
-
 def oracle() -> dict[str, str]:
     from .oracle import build as build_sql
 
-    return _ok(build_sql())
+    return build_sql()

@@ -5,7 +5,10 @@ from __future__ import annotations
 import argparse
 import json
 import os
+import signal
 import threading
+from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import TimeoutError as FutureTimeout
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from pyspark.sql import SparkSession
@@ -22,7 +25,7 @@ def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="trailgraph")
     top.add_argument("--graph", default=os.environ.get("GRAPH_PATH", "graph"))
     top.add_argument("--log", default="WARN")
-    top.add_argument("--threads", default="*")
+    top.add_argument("--threads", type=int)
     commands = top.add_subparsers(dest="command", required=True)
     build = commands.add_parser("build")
     build.add_argument("pbf")
@@ -36,55 +39,104 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def server(spark: SparkSession, path: str, host: str, port: int) -> ThreadingHTTPServer:
-    """``GET /health`` and ``POST /route``; at most ``MAX_ROUTES`` requests are planned at a time, others wait."""
-    profile = load_profile()
-    graph = store.load(spark, path, profile.fingerprint())
-    slots = threading.Semaphore(MAX_ROUTES)
-
-    class Handler(BaseHTTPRequestHandler):
-        timeout = TIMEOUT_S
-
-        def reply(self, status: int, kind: str, body: str) -> None:
-            data = body.encode()
-            self.send_response(status)
-            for name, value in (("Content-Type", kind), ("Content-Length", str(len(data))), ("Access-Control-Allow-Origin", "*")):
-                self.send_header(name, value)
-            self.end_headers()
-            self.wfile.write(data)
-
-        def do_GET(self) -> None:
-            if self.path == "/health":
-                self.reply(200, "application/json", json.dumps(api.health()))
-            else:
-                self.reply(404, "application/json", '{"error": "not found"}')
-
-        def do_POST(self) -> None:
-            size = int(self.headers.get("Content-Length") or 0)
-            if self.path != "/route":
-                self.reply(404, "application/json", '{"error": "not found"}')
-            elif size > MAX_BODY:
-                self.reply(413, "application/json", '{"error": "body too large"}')
-            else:
-                body = self.rfile.read(size).decode("utf-8", "replace")
-                try:
-                    with slots:
-                        row = api.answer(spark.createDataFrame([(0, body)], "request_id long, body string"), graph, profile).first()
-                    self.reply(row["status"], row["content_type"], row["body"])
-                except Exception as error:
-                    self.reply(500, "application/json", json.dumps({"error": str(error)[:300]}))
-
-    return ThreadingHTTPServer((host, port), Handler)
+class Server(ThreadingHTTPServer):
+    """``GET /health`` and ``POST /route``, also across origins.
+
+    At most ``MAX_ROUTES`` requests are planned at a time, others wait; one
+    that has no answer after ``timeout_s`` gets status 408.  The graph is
+    loaded once and stays with the executors.  ``stop`` lets requests in work
+    finish.
+    """
+
+    daemon_threads = False
+    block_on_close = True
+
+    def __init__(self, spark: SparkSession, path: str, host: str, port: int, timeout_s: float = TIMEOUT_S) -> None:
+        self.spark, self.profile, self.timeout_s = spark, load_profile(), timeout_s
+        self.graph = store.load(spark, path, self.profile.fingerprint())
+        self.planners = ThreadPoolExecutor(MAX_ROUTES)
+        super().__init__((host, port), Handler)
+
+    def answer(self, body: str):
+        """status, content_type and body for a request's JSON body."""
+        asked = self.spark.createDataFrame([(0, body)], "request_id long, body string")
+        return api.answer(asked, self.graph, self.profile).first()
+
+    def stop(self) -> None:
+        """Take no more requests, finish those in work."""
+        self.shutdown()
+        self.server_close()
+        self.planners.shutdown()
+
+
+class Handler(BaseHTTPRequestHandler):
+    timeout = TIMEOUT_S
+    server: Server
+
+    def reply(self, status: int, kind: str = "application/json", body: str = "", **headers: str) -> None:
+        data = body.encode()
+        self.send_response(status)
+        own = {"Content-Type": kind, "Content-Length": str(len(data)), "Access-Control-Allow-Origin": "*"}
+        for name, value in (own | {k.replace("_", "-"): v for k, v in headers.items()}).items():
+            self.send_header(name, value)
+        self.end_headers()
+        self.wfile.write(data)
+
+    def fail(self, status: int, error: str) -> None:
+        self.reply(status, body=json.dumps({"error": error}))
+
+    def do_OPTIONS(self) -> None:
+        self.reply(200, Access_Control_Allow_Methods="GET,POST", Access_Control_Allow_Headers="content-type")
+
+    def do_GET(self) -> None:
+        if self.path == "/health":
+            self.reply(200, body=json.dumps(api.health()))
+        else:
+            self.fail(404, "not found")
+
+    def do_POST(self) -> None:
+        size = int(self.headers.get("Content-Length") or 0)
+        if self.path != "/route":
+            self.fail(404, "not found")
+        elif size > MAX_BODY:
+            self.fail(413, "body too large")
+        else:
+            body = self.rfile.read(size).decode("utf-8", "replace")
+            planned = self.server.planners.submit(self.server.answer, body)
+            try:
+                row = planned.result(self.server.timeout_s)
+                self.reply(row["status"], row["content_type"], row["body"])
+            except FutureTimeout:
+                planned.cancel()
+                self.fail(408, "no answer in time")
+            except Exception as error:
+                self.fail(500, str(error)[:300])
+
+
+def server(spark: SparkSession, path: str, host: str, port: int, timeout_s: float = TIMEOUT_S) -> Server:
+    return Server(spark, path, host, port, timeout_s)
+
+
+def serve(spark: SparkSession, path: str, host: str, port: int) -> None:
+    """Serve until a signal to end."""
+    running = server(spark, path, host, port)
+    for sign in (signal.SIGINT, signal.SIGTERM):
+        signal.signal(sign, lambda *_: threading.Thread(target=running.shutdown).start())
+    running.serve_forever()
+    running.stop()
 
 
 def main(args: list[str] | None = None) -> None:
     given = parser().parse_args(args)
-    spark = SparkSession.builder.appName("trailgraph").getOrCreate()
+    builder = SparkSession.builder.appName("trailgraph")
+    if given.threads is not None:  # as many threads on this machine; a cluster's master says how many it has
+        builder = builder.master(f"local[{given.threads}]")
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel(given.log.upper())
     if given.command == "build":
         api.build_from_files(spark, given.pbf, given.out or given.graph, given.profile, given.bbox, given.keep_private, not given.no_simplify, given.usfs, given.usfs_snap).show(truncate=False)
     elif given.command == "serve":
-        server(spark, given.graph, given.host, given.port).serve_forever()
+        serve(spark, given.graph, given.host, given.port)
     elif given.command == "inspect":
         api.inspect(spark, given.graph).show(truncate=False)
     else:

@@ -1,8 +1,10 @@
 """A road network derived from the star-schema tables by integer arithmetic, so that queries have road data to run on.
 
 Customers are nodes of a jittered grid, orders are ways along its rows and
-columns, parts are scenic features and forest roads, suppliers fuel stations,
-events route requests.  The formulas are SQL texts with the placeholders {n}
+columns, parts are scenic features and forest roads, suppliers fuel stations
+and route requests, events points to snap.  A fixed share of orders, parts and
+suppliers becomes ways, features and stations, so that the network has the
+density of a real one; every query reads the whole network.  The formulas are SQL texts with the placeholders {n}
 (number of nodes) and {w} (width of the grid); the SQL counterparts of the
 queries read the same texts, so both sides start from the same rows.
 """
@@ -62,24 +64,27 @@ USFS = {
     "NAME": "case when p_partkey % 3 = 0 then concat(' ', p_name, ' ') end",
 }
 REQUEST = {
-    "request_id": "event_id",
-    "tank_range_km": "cast(case when event_id % 3 = 0 then null else 30 + (event_id % 4) * 20 end as float)",
-    "avoid_paved": "event_type in ('click', 'view')",
-    "avoid_fords": "event_id % 2 = 0",
-    "prefer_scenic": "event_id % 5 <> 0",
+    "request_id": "s_suppkey",
+    "tank_range_km": "cast(case when s_suppkey % 3 = 0 then null else 30 + (s_suppkey % 4) * 20 end as float)",
+    "avoid_paved": "s_nationkey % 2 = 0",
+    "avoid_fords": "s_suppkey % 2 = 0",
+    "prefer_scenic": "s_suppkey % 5 <> 0",
     "scenic_weight": "cast(1.0 as float)",
-    "alternatives": "cast(1 + event_id % 3 as int)",
+    "alternatives": "cast(1 + s_suppkey % 3 as int)",
     "diversity": "cast(0.35 as float)",
     "max_detour": "cast(1.6 as float)",
     "lambda": "cast(1.5 as float)",
     "fuel_buffer": "cast(0.2 as float)",
-    "vehicle": "case user_id % 5 when 0 then 'stock-suv' when 1 then 'high-clearance' when 2 then '4x4' when 3 then 'dirtbike' else 'bicycle' end",
+    "vehicle": "case s_nationkey % 5 when 0 then 'stock-suv' when 1 then 'high-clearance' when 2 then '4x4' when 3 then 'dirtbike' else 'bicycle' end",
 }
+#: Vehicles that events ask for, where they stand for requests that are not routed.
+EVENT_VEHICLE = "case user_id % 5 when 0 then 'stock-suv' when 1 then 'high-clearance' when 2 then '4x4' when 3 then 'dirtbike' else 'bicycle' end"
 
 
-def request_places() -> dict[str, str]:
+def request_places(key: str = "s_suppkey") -> dict[str, str]:
+    """Both ends of a request, some metres off two nodes."""
     places = {}
-    for end, node in (("from", "((event_id * 97 + 11) % {n})"), ("to", "((event_id * 389 + {n} div 2) % {n})")):
+    for end, node in (("from", f"(({key} * 97 + 11) % {{n}})"), ("to", f"(({key} * 389 + {{n}} div 2) % {{n}})")):
         places[f"{end}_lat"] = f"({LAT.replace('{id}', node)} + 2000) / 1e7"
         places[f"{end}_lon"] = f"({LON.replace('{id}', node)} - 1500) / 1e7"
     return places
@@ -153,6 +158,12 @@ class Network:
         parts = f"case record_id % 3 when 0 then array({first}, {second}) when 1 then array({first}) else array({second}, array({point(2)})) end"
         return rows.selectExpr(*(f"`{c}`" for c in USFS), f"{parts} as parts")
 
-    def requests(self, below: int = 20) -> DataFrame:
-        """Requests from the first events: each is a search, so their number is fixed."""
-        return self.read("events").where(f"event_id < {below}").selectExpr(*self._columns(REQUEST), *self._columns(request_places()))
+    def requests(self) -> DataFrame:
+        """A request for each supplier."""
+        return self.read("supplier").selectExpr(*self._columns(REQUEST), *self._columns(request_places()))
+
+    def event_ends(self) -> DataFrame:
+        """Two points for each event: event_id, side, lat, lon."""
+        placed = self.read("events").selectExpr("event_id", *self._columns(request_places("event_id")))
+        ends = F.array(*(F.struct(F.lit(e).alias("side"), F.col(f"{e}_lat").alias("lat"), F.col(f"{e}_lon").alias("lon")) for e in ("from", "to")))
+        return placed.select("event_id", F.explode(ends).alias("p")).select("event_id", "p.*")

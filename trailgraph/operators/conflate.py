@@ -38,7 +38,7 @@ def vertices(parts: DataFrame) -> DataFrame:
 def snap_ends(ends: DataFrame, nodes: DataFrame, snap_m: float = SNAP_M) -> DataFrame:
     """record_id, part_no, pos and the nearest mapped node (then the lowest id) of the ends that have one near."""
     key = ["record_id", "part_no", "pos"]
-    near = cell_join(ends.select(*key, "lat", "lon"), nodes.select("osm_id", F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon")), SNAP_STEP)
+    near = cell_join(nodes.select("osm_id", F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon")), ends.select(*key, "lat", "lon"), SNAP_STEP, "r_lat", "r_lon", "lat", "lon")
     near = near.withColumn("_d", haversine_m(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"))).where(F.col("_d") <= snap_m)
     return near.groupBy(*key).agg(F.min(F.struct("_d", "osm_id")).alias("b")).select(*key, F.col("b.osm_id").alias("osm_id"))
 

@@ -18,6 +18,7 @@ DEFAULTS = {
     "avoid_paved": (True, "boolean"), "avoid_fords": (True, "boolean"), "prefer_scenic": (True, "boolean"), "scenic_weight": (1.0, "float"), "alternatives": (1, "int"),
     "diversity": (0.35, "float"), "max_detour": (1.6, "float"), "lambda": (1.5, "float"), "fuel_buffer": (0.2, "float"), "vehicle": (DEFAULT_VEHICLE, "string"),
 }
+#: Penalties and the effect of scenery.
 BLOCKED = 9999.0
 AVOID_PAVED, AVOID_FORDS = 10.0, 20.0
 SCENIC_EFFECT, SCENIC_FLOOR = 0.35, 0.65
@@ -41,10 +42,10 @@ def validate(requests: DataFrame) -> DataFrame:
     for end in ("from", "to"):
         for axis, long, limit in (("lat", "latitude", 90), ("lon", "longitude", 180)):
             ok = F.col(f"{end}_{axis}").between(-limit, limit)
-            rules.append((~F.coalesce(ok, F.lit(False)), F.concat(F.lit(f"{end} {long} "), F.coalesce(F.col(f"{end}_{axis}").cast("string"), F.lit("missing")), F.lit(f" out of range [-{limit}, {limit}]"))))
-    rules.append((F.col("max_detour") <= 0, text("max_detour must be positive, got ", "max_detour")))
+            rules.append((~F.coalesce(ok, F.lit(False)), F.concat(F.lit(f"{end} {long} "), F.coalesce(F.col(f"{end}_{axis}").cast("string"), F.lit("missing")), F.lit(f" is not within -{limit} and {limit}"))))
+    rules.append((F.col("max_detour") <= 0, text("max_detour has to exceed 0, not ", "max_detour")))
     for name in ("diversity", "scenic_weight"):
-        rules.append(((F.col(name) < 0) | (F.col(name) > 1), text(f"{name} must be between 0.0 and 1.0, got ", name)))
+        rules.append(((F.col(name) < 0) | (F.col(name) > 1), text(f"{name} has to be within 0 and 1, not ", name)))
     error = F.lit(None).cast("string")
     for broken, message in reversed(rules):
         error = F.when(broken, message).otherwise(error)

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.geo import from_e7, haversine_m
-from ..functions.storage import materialise
+from ..functions.geo import EARTH_RADIUS_M, from_e7, haversine_m
+from ..functions.storage import dense_ids, materialise
 from ..functions.tags import has_flag
 from ..plans.profile import DEFAULT_VEHICLE, Profile
 from ..schemas import FORD, FOURWD_ONLY, PAVED, ROUGH, ROUTES, TRAIL, VERY_ROUGH
@@ -21,6 +25,7 @@ from .spatial import nearest
 from .ways import Graph
 
 SNAP_LIMIT_M = 1000.0
+FAR, NO_ROUTE = "the {} is more than 1000 m from any road of the map", "no roads connect the two places"
 UNPAVED_WEIGHT, DETOUR_WEIGHT = 0.6, 0.4
 #: Shortest lengths are guarded by the least step of a 32-bit float.
 EPSILON = float(np.finfo(np.float32).eps)
@@ -32,11 +37,14 @@ REQUEST_BLOCK = 64
 _COLUMNS = ["edge_id", "src", "dst", "cost", "length_m", "flags", "scenic_score"]
 
 
-def snap(points: DataFrame, key: str, graph: Graph, step: float = 0.02) -> DataFrame:
-    """key, node_id, snap_m: the nearest graph node in degrees and its distance in metres."""
+def snap(points: DataFrame, key: str, graph: Graph, step: float = 0.02, limit_m: float = SNAP_LIMIT_M) -> DataFrame:
+    """key, node_id, snap_m: the nearest graph node in degrees and its distance in metres, of the points where that is within ``limit_m``."""
     targets = graph.nodes.select(F.col("node_id").alias("t_id"), from_e7(F.col("lat_e7")).alias("t_lat"), from_e7(F.col("lon_e7")).alias("t_lon"))
-    hit = nearest(points.select(key, "lat", "lon"), key, targets, step)
-    return hit.select(key, F.col("t_id").alias("node_id"), haversine_m(F.col("lat"), F.col("lon"), F.col("t_lat"), F.col("t_lon")).alias("snap_m"))
+    # so many degrees, along the parallel, are the limit at most; a little more, as the distance is a curve's
+    limit = F.lit(1.01 * math.degrees(limit_m / EARTH_RADIUS_M)) / F.greatest(F.cos(F.radians("lat")), F.lit(1e-9))
+    hit = nearest(points.select(key, "lat", "lon"), key, targets, step, limit)
+    snapped = hit.select(key, F.col("t_id").alias("node_id"), haversine_m(F.col("lat"), F.col("lon"), F.col("t_lat"), F.col("t_lon")).alias("snap_m"))
+    return snapped.where(F.col("snap_m") <= limit_m)
 
 
 def snap_requests(valid: DataFrame, graph: Graph) -> DataFrame:
@@ -45,25 +53,41 @@ def snap_requests(valid: DataFrame, graph: Graph) -> DataFrame:
     points = ends.select(F.struct("request_id", F.col("p.end").alias("end")).alias("point"), F.col("p.lat").alias("lat"), F.col("p.lon").alias("lon"))
     found = snap(points, "point", graph)
     by_request = found.groupBy(F.col("point.request_id").alias("request_id")).agg(
-        *(F.max(F.when((F.col("point.end") == e) & (F.col("snap_m") <= SNAP_LIMIT_M), F.col("node_id"))).alias(f"{e}_node") for e in ("from", "to"))
+        *(F.max(F.when(F.col("point.end") == e, F.col("node_id"))).alias(f"{e}_node") for e in ("from", "to"))
     )
     place = {"from": "origin", "to": "destination"}
     error = F.lit(None).cast("string")
     for e in ("to", "from"):
-        error = F.when(F.col(f"{e}_node").isNull(), F.lit(f"{place[e]} snap failed; move the point closer to a mapped road")).otherwise(error)
+        error = F.when(F.col(f"{e}_node").isNull(), F.lit(FAR.format(place[e]))).otherwise(error)
     return valid.drop("error").join(by_request, "request_id", "left").withColumn("error", error)
 
 
-def edge_penalties(requests: DataFrame, edges: DataFrame) -> DataFrame:
-    """request_id, edge_id, penalty of every edge for every request: a report, for up to ``REQUEST_BLOCK`` requests.
+_ASKED = ("request_id", "avoid_paved", "avoid_fords", "prefer_scenic", "scenic_weight", "vehicle", "fourwd_only_penalty", "min_smoothness")
+
 
-    Searches never use it; they work penalties out inside their own task.
+def class_penalties(requests: DataFrame, edges: DataFrame) -> DataFrame:
+    """request_id, flags, scenic_score, penalty, n: a penalty hangs on an edge's flags and score alone, so each class of n edges has one for each request.
+
+    Flags and scores have eight bits each, which bounds the classes.
     """
-    if requests.count() > REQUEST_BLOCK:
-        raise ValueError(f"penalties are reported for up to {REQUEST_BLOCK} requests at a time")
-    ready = requests.select("request_id", "avoid_paved", "avoid_fords", "prefer_scenic", "scenic_weight", "vehicle", "fourwd_only_penalty", "min_smoothness")
-    pairs = edges.select("edge_id", "flags", "scenic_score").join(F.broadcast(ready))
-    return pairs.select("request_id", "edge_id", req.initial_penalty(F.col("flags"), F.col("scenic_score")).alias("penalty"))
+    classes = edges.groupBy("flags", "scenic_score").agg(F.count(F.lit(1)).alias("n")).collect()
+    if not classes:
+        return requests.sparkSession.createDataFrame([], "request_id long, flags int, scenic_score int, penalty double, n long")
+    table = F.from_json(F.lit(json.dumps([r.asDict() for r in classes])), "array<struct<flags:int,scenic_score:int,n:bigint>>")
+    met = requests.select(*_ASKED, F.explode(table).alias("c"))
+    return met.select("request_id", "c.flags", "c.scenic_score", req.initial_penalty(F.col("c.flags"), F.col("c.scenic_score")).alias("penalty"), "c.n")
+
+
+def edge_penalties(requests: DataFrame, edges: DataFrame) -> DataFrame:
+    """request_id, edge_id, penalty of every edge for every request: a report.  Searches never use it; they work penalties out inside their own task."""
+    own = class_penalties(requests, edges).drop("n")
+    return edges.select("edge_id", "flags", "scenic_score").join(own, ["flags", "scenic_score"]).select("request_id", "edge_id", "penalty")
+
+
+def step_penalties(steps: DataFrame, requests: DataFrame, edges: DataFrame) -> DataFrame:
+    """request_id, edge_id, penalty of the edges that routes use."""
+    used = steps.select("request_id", "edge_id").distinct().join(edges.select("edge_id", "flags", "scenic_score"), "edge_id").join(requests.select(*_ASKED), "request_id")
+    return used.select("request_id", "edge_id", req.initial_penalty(F.col("flags"), F.col("scenic_score")).alias("penalty"))
 
 
 def penalty_array(flags: np.ndarray, scenic: np.ndarray, request, profile: Profile) -> np.ndarray:
@@ -99,18 +123,31 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["request_id", "found", "nodes", "edges", "length_m", "cost", "unpaved_fraction", "ford_count", "fourwd_only_count"])
 
 
+#: Broadcast arrays of graphs that are searched again and again, while the graph is in use; None for a graph that is too large.
+_resident: WeakKeyDictionary[DataFrame, Broadcast | None] = WeakKeyDictionary()
+
+
+def resident(graph: Graph, broadcast_edges: int = BROADCAST_EDGES) -> Broadcast | None:
+    """The graph as arrays on every executor, made at its first search; None where it has more edges than may be broadcast."""
+    if broadcast_edges != BROADCAST_EDGES or graph.edges not in _resident:
+        edges = graph.edges.select(*_COLUMNS)
+        made = graph.edges.sparkSession.sparkContext.broadcast(_arrays(edges.toPandas())) if edges.count() <= broadcast_edges else None
+        if broadcast_edges != BROADCAST_EDGES:
+            return made
+        _resident[graph.edges] = made
+    return _resident[graph.edges]
+
+
 def search_routes(snapped: DataFrame, graph: Graph, profile: Profile, broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:
     """Routes (in the order found) of requests whose ends are snapped.
 
-    A graph up to ``broadcast_edges`` edges goes to each executor once; a
-    larger one is dealt to the requests by a shuffle, a block of requests at a
-    time.
+    A graph up to ``broadcast_edges`` edges goes to each executor once, and
+    stays there for later requests; a larger one is dealt to the requests by a
+    shuffle, a block of requests at a time.
     """
-    spark = snapped.sparkSession
     asked = snapped.select("request_id", "from_node", "to_node", "vehicle", "avoid_paved", "avoid_fords", "prefer_scenic", "scenic_weight", "alternatives", "diversity", "max_detour", F.col("lambda").alias("lambda_"))
-    edges = graph.edges.select(*_COLUMNS)
-    if edges.count() <= broadcast_edges:
-        shared = spark.sparkContext.broadcast(_arrays(edges.toPandas()))
+    shared = resident(graph, broadcast_edges)
+    if shared is not None:
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
@@ -124,14 +161,14 @@ def search_routes(snapped: DataFrame, graph: Graph, profile: Profile, broadcast_
         g = _arrays(part)
         return _frame([row for r in own.itertuples(index=False) for row in _answer(g, r, profile)])
 
-    ids = [r[0] for r in asked.select("request_id").distinct().orderBy("request_id").collect()]
-    result = None
-    for i in range(0, max(1, len(ids)), REQUEST_BLOCK):
-        block = ids[i : i + REQUEST_BLOCK] or [-1]
-        dealt = edges.withColumn("request_id", F.explode(F.array(*map(F.lit, block))))
-        own = asked.where(F.col("request_id").isin(block))
-        routes = own.groupBy("request_id").cogroup(dealt.groupBy("request_id")).applyInPandas(grouped, ROUTES)
-        result = routes if result is None else result.unionByName(routes)
+    numbered = dense_ids(asked, [F.col("request_id")], "_n")
+    blocks = -(-numbered.count() // REQUEST_BLOCK)
+    result = asked.sparkSession.createDataFrame([], ROUTES)
+    for block in range(blocks):  # each materialised, so that no plan holds all blocks
+        own = numbered.where(F.col("_n").between(block * REQUEST_BLOCK, (block + 1) * REQUEST_BLOCK - 1)).drop("_n")
+        ids = [r[0] for r in own.select("request_id").collect()]
+        dealt = graph.edges.select(*_COLUMNS, F.explode(F.array(*map(F.lit, ids))).alias("request_id"))
+        result = result.unionByName(materialise(own.groupBy("request_id").cogroup(dealt.groupBy("request_id")).applyInPandas(grouped, ROUTES)))
     return result
 
 
@@ -140,15 +177,10 @@ def _arrays(frame: pd.DataFrame) -> search.Arrays:
 
 
 def single_source(graph: Graph, source: int, broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:
-    """node_id and the exact cost from ``source`` of every node that can be reached: one search, in one task.
-
-    A search runs over the whole graph at once, so the graph must fit a task; beyond ``broadcast_edges`` this raises.
-    """
-    spark = graph.edges.sparkSession
-    edges = graph.edges.select(*_COLUMNS)
-    if edges.count() > broadcast_edges:
-        raise ValueError("the graph is too large for a single search")
-    shared = spark.sparkContext.broadcast(_arrays(edges.toPandas()))
+    """node_id and the exact cost from ``source`` of every node that can be reached: one search in one task, or relaxation rounds on a graph that is too large for that."""
+    shared = resident(graph, broadcast_edges)
+    if shared is None:
+        return relaxed(graph.edges, source)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -159,7 +191,20 @@ def single_source(graph: Graph, source: int, broadcast_edges: int = BROADCAST_ED
                 ids = [int(source) if v is None else int(g.node_ids[v]) for v in settled]
                 yield pd.DataFrame({"node_id": ids, "cost": list(settled.values())})
 
-    return spark.range(source, source + 1, 1, 1).mapInPandas(run, "node_id long, cost double")
+    return graph.edges.sparkSession.range(source, source + 1, 1, 1).mapInPandas(run, "node_id long, cost double")
+
+
+def relaxed(edges: DataFrame, source: int) -> DataFrame:
+    """The same costs by rounds of joins: the nodes that became cheaper offer their neighbours a price, until none does."""
+    steps = materialise(edges.groupBy("src", "dst").agg(F.min(F.col("cost").cast("double")).alias("step")))
+    known = materialise(edges.sparkSession.range(source, source + 1, 1, 1).select(F.col("id").alias("node_id"), F.lit(0.0).alias("cost")))
+    front = known
+    while not front.isEmpty():
+        offered = front.join(steps, F.col("node_id") == F.col("src")).groupBy(F.col("dst").alias("node_id")).agg(F.min(F.col("cost") + F.col("step")).alias("offer"))
+        front = offered.join(known, "node_id", "left").where(F.col("cost").isNull() | (F.col("offer") < F.col("cost"))).select("node_id", F.col("offer").alias("cost"))
+        front = materialise(front)
+        known = materialise(known.unionByName(front).groupBy("node_id").agg(F.min("cost").alias("cost")))
+    return known
 
 
 def score(unpaved: Column, length: Column, shortest: Column) -> Column:
@@ -209,5 +254,5 @@ def plan_routes(requests: DataFrame, graph: Graph, profile: Profile, broadcast_e
     routes = materialise(search_routes(snapped.where("error is null"), graph, profile, broadcast_edges))
     invalid = checked.where("error is not null").select("request_id", F.lit(422).alias("status"), "error")
     unsnapped = snapped.where("error is not null").select("request_id", F.lit(400).alias("status"), "error")
-    lost = snapped.where("error is null").join(routes, "request_id", "left_anti").select("request_id", F.lit(400).alias("status"), F.lit("no path found between the two coordinates").alias("error"))
+    lost = snapped.where("error is null").join(routes, "request_id", "left_anti").select("request_id", F.lit(400).alias("status"), F.lit(NO_ROUTE).alias("error"))
     return rank_routes(routes), invalid.unionByName(unsnapped).unionByName(lost)

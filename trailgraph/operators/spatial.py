@@ -23,20 +23,23 @@ def cell_join(left: DataFrame, right: DataFrame, step: float, lat: str = "lat",
     return joined.drop("ci", "cj", "r_ci", "r_cj")
 
 
-def nearest(points: DataFrame, key: str, targets: DataFrame, step: float = 0.05) -> DataFrame:
+def nearest(points: DataFrame, key: str, targets: DataFrame, step: float = 0.05, limit: Column | None = None) -> DataFrame:
     """The nearest target of each point in degrees, then the lowest id.
 
     points: ``key``, lat, lon (``key`` unique); targets: t_id, t_lat, t_lon.
-    Returns the points with t_id, t_lat, t_lon; none without targets.
-
-    A hit is final if it lies within one cell's width, as every closer target
-    then lies in the nine cells.  What stays open is searched again with cells
-    four times as wide, at last with cells wider than the globe.
+    Returns the points with t_id, t_lat, t_lon; none without targets.  With a
+    ``limit`` in degrees (an expression over the points), points without a
+    target that near may be left out.
+
+    Points are filed under nine cells, targets under their own.  A hit is final
+    if it lies within one cell's width, as every closer target then lies in the
+    nine cells.  What stays open is searched again with cells four times as
+    wide, up to its limit, at last with cells wider than the globe.
     """
     found, rest = None, points
     best = F.min(F.struct(degree_distance(F.col("lat"), F.col("lon"), F.col("t_lat"), F.col("t_lon")).alias("d"), F.col("t_id"), F.col("t_lat"), F.col("t_lon"))).alias("best")
     while True:
-        hits = cell_join(rest, targets, step, right_lat="t_lat", right_lon="t_lon").groupBy(key).agg(best)
+        hits = cell_join(targets, rest, step, "t_lat", "t_lon", "lat", "lon").groupBy(key).agg(best)
         if step > 360:
             final = hits
         else:
@@ -45,7 +48,8 @@ def nearest(points: DataFrame, key: str, targets: DataFrame, step: float = 0.05)
         found = final if found is None else found.unionByName(final)
         if step > 360:
             break
-        rest = materialise(rest.join(final, key, "left_anti"))
+        rest = rest.join(final, key, "left_anti")
+        rest = materialise(rest if limit is None else rest.where(limit > step))
         if rest.isEmpty():
             break
         step = step * 4 if step < 20 else 361.0

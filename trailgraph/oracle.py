@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import fixture as fx
+from .operators.routes import FAR, NO_ROUTE
 from .operators.scenic import BOX, KINDS, MAX_SCORE
 from .plans.profile import Profile, load_profile
 
@@ -30,6 +31,15 @@ def names(values) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
 
+def _canonical(profile: Profile) -> str:
+    """The settings as JSON: keys in order, numbers as floats."""
+    vehicle = ", ".join(f'"{k}": {{"fourwd_only_penalty": {float(v.fourwd_only_penalty)!r}, "min_smoothness": "{v.min_smoothness}", "narrow_path_bonus": {"null" if v.narrow_path_bonus is None else repr(float(v.narrow_path_bonus))}}}' for k, v in sorted(profile.vehicle.items()))
+    tables = {t: ", ".join(f'"{k}": {float(v)!r}' for k, v in sorted(getattr(profile, t).items())) for t in ("base", "smoothness", "surface", "tracktype")}
+    routing = ", ".join(f'"{k}": ' + ("[" + ", ".join(f'"{x}"' for x in v) + "]" if isinstance(v, tuple) else repr(float(v))) for k, v in sorted(vars(profile.routing).items()))
+    tables |= {"routing": routing, "vehicle": vehicle}
+    return "{" + ", ".join(f'"{t}": {{{text}}}' for t, text in sorted(tables.items())) + "}"
+
+
 def _network(profile: Profile) -> str:
     lat, lon = (_d(t.replace("{id}", "c_custkey")) for t in (fx.LAT, fx.LON))
     flat, flon = map(_d, fx.offset_point("p_partkey", 100))
@@ -98,7 +108,7 @@ cseg AS (SELECT way_id, i AS pos, (x.lat + y.lat) * 0.5 AS lat, (x.lon + y.lon)
 chit AS (SELECT DISTINCT way_id, pos FROM cseg c JOIN unodes u ON abs(u.lat - c.lat) <= 50 / 111000.0::DOUBLE AND abs(u.lon - c.lon) <= 50 / (111000.0::DOUBLE * greatest(cos(radians(c.lat)), 0.1::DOUBLE)) AND {hav("c.lat", "c.lon", "u.lat", "u.lon")} <= 50
     AND abs(floor(u.lat / 0.001::DOUBLE) - floor(c.lat / 0.001::DOUBLE)) <= 1 AND abs(floor(u.lon / 0.001::DOUBLE) - floor(c.lon / 0.001::DOUBLE)) <= 1),
 cover AS (SELECT c.way_id, avg(CASE WHEN h.way_id IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END) AS coverage FROM cseg c LEFT JOIN chit h ON h.way_id = c.way_id AND h.pos = c.pos GROUP BY c.way_id),
-reqs AS (SELECT {_cols(fx.REQUEST)}, {_cols(fx.request_places())} FROM events, g_ WHERE event_id < 20),
+reqs AS (SELECT {_cols(fx.REQUEST)}, {_cols(fx.request_places())} FROM supplier, g_),
 vehicles AS (SELECT name, CAST(pen AS FLOAT) AS pen, smooth FROM {_values([(k, float(v.fourwd_only_penalty), v.min_smoothness) for k, v in profile.vehicle.items()])} AS t(name, pen, smooth)),
 reqv AS (SELECT r.*, v.name AS vehicle_used, v.pen AS fourwd_only_penalty, v.smooth AS min_smoothness FROM reqs r JOIN vehicles v ON v.name = CASE WHEN r.vehicle IN (SELECT name FROM vehicles) THEN r.vehicle ELSE 'high-clearance' END)
 """
@@ -111,9 +121,13 @@ def build() -> dict[str, str]:
     pen = """greatest(CASE WHEN prefer_scenic AND scenic_score > 0 THEN greatest(0.65::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE - CAST(scenic_weight AS DOUBLE) * 0.35::DOUBLE * (scenic_score / 255.0::DOUBLE))) ELSE 1.0::DOUBLE END,
       CASE WHEN avoid_paved AND flags & 1 = 1 THEN 10.0::DOUBLE ELSE 0 END, CASE WHEN avoid_fords AND flags & 2 = 2 THEN 20.0::DOUBLE ELSE 0 END, CASE WHEN vehicle <> 'dirtbike' AND flags & 32 = 32 THEN 9999.0::DOUBLE ELSE 0 END,
       CASE WHEN flags & 4 = 4 THEN CAST(fourwd_only_penalty AS DOUBLE) ELSE 0 END, CASE WHEN (min_smoothness = 'bad' AND flags & 64 = 64) OR (min_smoothness = 'very_bad' AND flags & 128 = 128) THEN 9999.0::DOUBLE ELSE 0 END)"""
-    snap = f"""ends AS (SELECT request_id, 'from' AS side, from_lat AS lat, from_lon AS lon FROM reqs UNION ALL SELECT request_id, 'to', to_lat, to_lon FROM reqs),
-snapped AS (SELECT request_id, side, node_id, {hav("lat", "lon", "lat_e7 / 1e7", "lon_e7 / 1e7")} AS snap_m FROM (
-  SELECT e.*, n.*, row_number() OVER (PARTITION BY request_id, side ORDER BY (lat - lat_e7 / 1e7) * (lat - lat_e7 / 1e7) + (lon - lon_e7 / 1e7) * (lon - lon_e7 / 1e7), node_id) AS rn FROM ends e, gnodes n) WHERE rn = 1)"""
+    def snap(requests: str, key: str, nodes: str = "gnodes", node: str = "node_id") -> str:
+        return f"""ends AS MATERIALIZED (SELECT {key}, 'from' AS side, from_lat AS lat, from_lon AS lon FROM {requests} UNION ALL SELECT {key}, 'to', to_lat, to_lon FROM {requests}),
+targets AS MATERIALIZED (SELECT {node} AS node_id, lat_e7 / 1e7 AS n_lat, lon_e7 / 1e7 AS n_lon FROM {nodes}),
+closest AS MATERIALIZED (SELECT {key}, side, lat, lon, arg_min(node_id, ((lat - n_lat) * (lat - n_lat) + (lon - n_lon) * (lon - n_lon), node_id)) AS node_id FROM ends, targets GROUP BY ALL),
+snapped AS MATERIALIZED (SELECT {key}, side, c.node_id, {hav("lat", "lon", "n_lat", "n_lon")} AS snap_m FROM closest c JOIN targets USING (node_id) WHERE {hav("lat", "lon", "n_lat", "n_lon")} <= 1000)"""
+
+    events = f"asked AS (SELECT event_id, {_cols(fx.request_places('event_id'))} FROM events, g_)"
     chain = """half AS MATERIALIZED (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
 d2 AS MATERIALIZED (SELECT a AS node FROM half GROUP BY a HAVING count(*) = 2),
 walk(first_a, first_b, a, b, pos) AS (
@@ -133,11 +147,34 @@ cedges AS (SELECT row_number() OVER (ORDER BY s.new_id, d.new_id, old, tie) - 1
   SELECT (SELECT min(node_id) FROM gnodes), 0.0::DOUBLE
   UNION SELECT e.dst, min(x.d + e.cost) FROM dist x JOIN best e ON e.src = x.node LEFT JOIN recurring.dist r ON r.node = e.dst WHERE r.d IS NULL OR x.d + e.cost < r.d GROUP BY e.dst)"""
 
-    ssmp = """req_ends AS MATERIALIZED (SELECT request_id, max(CASE WHEN side = 'from' THEN node_id END) AS f, max(CASE WHEN side = 'to' THEN node_id END) AS t FROM snapped GROUP BY request_id HAVING max(snap_m) <= 1000),
-best AS MATERIALIZED (SELECT src, dst, min(CAST(cost AS DOUBLE)) AS cost FROM edges GROUP BY src, dst),
-dist(rid, node, d) USING KEY (rid, node) AS (
-  SELECT request_id, f, 0.0::DOUBLE FROM req_ends
-  UNION SELECT x.rid, e.dst, min(x.d + e.cost) FROM dist x JOIN best e ON e.src = x.node LEFT JOIN recurring.dist r ON r.node = e.dst AND r.rid = x.rid WHERE r.d IS NULL OR x.d + e.cost < r.d GROUP BY x.rid, e.dst)"""
+    # search from one end of each request, over ``step`` (rid, src, dst, cost; a null rid is for all)
+    req_ends = "req_ends AS MATERIALIZED (SELECT request_id, max(CASE WHEN side = 'from' THEN node_id END) AS f, max(CASE WHEN side = 'to' THEN node_id END) AS t FROM reqs LEFT JOIN snapped USING (request_id) GROUP BY request_id)"
+
+    def ssmp(own: bool) -> str:
+        mine = " AND e.rid = x.rid" if own else ""
+        return f"""dist(rid, node, d) USING KEY (rid, node) AS (
+  SELECT request_id, f, 0.0::DOUBLE FROM req_ends WHERE f IS NOT NULL AND t IS NOT NULL
+  UNION SELECT x.rid, e.dst, min(x.d + e.cost) FROM dist x JOIN best e ON e.src = x.node{mine} LEFT JOIN recurring.dist r ON r.node = e.dst AND r.rid = x.rid WHERE r.d IS NULL OR x.d + e.cost < r.d GROUP BY x.rid, e.dst)"""
+
+    plain = "best AS MATERIALIZED (SELECT src, dst, min(CAST(cost AS DOUBLE)) AS cost FROM edges GROUP BY src, dst)"
+    dear = f"best AS MATERIALIZED (SELECT request_id AS rid, src, dst, min(CAST(cost AS DOUBLE) * {pen}) AS cost FROM cedges, reqv GROUP BY request_id, src, dst)"
+    routed = ",\n".join((snap("reqs", "request_id"), req_ends, plain, ssmp(False)))
+    planned = ",\n".join((chain, gone, snap("reqs", "request_id", "kept", "new_id"), req_ends, dear, ssmp(True)))
+    asker = "JOIN reqv ON request_id = way_id % (SELECT count(*) FROM supplier)"
+    fuel_near = f"""near AS MATERIALIZED (SELECT g.node_id, arg_min(s.osm_id, ((g.lat_e7 / 1e7 - s.lat_e7 / 1e7) * (g.lat_e7 / 1e7 - s.lat_e7 / 1e7) + (g.lon_e7 / 1e7 - s.lon_e7 / 1e7) * (g.lon_e7 / 1e7 - s.lon_e7 / 1e7), s.osm_id)) AS station FROM gnodes g, stations s GROUP BY g.node_id),
+reach AS MATERIALIZED (SELECT n.node_id, station, CASE WHEN {hav("g.lat_e7 / 1e7", "g.lon_e7 / 1e7", "s.lat_e7 / 1e7", "s.lon_e7 / 1e7")} <= 2000 THEN station END AS town FROM near n JOIN gnodes g USING (node_id) JOIN stations s ON s.osm_id = station),
+driven AS (SELECT way_id, pos, station, town, sum(step) OVER (PARTITION BY way_id ORDER BY pos) AS cum FROM (
+  SELECT *, coalesce({hav("lag(lat) OVER w", "lag(lon) OVER w", "lat", "lon")}, 0) AS step FROM (SELECT way_id, pos, node_id, lat_e7 / 1e7 AS lat, lon_e7 / 1e7 AS lon FROM occ JOIN gnodes USING (osm_id)) WINDOW w AS (PARTITION BY way_id ORDER BY pos)) JOIN reach USING (node_id)),
+lists AS (SELECT way_id, list(cum ORDER BY pos) AS cum, list(town ORDER BY pos) AS town, list(station ORDER BY pos) AS station FROM driven GROUP BY way_id),
+stops(way_id, n, due, stop, refuelled, station, done) AS (
+  SELECT way_id, 0, CAST(1 AS BIGINT), CAST(-1 AS BIGINT), 0.0::DOUBLE, CAST(NULL AS BIGINT), false FROM lists
+  UNION ALL SELECT way_id, n + 1, due, stop, cum[stop + 1], coalesce(town[stop + 1], nearest[stop + 1]), cum[due + 1] >= cum[stop + 1] + 1500 FROM (
+    SELECT way_id, n, due, coalesce(list_max([j FOR j IN range(stop + 1, due + 1) IF town[j + 1] IS NOT NULL]), due) AS stop, cum, town, nearest FROM (
+      SELECT s.way_id, n, stop, list_min([i FOR i IN range(due, len(cum)) IF cum[i + 1] >= refuelled + 1500]) AS due, cum, town, l.station AS nearest FROM stops s JOIN lists l ON l.way_id = s.way_id WHERE NOT done) WHERE due IS NOT NULL))"""
+    # the elements of a track, as text
+    point = "'<trkpt lat=\"' || printf('%.7f', lat_e7 / 1e7) || '\" lon=\"' || printf('%.7f', lon_e7 / 1e7) || '\"/>'"
+    track = f"""marks AS (SELECT way_id, string_agg({point}, '' ORDER BY pos) AS points FROM occ JOIN gnodes USING (osm_id) GROUP BY way_id),
+sums AS (SELECT way_id, sum(CAST(length_m AS DOUBLE)) AS length_m, count(*) FILTER (flags & 2 = 2) AS fords, count(*) FILTER (flags & 4 = 4) AS fourwd, CASE WHEN bool_or(flags & 1 = 1) THEN 0 ELSE 1 END AS unpaved FROM lengths GROUP BY way_id)"""
 
     def q(select: str, more: str = "", recursive: bool = False) -> str:
         return f"WITH {'RECURSIVE ' if recursive else ''}{network}{',' + chr(10) + more if more else ''}\n{select}"
@@ -162,7 +199,7 @@ dist(rid, node, d) USING KEY (rid, node) AS (
         "bbox_filter": q("SELECT osm_id FROM nodes WHERE lat BETWEEN 44.02 AND 44.3 AND lon BETWEEN -121.95 AND -121.7"),
         "e7_quantize": q("SELECT osm_id, CAST(trunc((lat + 0.00000005) * 1e7) AS INTEGER) AS lat_e7, CAST(trunc((lon - 0.00000005) * 1e7) AS INTEGER) AS lon_e7 FROM nodes"),
         "e7_dequantize": q("SELECT osm_id, lat_e7 / 1e7 AS lat, lon_e7 * 1e-7 AS lon FROM stations"),
-        "grid_cells": q("SELECT CAST(floor(lat / 0.1::DOUBLE) AS BIGINT) AS ci, CAST(floor(lon / 0.1::DOUBLE) AS BIGINT) AS cj, count(*) AS n FROM nodes GROUP BY ALL"),
+        "grid_cells": q("SELECT CAST(floor(lat / 0.001::DOUBLE) AS BIGINT) AS ci, CAST(floor(lon / 0.001::DOUBLE) AS BIGINT) AS cj, count(*) AS n FROM nodes GROUP BY ALL"),
         "flag_counts": q(f"""SELECT count(*) FILTER (surface IN ({names(profile.routing.paved_surfaces)})) AS paved, count(*) FILTER (ford = 'yes') AS ford, count(*) FILTER ("4wd_only" = 'yes') AS fourwd_only, count(*) FILTER (seasonal = 'yes') AS seasonal,
             count(*) FILTER (access = 'private') AS private, count(*) FILTER (highway = 'path') AS trail, count(*) FILTER (smoothness IN ({names(profile.routing.smoothness_rough)})) AS rough, count(*) FILTER (smoothness IN ({names(profile.routing.smoothness_very_rough)})) AS very_rough
             FROM ways WHERE highway IN (SELECT highway FROM allowed) AND coalesce(vehicle, '') <> 'no' AND coalesce(motor_vehicle, '') <> 'no'"""),
@@ -196,18 +233,18 @@ dist(rid, node, d) USING KEY (rid, node) AS (
         "ways_union": q("SELECT way_id FROM fways UNION ALL SELECT way_id FROM uways"),
         "nodes_union": q("SELECT osm_id, round(lat, 9) AS lat, round(lon, 9) AS lon FROM nodes UNION ALL SELECT osm_id, round(lat, 9), round(lon, 9) FROM unodes"),
         "scenic_score": q("SELECT way_id, pos, scenic_score FROM scored"),
-        "snap_request": q("SELECT request_id, side, node_id, round(snap_m, 6) AS snap_m FROM snapped", snap),
-        "request_validation": """SELECT event_id AS request_id, CASE WHEN flat NOT BETWEEN -90 AND 90 THEN 'from latitude ' || flat || ' out of range [-90, 90]' WHEN flon NOT BETWEEN -180 AND 180 THEN 'from longitude ' || flon || ' out of range [-180, 180]'
-            WHEN det <= 0 THEN 'max_detour must be positive, got ' || det WHEN div < 0 OR div > 1 THEN 'diversity must be between 0.0 and 1.0, got ' || div WHEN sw < 0 OR sw > 1 THEN 'scenic_weight must be between 0.0 and 1.0, got ' || sw END AS error
-            FROM (SELECT event_id, CAST(event_id % 200 - 100 AS DOUBLE) AS flat, CAST(event_id % 500 - 250 AS DOUBLE) AS flon, CAST(event_id % 7 - 1 AS FLOAT) AS det, CAST((event_id % 8 - 2) * 0.25 AS FLOAT) AS div, CAST((event_id % 6) * 0.25 AS FLOAT) AS sw FROM events WHERE event_id < 2000)""",
-        "request_defaults": "SELECT event_id AS request_id, CAST(event_id % 50 AS DOUBLE) AS from_lat, CASE WHEN event_id % 2 = 0 THEN 3 ELSE 1 END AS alternatives, CAST(CASE WHEN event_id % 3 = 0 THEN 0.5 ELSE 0.35 END AS FLOAT) AS diversity, CASE WHEN event_id % 5 = 0 THEN 'dirtbike' ELSE 'high-clearance' END AS vehicle, event_id % 7 <> 0 AS avoid_paved, CAST(CASE WHEN event_id % 4 = 0 THEN 120 END AS FLOAT) AS tank_range_km FROM events WHERE event_id < 2000",
-        "vehicle_fallback": q("SELECT request_id, vehicle, vehicle_used, fourwd_only_penalty, min_smoothness FROM reqv"),
-        "initial_penalties": q(f"SELECT request_id, edge_id, round({pen}, 9) AS penalty FROM edges, reqv WHERE request_id < 5"),
-        "penalty_histogram": q(f"SELECT request_id, round({pen}, 6) AS penalty, count(*) AS n FROM edges, reqv GROUP BY ALL"),
+        "snap_request": q("SELECT event_id, side, node_id, round(snap_m, 6) AS snap_m FROM snapped", f"{events},\n{snap('asked', 'event_id')}"),
+        "request_validation": """SELECT event_id AS request_id, CASE WHEN flat NOT BETWEEN -90 AND 90 THEN 'from latitude ' || flat || ' is not within -90 and 90' WHEN flon NOT BETWEEN -180 AND 180 THEN 'from longitude ' || flon || ' is not within -180 and 180'
+            WHEN det <= 0 THEN 'max_detour has to exceed 0, not ' || det WHEN div < 0 OR div > 1 THEN 'diversity has to be within 0 and 1, not ' || div WHEN sw < 0 OR sw > 1 THEN 'scenic_weight has to be within 0 and 1, not ' || sw END AS error
+            FROM (SELECT event_id, CAST(event_id % 200 - 100 AS DOUBLE) AS flat, CAST(event_id % 500 - 250 AS DOUBLE) AS flon, CAST(event_id % 7 - 1 AS FLOAT) AS det, CAST((event_id % 8 - 2) * 0.25 AS FLOAT) AS div, CAST((event_id % 6) * 0.25 AS FLOAT) AS sw FROM events)""",
+        "request_defaults": "SELECT event_id AS request_id, CAST(event_id % 50 AS DOUBLE) AS from_lat, CASE WHEN event_id % 2 = 0 THEN 3 ELSE 1 END AS alternatives, CAST(CASE WHEN event_id % 3 = 0 THEN 0.5 ELSE 0.35 END AS FLOAT) AS diversity, CASE WHEN event_id % 5 = 0 THEN 'dirtbike' ELSE 'high-clearance' END AS vehicle, event_id % 7 <> 0 AS avoid_paved, CAST(CASE WHEN event_id % 4 = 0 THEN 120 END AS FLOAT) AS tank_range_km FROM events",
+        "vehicle_fallback": q(f"SELECT event_id AS request_id, e.vehicle, name AS vehicle_used, pen AS fourwd_only_penalty, smooth AS min_smoothness FROM (SELECT event_id, {_d(fx.EVENT_VEHICLE)} AS vehicle FROM events) e JOIN vehicles v ON v.name = CASE WHEN e.vehicle IN (SELECT name FROM vehicles) THEN e.vehicle ELSE 'high-clearance' END"),
+        "initial_penalties": q(f"SELECT request_id, flags, scenic_score, round({pen}, 9) AS penalty, n FROM (SELECT flags, scenic_score, count(*) AS n FROM edges GROUP BY ALL), reqv"),
+        "penalty_histogram": q(f"SELECT request_id, penalty, CAST(sum(n) AS BIGINT) AS n FROM (SELECT request_id, round({pen}, 6) AS penalty, n FROM (SELECT flags, scenic_score, count(*) AS n FROM edges GROUP BY ALL), reqv) GROUP BY ALL"),
         "jaccard_pairs": q("SELECT a.way_id AS way_a, b.way_id AS way_b, 1.0::DOUBLE - len(list_intersect(a.nodes, b.nodes)) / len(list_distinct(list_concat(a.nodes, b.nodes)))::DOUBLE AS distance FROM fways a JOIN fways b ON a.nodes[1] = b.nodes[1] AND a.way_id < b.way_id"),
-        "route_rank": """SELECT l_orderkey AS request_id, l_linenumber AS found, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, l_linenumber) AS rank FROM (
+        "route_rank": """SELECT l_orderkey AS request_id, l_linenumber AS found, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, l_linenumber) AS rank, round(score, 9) AS score FROM (
             SELECT *, round(l_discount * 10, 2) * 0.6::DOUBLE - (l_quantity / greatest(max(CASE WHEN l_linenumber = first THEN l_quantity END) OVER (PARTITION BY l_orderkey), 1.1920928955078125e-07) - 1) * 0.4::DOUBLE AS score FROM (
-              SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS l_linenumber, 0 AS first, l_discount, l_quantity FROM lineitem WHERE l_orderkey < 2000))""",
+              SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS l_linenumber, 0 AS first, l_discount, l_quantity FROM lineitem))""",
         "fuel_nearest": q(f"""SELECT node_id, station, round(station_m, 3) AS station_m FROM (SELECT g.node_id, s.osm_id AS station, {hav("g.lat_e7 / 1e7", "g.lon_e7 / 1e7", "s.lat_e7 / 1e7", "s.lon_e7 / 1e7")} AS station_m,
             row_number() OVER (PARTITION BY g.node_id ORDER BY (g.lat_e7 / 1e7 - s.lat_e7 / 1e7) * (g.lat_e7 / 1e7 - s.lat_e7 / 1e7) + (g.lon_e7 / 1e7 - s.lon_e7 / 1e7) * (g.lon_e7 / 1e7 - s.lon_e7 / 1e7), s.osm_id) AS rn FROM gnodes g, stations s) WHERE rn = 1"""),
         "cumulative_distance": q(f"""SELECT way_id, pos, round(sum(step) OVER (PARTITION BY way_id ORDER BY pos), 4) AS cum_m FROM (SELECT way_id, pos, coalesce({hav("lag(lat) OVER w", "lag(lon) OVER w", "lat", "lon")}, 0) AS step
@@ -217,6 +254,25 @@ dist(rid, node, d) USING KEY (rid, node) AS (
         "contract_chains": q("SELECT src, dst, lowest, CAST(n_steps - 1 AS INTEGER) AS n_interior, round(cost, 2) AS cost, round(length_m, 2) AS length_m, flags, scenic_score FROM chosen", chain, True),
         "contract_graph": q("SELECT edge_id, src, dst, round(CAST(cost AS DOUBLE), 2) AS cost, round(CAST(length_m AS DOUBLE), 2) AS length_m, flags, scenic_score, CAST(n_points AS INTEGER) AS n_points FROM cedges", chain + ",\n" + gone, True),
         "sssp": q("SELECT node AS node_id, round(d, 3) AS cost FROM dist", "best AS MATERIALIZED (SELECT src, dst, min(CAST(cost AS DOUBLE)) AS cost FROM edges GROUP BY src, dst),\n" + sssp, True),
-        "route_cost": q("SELECT request_id, round(d, 2) AS cost FROM req_ends JOIN dist ON rid = request_id AND node = t", snap + ",\n" + ssmp, True),
+        "route_cost": q("SELECT request_id, round(d, 2) AS cost FROM req_ends JOIN dist ON rid = request_id AND node = t", routed, True),
+        "route_path": q("SELECT request_id, f AS first_node, t AS last_node, round(d, 2) AS cost, true AS connected FROM req_ends JOIN dist ON rid = request_id AND node = t", routed, True),
+        "first_route_cost": q("SELECT request_id, round(d, 2) AS cost FROM req_ends JOIN dist ON rid = request_id AND node = t", planned, True),
+        "route_errors": q(f"SELECT request_id, 400 AS status, CASE WHEN f IS NULL THEN '{FAR.format('origin')}' WHEN t IS NULL THEN '{FAR.format('destination')}' ELSE '{NO_ROUTE}' END AS error FROM req_ends LEFT JOIN dist ON rid = request_id AND node = t WHERE d IS NULL", planned, True),
+        "route_stats": q(f"""SELECT way_id AS request_id, round(sum(CAST(length_m AS DOUBLE)), 2) AS length_m, round(sum(CAST(cost AS DOUBLE) * {pen}), 2) AS cost,
+            round(CASE WHEN sum(length_m) > 0 THEN sum(CASE WHEN flags & 1 = 0 THEN CAST(length_m AS DOUBLE) ELSE 0 END) / sum(CAST(length_m AS DOUBLE)) ELSE 0 END, 6) AS unpaved_fraction,
+            CAST(count(*) FILTER (flags & 2 = 2) AS INTEGER) AS ford_count, CAST(count(*) FILTER (flags & 4 = 4) AS INTEGER) AS fourwd_only_count FROM (SELECT * FROM edges WHERE dir = 0) {asker} GROUP BY way_id"""),
+        "fuel_stops_along_ways": q("SELECT way_id, n AS stop_no, round(refuelled, 2) AS at_distance_m, station AS osm_id, lat_e7, lon_e7 FROM stops JOIN stations ON osm_id = station WHERE n > 0", fuel_near, True),
+        "gpx_way_tracks": q("""SELECT way_id, '<trk><name>trailgraph-route-1</name><desc>length=' || printf('%.1f', length_m / 1000) || 'km unpaved=' || unpaved * 100 || '% fords=' || fords || ' 4wd_only=' || fourwd || ' score=' || printf('%.2f', unpaved * 0.6)
+            || '</desc><trkseg>' || points || '</trkseg></trk>' AS xml FROM marks JOIN sums USING (way_id)""", track),
+        "bbox_parse": q("SELECT osm_id FROM nodes WHERE lat BETWEEN 44.02 AND 44.3 AND lon BETWEEN -121.95 AND -121.7"),
+        "profile_fingerprint": f"SELECT sha256('{_canonical(profile)}') AS fingerprint",
+        "private_segments": q(f"""SELECT way_id, CAST(i AS INTEGER) AS pos, x.node_id AS src, y.node_id AS dst, coalesce(access, '') <> 'private' AS open FROM pways, unnest(range(0, len(nodes) - 1)) AS t(i) JOIN pnodes x ON x.osm_id = nodes[i + 1] JOIN pnodes y ON y.osm_id = nodes[i + 2]""",
+            """pways AS (SELECT * FROM ways WHERE highway IN (SELECT highway FROM allowed) AND coalesce(vehicle, '') <> 'no' AND coalesce(motor_vehicle, '') <> 'no'),
+pocc AS (SELECT way_id, CAST(i AS BIGINT) AS pos, nodes[i + 1] AS osm_id FROM pways, unnest(range(0, len(nodes))) AS t(i)),
+pnodes AS (SELECT row_number() OVER (ORDER BY way_id, pos) - 1 AS node_id, osm_id FROM (SELECT osm_id, min(way_id) AS way_id, arg_min(pos, way_id * 1000 + pos) AS pos FROM pocc GROUP BY osm_id) JOIN nodes USING (osm_id))"""),
+        "scenic_in_box": q(f"""SELECT way_id, pos, CAST(round(least(sum(weight * (1.0::DOUBLE - d / radius)), {MAX_SCORE}::DOUBLE) / {MAX_SCORE}::DOUBLE * 255) AS INTEGER) AS scenic_score FROM (
+            SELECT m.way_id, m.pos, {hav("m.lat", "m.lon", "f.lat_e7 / 1e7", "f.lon_e7 / 1e7")} AS d, f.radius, f.weight FROM mids m JOIN features f ON f.lat_e7 / 1e7 BETWEEN m.lat - {BOX!r}::DOUBLE AND m.lat + {BOX!r}::DOUBLE AND f.lon_e7 / 1e7 BETWEEN m.lon - {BOX!r}::DOUBLE AND m.lon + {BOX!r}::DOUBLE
+              AND f.lat_e7 / 1e7 BETWEEN 44.02 AND 44.3 AND f.lon_e7 / 1e7 BETWEEN -121.95 AND -121.7) WHERE d <= radius GROUP BY way_id, pos HAVING CAST(round(least(sum(weight * (1.0::DOUBLE - d / radius)), {MAX_SCORE}::DOUBLE) / {MAX_SCORE}::DOUBLE * 255) AS INTEGER) > 0"""),
+        "graph_store": q("SELECT edge_id, src, dst, round(CAST(cost AS DOUBLE), 3) AS cost, round(CAST(length_m AS DOUBLE), 3) AS length_m, flags, scenic_score, 0 AS n_points FROM edges"),
     }
     return sql
