@@ -10,12 +10,13 @@ from pyspark.sql.window import Window
 
 from . import schemas
 from .fixture import EVENT_VEHICLE, Network
+from .fixture_files import write_extract, write_shapes
 from .functions import geo, tags
 from .functions.storage import materialise, shared_path
 from .operators import conflate, contract, fuel, requests, routes, scenic, ways
 from .plans.build import build
 from .plans.profile import load_profile, report
-from .sources import gpx, store
+from .sources import gpx, osm_pbf, shapefile, store
 
 BBOX = (-121.95, 44.02, -121.7, 44.3)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,7 +64,7 @@ def _segments(net: Network, features: bool = False) -> DataFrame:
 
 
 def _d(column: str, places: int):
-    return F.round(F.col(column).cast("double"), places).alias(column)
+    return F.round(F.col(column).cast("double"), places).alias(column.rpartition(".")[2])
 
 
 # ------------------------------------------------------------------ sources, filters, projections
@@ -81,6 +82,44 @@ def road_ways(spark, sf_dir):
     return Network(spark, sf_dir).ways().select("way_id", F.array_join(F.col("nodes").cast("array<string>"), ",").alias("nodes"), *(tags.raw_tag(t, k).alias(n) for k, n in names.items()))
 
 
+def _extract(spark, sf_dir) -> str:
+    return _once(spark, sf_dir, "extract", lambda: write_extract(Network(spark, sf_dir)))
+
+
+def _shapes(spark, sf_dir) -> str:
+    return _once(spark, sf_dir, "shapes", lambda: write_shapes(Network(spark, sf_dir)))
+
+
+@query
+def extract_nodes(spark, sf_dir):
+    """The nodes of an extract, read from its file."""
+    t = F.col("tags")
+    found = osm_pbf.read(spark, _extract(spark, sf_dir), "node")
+    return found.select("osm_id", F.round(F.col("lat") * 1e7).cast("long").alias("lat_e7"), F.round(F.col("lon") * 1e7).cast("long").alias("lon_e7"), *(tags.raw_tag(t, k).alias(k) for k in ("tourism", "natural", "waterway", "amenity")))
+
+
+@query
+def extract_ways(spark, sf_dir):
+    """The ways of an extract, read from its file."""
+    t = F.col("tags")
+    names = {k: k for k in ("highway", "surface", "smoothness", "tracktype", "ford", "oneway", "seasonal", "access")} | {"4wd_only": "fourwd"}
+    found = osm_pbf.read(spark, _extract(spark, sf_dir), "way")
+    return found.select("way_id", F.array_join(F.col("nodes").cast("array<string>"), ",").alias("nodes"), *(tags.raw_tag(t, k).alias(n) for k, n in names.items()))
+
+
+@query
+def shapefile_records(spark, sf_dir):
+    """Forest roads, read from a shapefile and its attribute table; empty fields come as empty texts."""
+    found = shapefile.read(spark, _shapes(spark, sf_dir))
+    return found.select("record_id", "ROUTE_STAT", "OPER_MAINT", "OPENFORUSE", "OBJECTIVE_", "SURFACE_TY", "NAME", F.size("parts").alias("n_parts"))
+
+
+@query
+def shapefile_points(spark, sf_dir):
+    found = shapefile.read(spark, _shapes(spark, sf_dir)).select("record_id", F.posexplode("parts").alias("part_no", "points"))
+    return found.select("record_id", "part_no", F.posexplode("points").alias("pos", "p")).select("record_id", "part_no", "pos", _d("p.lat", 9), _d("p.lon", 9))
+
+
 @query
 def way_filter(spark, sf_dir):
     return _kept(Network(spark, sf_dir)).select("way_id", tags.get_tag(F.col("tags"), "highway").alias("highway"))

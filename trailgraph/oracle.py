@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from . import fixture as fx
 from .operators.routes import FAR, NO_ROUTE
 from .operators.scenic import BOX, KINDS, MAX_SCORE
@@ -10,6 +12,17 @@ from .plans.profile import Profile, load_profile
 _TWO_R = "12742017.6"
 
 
+#: Tags of forest roads, from ``utag``.
+ROAD_TAGS = {
+    "highway": "CASE WHEN level <= 3 THEN 'track' WHEN level = 4 THEN 'unclassified' ELSE 'secondary' END",
+    "fourwd": "CASE WHEN level <= 2 THEN 'yes' END",
+    "smoothness": "CASE WHEN level <= 1 THEN 'very_bad' END",
+    "access": "CASE WHEN OBJECTIVE_ LIKE '%DECOMMISSION%' THEN 'no' WHEN trim(OPENFORUSE) = 'ADMIN' THEN 'private' END",
+    "surface": "CASE WHEN sv IN ('ASPH', 'PAVE', 'CONC', 'BST', 'CHIP', 'BITU') THEN 'asphalt' WHEN sv IN ('AGG', 'GRAV', 'CRUS') THEN 'gravel' END",
+    "name": """nullif(trim("NAME"), '')""",
+}
+
+
 def _d(text: str) -> str:
     """A fixture formula in DuckDB's words."""
     return text.replace(" div ", " // ").replace("{n}", "g_.n").replace("{w}", "g_.w").replace("as string)", "as varchar)")
@@ -114,6 +127,24 @@ reqv AS (SELECT r.*, v.name AS vehicle_used, v.pen AS fourwd_only_penalty, v.smo
 """
 
 
+def _with_roads(network: str, more: str) -> str:
+    """The graph's part of the network, and what follows from it, once more with forest roads in place of the ways that they cover; names get an underscore."""
+    graph = network[network.index("wflags AS (") : network.index("stations AS (")].rstrip(",\n")
+    graph = graph.replace("AS flags FROM fways)", "AS flags FROM fways WHERE coalesce(access, '') <> 'private')")
+    # tables that are the same for both
+    common = ("kinds", "features")
+    text = f"{graph},\n{more}"
+    own = [n for n in re.findall(r"(?m)^(\w+)(?:\([\w, ]+\))? AS (?:MATERIALIZED )?\(", text) if n not in common] + ["fways", "nodes"]
+    text = re.sub(rf"(?m)^({'|'.join(common)}) AS .*\n", "", text)
+    for name in own:
+        text = re.sub(rf"(?m)^{name}(?=(?:\([\w, ]+\))? AS (?:MATERIALIZED )?\()|(?<=FROM ){name}\b|(?<=JOIN ){name}\b|\b{name}(?=\.[\w*])", f"{name}_", text)
+    return f"""nodes_ AS (SELECT osm_id, lat, lon FROM nodes UNION ALL SELECT osm_id, lat, lon FROM unodes),
+fways_ AS (
+  SELECT way_id, nodes, highway, surface, smoothness, tracktype, ford, "4wd_only", oneway, seasonal, access FROM fways WHERE way_id NOT IN (SELECT way_id FROM cover WHERE coverage >= 0.5)
+  UNION ALL SELECT 1000000000 - way_id, nodes, {ROAD_TAGS["highway"]}, {ROAD_TAGS["surface"]}, {ROAD_TAGS["smoothness"]}, NULL, NULL, {ROAD_TAGS["fourwd"]}, NULL, NULL, {ROAD_TAGS["access"]} FROM uways JOIN ulist USING (record_id, part_no) JOIN utag USING (record_id)),
+{text}"""
+
+
 def build() -> dict[str, str]:
     """Query name -> SQL."""
     profile = load_profile()
@@ -185,6 +216,14 @@ sums AS (SELECT way_id, sum(CAST(length_m AS DOUBLE)) AS length_m, count(*) FILT
     sql = {
         "road_nodes": q("SELECT osm_id, lat, lon FROM nodes"),
         "road_ways": q(f'SELECT way_id, {listed("nodes")} AS nodes, highway, surface, smoothness, tracktype, ford, "4wd_only" AS fourwd, oneway, seasonal, access FROM ways'),
+        "extract_nodes": q("SELECT osm_id, CAST(round(lat * 1e7) AS BIGINT) AS lat_e7, CAST(round(lon * 1e7) AS BIGINT) AS lon_e7, tourism, \"natural\", waterway, amenity FROM tnodes"),
+        "extract_ways": q(f'SELECT way_id, {listed("nodes")} AS nodes, highway, surface, smoothness, tracktype, ford, "4wd_only" AS fourwd, oneway, seasonal, access FROM ways'),
+        "shapefile_records": q("""SELECT row_number() OVER (ORDER BY record_id) - 1 AS record_id, trim(coalesce(ROUTE_STAT, '')) AS ROUTE_STAT, trim(coalesce(OPER_MAINT, '')) AS OPER_MAINT, trim(coalesce(OPENFORUSE, '')) AS OPENFORUSE, trim(coalesce(OBJECTIVE_, '')) AS OBJECTIVE_,
+            trim(coalesce(SURFACE_TY, '')) AS SURFACE_TY, trim(coalesce("NAME", '')) AS "NAME", CAST(CASE WHEN record_id % 3 = 1 THEN 1 ELSE 2 END AS INTEGER) AS n_parts FROM urec"""),
+        "shapefile_points": q("""SELECT record_id, CAST(part_no AS INTEGER) AS part_no, CAST(i AS INTEGER) AS pos, round(parts[part_no + 1][i + 1][2], 9) AS lat, round(parts[part_no + 1][i + 1][1], 9) AS lon FROM (
+            SELECT row_number() OVER (ORDER BY record_id) - 1 AS record_id, CASE record_id % 3 WHEN 0 THEN [[[lon0, lat0], [(lon0 + lon1) / 2, (lat0 + lat1) / 2], [lon1, lat1]], [[lon1, lat1], [lon2, lat2]]] WHEN 1 THEN [[[lon0, lat0], [(lon0 + lon1) / 2, (lat0 + lat1) / 2], [lon1, lat1]]]
+              ELSE [[[lon1, lat1], [lon2, lat2]], [[lon2, lat2]]] END AS parts FROM urec), unnest(range(0, len(parts))) AS p(part_no), unnest(range(0, len(parts[part_no + 1]))) AS t(i)"""),
+        "build_all": q("SELECT edge_id, src, dst, round(CAST(cost AS DOUBLE), 2) AS cost, flags, scenic_score FROM cedges_", _with_roads(network, f"{chain},\n{gone}"), True),
         "way_filter": q("SELECT way_id, highway FROM fways"),
         "way_filter_keep_private": q("SELECT way_id FROM ways WHERE highway IN (SELECT highway FROM allowed) AND coalesce(vehicle, '') <> 'no'"),
         "skip_tracks": q("SELECT way_id FROM fways WHERE highway NOT IN ('track', 'path', 'bridleway', 'cycleway', 'footway')"),
@@ -221,9 +260,7 @@ sums AS (SELECT way_id, sum(CAST(length_m AS DOUBLE)) AS length_m, count(*) FILT
         "undirected_degree": q("SELECT a AS node_id, count(*) AS degree FROM (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges) GROUP BY a"),
         "first_edge_per_pair": q("SELECT src, dst, min(edge_id) AS edge_id FROM edges GROUP BY src, dst"),
         "build_graph": q("SELECT edge_id, src, dst, round(CAST(cost AS DOUBLE), 3) AS cost, round(CAST(length_m AS DOUBLE), 3) AS length_m, flags, scenic_score FROM edges"),
-        "usfs_tags": q("""SELECT record_id, CASE WHEN level <= 3 THEN 'track' WHEN level = 4 THEN 'unclassified' ELSE 'secondary' END AS highway, CASE WHEN level <= 2 THEN 'yes' END AS fourwd, CASE WHEN level <= 1 THEN 'very_bad' END AS smoothness,
-            CASE WHEN OBJECTIVE_ LIKE '%DECOMMISSION%' THEN 'no' WHEN trim(OPENFORUSE) = 'ADMIN' THEN 'private' END AS access,
-            CASE WHEN sv IN ('ASPH', 'PAVE', 'CONC', 'BST', 'CHIP', 'BITU') THEN 'asphalt' WHEN sv IN ('AGG', 'GRAV', 'CRUS') THEN 'gravel' END AS surface, nullif(trim("NAME"), '') AS name FROM utag WHERE existing"""),
+        "usfs_tags": q("SELECT record_id, " + ", ".join(f"{text} AS {name}" for name, text in ROAD_TAGS.items()) + " FROM utag WHERE existing"),
         "usfs_vertex_dedupe": q("SELECT osm_id, round(lat, 9) AS lat, round(lon, 9) AS lon FROM unodes"),
         "usfs_snap_nearest": q("SELECT record_id, part_no, pos, osm_id FROM usnap"),
         "usfs_ways": q(f"SELECT way_id, {listed('nodes')} AS nodes FROM uways JOIN ulist USING (record_id, part_no)"),

@@ -3,7 +3,7 @@
 The driver reads blob headers only; every task decodes its own blobs.  Option
 ``kind`` is ``way`` (way_id, nodes, tags) or ``node`` (osm_id, lat, lon,
 tags); plain and dense nodes come out alike, relations are skipped.  The path
-must be readable by driver and executors (a shared or mounted folder).
+or the address in a store, must be readable by driver and executors.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from . import files
+
 SCHEMAS = {
     "way": "way_id bigint, nodes array<bigint>, tags map<string,string>",
     "node": "osm_id bigint, lat double, lon double, tags map<string,string>",
@@ -85,7 +87,7 @@ def zigzag(value: int) -> int:
 def blob_places(path: str) -> list[tuple[int, int]]:
     """Offset and size of each data blob."""
     places, offset = [], 0
-    with open(path, "rb") as file:
+    with files.opened(path) as file:
         while head := file.read(4):
             header = dict(fields(file.read(struct.unpack(">I", head)[0])))
             size = header[3]
@@ -192,7 +194,7 @@ class _Reader(DataSourceReader):
             types = [("way_id", pa.int64()), ("nodes", pa.list_(pa.int64())), ("tags", tags)]
         else:
             types = [("osm_id", pa.int64()), ("lat", pa.float64()), ("lon", pa.float64()), ("tags", tags)]
-        with open(self.path, "rb") as file:
+        with files.opened(self.path) as file:
             for offset, size in partition.places:
                 file.seek(offset)
                 block = Block.of(blob_data(file.read(size)))

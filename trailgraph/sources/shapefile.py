@@ -3,7 +3,8 @@
 Rows have record_id (from 0), the attributes of forest-road records (text
 fields, trimmed; others and missing ones null) and parts, a list of lists of
 (lon, lat).  Polylines with or without M or Z values are read; other shapes
-have no parts.  The path must be readable by driver and executors.
+have no parts.  The path, or the address in a store, must be readable by driver
+and executors.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..schemas import USFS_RECORDS
+from . import files
 
 ATTRIBUTES = ("ROUTE_STAT", "OPER_MAINT", "OPENFORUSE", "OBJECTIVE_", "SURFACE_TY", "NAME")
 #: Type codes of polylines, with Z and with M.
@@ -47,7 +49,7 @@ class Table:
 
     @classmethod
     def of(cls, path: str) -> Table:
-        with open(path, "rb") as file:
+        with files.opened(path) as file:
             head = file.read(32)
             records, header, width = struct.unpack("<4xIHH", head[:12])
             text, at = {}, 1
@@ -76,12 +78,12 @@ class _Reader(DataSourceReader):
 
     def _offsets(self) -> list[int]:
         """Byte offsets of the records: from the index file if there is one, else by walking record headers."""
-        if os.path.exists(f"{self.base}.shx"):
-            with open(f"{self.base}.shx", "rb") as file:
+        if files.size(f"{self.base}.shx") is not None:
+            with files.opened(f"{self.base}.shx") as file:
                 file.seek(100)
                 return (np.frombuffer(file.read(), dtype=">i4").reshape(-1, 2)[:, 0].astype(np.int64) * 2).tolist()
-        found, size = [], os.path.getsize(self.path)
-        with open(self.path, "rb") as file:
+        found, size = [], files.size(self.path)
+        with files.opened(self.path) as file:
             at = 100
             while at + 8 <= size:
                 file.seek(at)
@@ -97,7 +99,7 @@ class _Reader(DataSourceReader):
         table = Table.of(f"{self.base}.dbf")
         point = pa.struct([("lon", pa.float64()), ("lat", pa.float64())])
         ids, attributes, shapes = [], [], []
-        with open(self.path, "rb") as shp, open(f"{self.base}.dbf", "rb") as dbf:
+        with files.opened(self.path) as shp, files.opened(f"{self.base}.dbf") as dbf:
             for i, offset in enumerate(partition.offsets, partition.first):
                 shp.seek(offset)
                 length = struct.unpack(">2i", shp.read(8))[1]
