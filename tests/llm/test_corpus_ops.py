@@ -75,20 +75,14 @@ def test_links_and_components_against_brute_force(spark):
     assert [expected.index(e) for e in expected] == got
 
 
-def test_hot_keys_take_the_exact_other_way(spark, monkeypatch):
+@pytest.mark.parametrize("run", [1, 8, 60])
+def test_full_keys_are_filed_again(spark, monkeypatch, run):
     rng = random.Random(2)
-    values = sorted(family(rng, 200) | family(rng, 30) | {rng.getrandbits(64) for _ in range(100)})
-    batches = simhash.links(spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long"))
-    plain = canonical(simhash.stars(batches).toPandas())
-    compare = simhash._compare
-
-    def hot(batches):  # a tiny limit in the workers
-        simhash.RUN, simhash.SHORT = 8, 4
-        yield from compare(batches)
-
-    monkeypatch.setattr(simhash, "_compare", hot)
-    got = simhash.stars(simhash.links(spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")))
-    assert canonical(got.toPandas()) == plain
+    dense = {rng.getrandbits(6) | 5 << 30 | rng.getrandbits(3) << 61 for _ in range(150)}
+    values = sorted(family(rng, 200) | family(rng, 30) | dense | {rng.getrandbits(64) for _ in range(100)})
+    expected = components(values)
+    monkeypatch.setattr(simhash, "RUN", run)
+    assert star_components(spark, values) == [expected.index(e) for e in expected]
 
 
 def test_bit_sliced_distances():

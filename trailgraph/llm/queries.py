@@ -100,15 +100,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+def _op1_fits(rule: url_filter.Rule) -> str:
+    """Whether a rule fits, by comparing texts: the operator's regular expressions have no part in it."""
+    if rule.tier:
+        host, _, path = rule.name.partition("/")
+        return f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}')"
+    text = rule.pattern.strip("|")
+    if rule.pattern.startswith("||"):
+        return f"(starts_with(host || path, '{text}') OR contains(host, '.{text}'))"
+    return f"{'ends_with' if rule.pattern.endswith('|') else 'contains'}(host || path, '{text}')"
+
+
 def _op1_sql() -> str:
-    verdict, rule = url_filter.oracle_case(url_filter.HOST_RULES + url_filter.PATTERN_RULES, "allow", "host || path")
+    rules = url_filter.HOST_RULES + url_filter.PATTERN_RULES
+    ranked = sorted(enumerate(rules), key=lambda x: (-x[1].tier, -len(x[1].name or x[1].pattern), x[0]))
+    verdict = " ".join(f"WHEN {_op1_fits(r)} THEN '{r.action}'" for _, r in ranked)
+    rule = " ".join(f"WHEN {_op1_fits(r)} THEN " + (f"'{r.name}'" if r.name else "NULL") for _, r in ranked)
     return f"""
-WITH places AS (
-  SELECT page_id,
-         coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
-         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
-  FROM pages)
-SELECT page_id, host, path, {rule} AS rule, {verdict} AS verdict FROM places"""
+WITH split AS (SELECT page_id, substr(url, strpos(url, '://') + 3) AS rest FROM pages WHERE contains(url, '://') UNION ALL SELECT page_id, '' FROM pages WHERE url IS NULL OR NOT contains(url, '://')),
+cut AS (SELECT page_id, rest, list_min([x FOR x IN [nullif(strpos(rest, '/'), 0), nullif(strpos(rest, '?'), 0), nullif(strpos(rest, '#'), 0), len(rest) + 1] IF x IS NOT NULL]) AS n FROM split),
+parts AS (SELECT page_id, substr(rest, 1, n - 1) AS h, substr(rest, n) AS tail FROM cut),
+places AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, split_part(split_part(tail, '?', 1), '#', 1) AS path FROM parts)
+SELECT page_id, host, path, CASE {rule} ELSE NULL END AS rule, CASE {verdict} ELSE 'allow' END AS verdict FROM places"""
 
 
 OP4_SQL = r"""

@@ -1,18 +1,18 @@
 """SimHash near-duplicates: 64-bit fingerprints, linked at a small Hamming distance.
 
-Exact copies share a fingerprint and are folded first.  Each different
-fingerprint is filed under six keys (any two of its four 16-bit blocks): two
-fingerprints that differ in two bits at most share two blocks at least, so
-they meet.  Under a key, fingerprints are compared bit-sliced: bit planes are
+Exact copies share a fingerprint and are folded first.  Fingerprints that
+differ in two bits at most agree in all but two of any blocks of their bits, so
+each is filed under its bits without two of four blocks (six keys), and such
+pairs meet.  Under a key, fingerprints are compared bit-sliced: bit planes are
 stored vertically, 64 distances to a machine word; carry-save counters add one
 plane after another; blocks are abandoned once all their distances exceed the
 radius.  A key yields a star forest of its links, never all pairs.
 
-A key with more than ``RUN`` fingerprints is not compared as a whole: its
-fingerprints are filed under themselves and their 64 one-bit neighbours
-instead.  Two of them share such a value exactly if they differ in two bits at
-most, and no value has more than 65 of them, so that way is exact and bounded
-however hot the key is.
+Fingerprints of a key that has more than ``RUN`` of them are filed again, by
+eight smaller blocks, and at last by sixteen: a key is then 56 of the 64 bits,
+and there are 256 fingerprints at most that share it.  So every comparison is
+bit-sliced and bounded, however alike the fingerprints are, and no task ever
+receives a larger run.
 
 Components come from alternating large-star and small-star rounds over the
 links, each round written to the shared checkpoint folder.
@@ -30,6 +30,7 @@ Defined cases
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -41,11 +42,12 @@ from pyspark.sql import functions as F
 from .common import cut, fresh, own_columns, small_batches
 
 BITS = 64
-BLOCK = 16
 RADIUS = 2
+#: Blocks that fingerprints are cut into, to be filed without any two of them: at first, and where keys are too full.
+LEVELS = (4, 8, 16)
 SHINGLE = 3
 SEED = 42
-#: Fingerprints under one key that are compared directly; above, the one-bit neighbours are used.
+#: Fingerprints under one key that are compared directly; those of fuller keys are filed again.
 RUN = 8192
 #: Runs up to here are compared together with others, pair by pair of positions.
 SHORT = 64
@@ -230,74 +232,56 @@ def _stars(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (key, fp) rows in, links out; rows of keys that are too long come out marked instead."""
-
-    def out(a: np.ndarray, b: np.ndarray, over: bool) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), over))], names=["a", "b", "over"])
-
+    """Sorted (key, fp) rows in, links out; a run of equal keys is held whole."""
     empty = np.zeros(0, dtype=np.int64)
-    keys, fps, hot = empty, empty, None
-    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    keys, fps, waiting, held = empty, empty, [], 0
 
-    def gather(last: bool) -> Iterator[pa.RecordBatch]:
-        nonlocal keys, fps, hot, waiting
+    def gathered(last: bool) -> pa.RecordBatch:
+        nonlocal keys, fps, waiting, held
         keys, fps = np.concatenate([keys, *(k for k, _ in waiting)]), np.concatenate([fps, *(f for _, f in waiting)])
-        waiting = []
-        if hot is not None and len(keys):  # the key goes on that was found too long
-            n = np.searchsorted(keys, hot, "right")
-            if n:
-                yield out(fps[:n], fps[:n], True)
-            if n < len(keys):
-                hot = None
-            keys, fps = keys[n:], fps[n:]
-        if not len(keys):
-            return
-        ends = len(keys) if last else np.searchsorted(keys, keys[-1], "left")
-        k, f = keys[:ends], fps[:ends]
+        waiting, held = [], 0
+        ends = len(keys) if last or not len(keys) else np.searchsorted(keys, keys[-1], "left")
+        child, parent = _stars(keys[:ends], fps[:ends]) if ends else (empty, empty)
         keys, fps = keys[ends:], fps[ends:]
-        if len(k):
-            starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-            lengths = np.diff(np.r_[starts, len(k)])
-            long = np.repeat(lengths > RUN, lengths)
-            if long.any():
-                yield out(f[long], f[long], True)
-                k, f = k[~long], f[~long]
-            if len(k):
-                yield out(*_stars(k, f), False)
-        if len(keys) > RUN:
-            hot = keys[-1]
-            yield out(fps, fps, True)
-            keys, fps = empty, empty
+        return pa.RecordBatch.from_arrays([pa.array(child), pa.array(parent)], names=["a", "b"])
 
     for batch in batches:
         waiting.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
-        if sum(len(k) for k, _ in waiting) >= _CHUNK:
-            yield from gather(False)
-    yield from gather(True)
+        held += batch.num_rows
+        if held >= _CHUNK:
+            yield gathered(False)
+    yield gathered(True)
 
 
 # ------------------------------------------------------------------- relations
 
 
-def _keys(fp: Column) -> Column:
-    """The six keys: any two of four blocks, and which two."""
-    block = [F.shiftrightunsigned(fp, BLOCK * i).bitwiseAND(F.lit((1 << BLOCK) - 1)) for i in range(BITS // BLOCK)]
-    pairs = enumerate(combinations(block, 2))
-    return F.array(*(F.shiftleft(F.lit(n).cast("long"), 32) + F.shiftleft(a, 16) + b for n, (a, b) in pairs))
+def _keys(fp: Column, blocks: int) -> Column:
+    """A key for each two of the blocks: the other bits, and which two."""
+    width = BITS // blocks
+    masks = []
+    for i, j in combinations(range(blocks), 2):
+        mask = ((1 << BITS) - 1) ^ ((1 << width) - 1) << width * i ^ ((1 << width) - 1) << width * j
+        masks.append(mask - (1 << BITS) if mask >> (BITS - 1) else mask)
+    return F.transform(F.array(*(F.lit(m).cast("long") for m in masks)), lambda m, n: F.xxhash64(n, fp.bitwiseAND(m)))
 
 
 def links(distinct: DataFrame) -> DataFrame:
     """Links (a, b), a > b, that join the fingerprints of ``distinct`` (column fp, no repeats) into their components."""
-    keyed = distinct.select(F.explode(_keys(F.col("fp"))).alias("key"), "fp")
-    found = cut(keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_compare, "a long, b long, over boolean"))
-    direct = found.where(~F.col("over")).select("a", "b")
-    hot = found.where("over").select(F.col("a").alias("fp")).distinct()
-    if hot.isEmpty():
-        return _ordered(direct).distinct()
-    flips = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")) for b in range(BITS)))
-    around = hot.select("fp", F.explode(flips).alias("value")).groupBy("value").agg(F.min("fp").alias("b"), F.collect_list("fp").alias("own"))
-    stars = around.where(F.size("own") > 1).select(F.explode("own").alias("a"), "b")
-    return _ordered(direct.unionByName(stars)).distinct()
+    found = []
+    for blocks in LEVELS:
+        keyed = distinct.select(F.explode(_keys(F.col("fp"), blocks)).alias("key"), "fp")
+        full = None
+        if blocks != LEVELS[-1]:
+            full = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > RUN).select("key"))
+            full = None if full.isEmpty() else full
+        if full is not None:
+            distinct = cut(keyed.join(full, "key", "left_semi").select("fp").distinct())
+            keyed = keyed.join(full, "key", "left_anti")
+        found.append(cut(keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_compare, "a long, b long")))
+        if full is None:
+            break
+    return _ordered(reduce(DataFrame.unionByName, found)).distinct()
 
 
 def _ordered(edges: DataFrame) -> DataFrame:

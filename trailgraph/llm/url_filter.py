@@ -161,12 +161,3 @@ def _by_join(places: DataFrame, table: list[dict], everywhere: list[dict], best:
     place, found = fresh(places, "_place", "_found")
     fits = fits.select(F.col("_place").alias(place), F.col("_found").alias(found))
     return places.join(fits, F.concat("host", "path") == F.col(place), "left").withColumnRenamed(found, best).drop(place)
-
-
-def oracle_case(rules: tuple[Rule, ...], default: str, place: str) -> tuple[str, str]:
-    """The verdict and the rule as SQL CASE chains: every regular expression is tried in order of rank."""
-    ranked = sorted(enumerate(rules), key=lambda x: (-x[1].tier, -len(x[1].name or x[1].pattern), x[0]))
-    whens = [(f"regexp_matches({place}, '{regex(r.pattern)}')", r) for _, r in ranked]
-    verdict = "CASE " + " ".join(f"WHEN {w} THEN '{r.action}'" for w, r in whens) + f" ELSE '{default}' END"
-    rule = "CASE " + " ".join(f"WHEN {w} THEN " + (f"'{r.name}'" if r.name else "NULL") for w, r in whens) + " ELSE NULL END"
-    return verdict, rule
