@@ -186,6 +186,15 @@ def test_token_batches(spark, tmp_path):
     assert commit("3", ("revise", 1, "one two three", 2), ("delete", 1, None, 1)) == [(1, 3)]  # the last change decides
     assert commit("4", ("insert", 1, "x", 2), ("delete", 1, None, 1)) == [(1, 1)]
     assert commit("5", ("delete", 1, None, 0), ("delete", 1, None, 0), ("other", 9, "z", 0)) == []
+    assert commit("6", ("insert", 1, "one two", 0), ("insert", 4, "one", 0)) == [(2, 3)]
+    for _ in range(2):  # folding the batches changes nothing, nor does folding again
+        rollup.compact()
+        assert [(r.docs, r.tokens) for r in rollup.totals().collect()] == [(2, 3)] and rollup.committed() == list("123456")
+        assert len(rollup._ledger()) == 1
+    assert commit("6", ("insert", 1, "one two", 0)) == [(2, 3)]
+    assert commit("7", ("delete", 1, None, 0)) == [(1, 1)]
+    rollup.compact()
+    assert commit("8", ("revise", 4, "one two", 0)) == [(1, 2)] and rollup.committed() == list("12345678")
 
 
 def test_url_rules_by_join(spark):

@@ -13,6 +13,10 @@ change alone decides: a deletion leaves nothing, any other one document with
 that row's text.  The last change is the one of the highest ``seq`` (a column
 that changes may have), then by kind (insert, revise, delete), then by hash.
 
+The log is partitioned by a hash of the id, so that a deletion reads the parts
+of its ids alone.  ``compact`` folds all batches into one, which covers them:
+their ids stay known, their files are read no more.
+
 All files lie in one folder that driver and executors share, written and read
 by Spark alone.
 
@@ -35,7 +39,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import cut, small_batches
 
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the public pre-tokenizer pattern of this vocabulary.
@@ -43,7 +47,12 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 INSERT, DELETE, REVISE = "insert", "delete", "revise"
 _GROUP = ("source", "lang", "tokenizer")
-_LOG = "doc_id long, source string, lang string, tokenizer string, docs long, tokens long"
+_DELTA = "source string, lang string, tokenizer string, docs long, tokens long"
+_LOG = f"doc_id long, {_DELTA}, bucket int"
+#: Parts of the log of a batch.
+BUCKETS = 64
+#: What the ids of folded batches start with.
+_FOLDED = "folded-"
 
 _encodings: dict = {}
 
@@ -104,38 +113,65 @@ class Rollup:
     def __init__(self, spark: SparkSession, root: str, vocabularies: dict[str, bytes]) -> None:
         self.spark, self.root, self.vocabularies = spark, root.rstrip("/"), vocabularies
 
-    def committed(self) -> list[str]:
-        """Ids of the batches in the ledger: one short row each."""
+    def _ledger(self) -> list[tuple[str, list[str]]]:
+        """The batches that count, each with those that it covers: a short row for each."""
         try:
-            return sorted(r["batch_id"] for r in self.spark.read.schema("batch_id string").parquet(f"{self.root}/ledger/*").collect())
+            rows = self.spark.read.schema("batch_id string, covers array<string>").parquet(f"{self.root}/ledger/*").collect()
         except AnalysisException:  # no ledger yet
             return []
+        covered = {c for r in rows for c in r["covers"]}
+        return sorted((r["batch_id"], sorted(r["covers"])) for r in rows if r["batch_id"] not in covered)
+
+    def committed(self) -> list[str]:
+        """Ids of all batches that were committed."""
+        own = self._ledger()
+        return sorted(b for b in {x for b, covers in own for x in (b, *covers)} if not b.startswith(_FOLDED))
 
     def _read(self, kind: str, schema: str, batches: list[str]) -> DataFrame:
         if not batches:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*(f"{self.root}/{kind}/batch={b}" for b in batches))
+        return self.spark.read.schema(schema).option("basePath", f"{self.root}/{kind}").parquet(*(f"{self.root}/{kind}/batch={b}" for b in batches)).select(*(f.split(" ")[0] for f in schema.split(", ")))
+
+    def _write(self, batch_id: str, log: DataFrame, covers: list[str]) -> None:
+        """Log, then delta, then ledger; what is there already under that id is replaced."""
+        path = f"batch={batch_id}"
+        placed = log.select("doc_id", *_GROUP, "docs", "tokens", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int").alias("bucket"))
+        placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/log/{path}")
+        own = self._read("log", _LOG, [batch_id])
+        own.groupBy(*_GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/delta/{path}")
+        entry = self.spark.range(1).select(F.lit(batch_id).alias("batch_id"), F.array(*map(F.lit, covers)).cast("array<string>").alias("covers"))
+        entry.write.mode("overwrite").parquet(f"{self.root}/ledger/{path}")
+
+    def _held(self, log: DataFrame) -> DataFrame:
+        """What the log holds of each document, without what adds up to nothing."""
+        held = log.groupBy("doc_id", *_GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        return held.where((F.col("docs") != 0) | (F.col("tokens") != 0))
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Apply ``changes`` (op, doc_id, text, source, lang, maybe seq) once; False if the batch was there already."""
-        done = self.committed()
-        if batch_id in done:
+        if batch_id.startswith(_FOLDED):
+            raise ValueError(f"ids that start with {_FOLDED} are those of folded batches")
+        if batch_id in self.committed():
             return False
         changes = _netted(changes)
         log = count_tokens(changes.where(F.col("op") != DELETE), self.vocabularies).withColumn("docs", F.lit(1).cast("long"))
-        if done:
-            gone = changes.where(F.col("op").isin(DELETE, REVISE) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-            held = self._read("log", _LOG, done).join(gone, "doc_id", "left_semi").groupBy("doc_id", *_GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-            back = held.where((F.col("docs") != 0) | (F.col("tokens") != 0)).withColumns({"docs": -F.col("docs"), "tokens": -F.col("tokens")})
+        gone = cut(changes.where(F.col("op").isin(DELETE, REVISE) & F.col("doc_id").isNotNull()).select("doc_id").distinct())
+        buckets = [r[0] for r in gone.select(F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")).distinct().collect()]
+        if buckets:
+            before = self._read("log", _LOG, [b for b, _ in self._ledger()]).where(F.col("bucket").isin(buckets))
+            back = self._held(before.join(gone, "doc_id", "left_semi")).withColumns({"docs": -F.col("docs"), "tokens": -F.col("tokens")})
             log = log.unionByName(back)
-        path = f"batch={batch_id}"
-        log.select("doc_id", *_GROUP, "docs", "tokens").write.mode("overwrite").parquet(f"{self.root}/log/{path}")
-        own = self._read("log", _LOG, [batch_id])
-        own.groupBy(*_GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/delta/{path}")
-        self.spark.range(1).select(F.lit(batch_id).alias("batch_id")).write.mode("overwrite").parquet(f"{self.root}/ledger/{path}")
+        self._write(batch_id, log, [])
         return True
 
+    def compact(self) -> None:
+        """Fold all batches into one that covers them; totals and what is known stay the same."""
+        own = self._ledger()
+        if len(own) > 1:
+            known = self.committed()
+            self._write(f"{_FOLDED}{len(known)}", self._held(self._read("log", _LOG, [b for b, _ in own])), sorted({*known, *(b for b, _ in own)}))
+
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, docs, tokens, from the deltas alone; groups that became empty are left out."""
-        deltas = self._read("delta", "source string, lang string, tokenizer string, docs long, tokens long", self.committed())
+        deltas = self._read("delta", _DELTA, [b for b, _ in self._ledger()])
         return deltas.groupBy(*_GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where((F.col("docs") != 0) | (F.col("tokens") != 0))
