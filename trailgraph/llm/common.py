@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +63,22 @@ def small_batches(spark: SparkSession, rows: int = 512, size: int = 8 << 20) ->
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{size}b")
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int = 512, size: int = 8 << 20) -> Iterator[None]:
+    """``small_batches`` for the jobs within, after which the session has its own settings again."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(n, None) for n in names]
+    small_batches(spark, rows, size)
+    try:
+        yield
+    finally:
+        for name, value in zip(names, before, strict=True):
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def sql_text(value: str) -> str:
     """A SQL string literal."""
     return "'" + value.replace("'", "''") + "'"

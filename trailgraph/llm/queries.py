@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, licenses, mixing, quality, search, sharding, simhash, token_counts, url_filter
+from . import collocations, decontaminate, html_text, licenses, mixing, periodic, quality, search, sharding, simhash, token_counts, url_filter
 from .common import read_table, shared_path
 
 N_SHARDS = 24
@@ -86,6 +87,37 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read_table(spark, sf_dir, "pages"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
+def planted(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words that op12 looks at: a tenth of the documents repeat some of their words to the end."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 or not words:
+        return words
+    n, g = len(words), h // 10
+    first = g % n
+    period = 1 + (n - first) // (3 + g % 8)
+    own = words[first : first + period]
+    return words[:first] + (own * -(-(n - first) // period))[: n - first]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.detect(read_table(spark, sf_dir, "documents"), planted)
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join(line, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_search": op2_search,
@@ -97,6 +129,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
     "op10_html_text": op10_html_text,
+    "op11_collocations": op11_collocations,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 
@@ -189,9 +223,55 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_
        CAST(virtual_slot AS INTEGER) AS virtual_slot, 1 AS map_version
 FROM placed"""
 
+OP11_SQL = r"""
+WITH p AS (
+  SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM (SELECT coalesce(lang, 'und') AS lang, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents WHERE text IS NOT NULL)),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase FROM w, unnest([1, 2, 3]) AS s(k), unnest(range(1, len(ws) - k + 2)) AS t(i)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND a >= 10),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, c.k, j, x.a AS l, y.a AS r, (CAST(1000000 AS HUGEINT) * c.a * c.a) // (CAST(x.a AS HUGEINT) * y.a) AS score
+  FROM c, unnest(range(1, c.k)) AS t(j)
+  JOIN f AS x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1 : j], ' ') AND x.k = j
+  JOIN f AS y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[j + 1 : c.k], ' ') AND y.k = c.k - j),
+low AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inner_ AS (SELECT lang, a, array_to_string(ws[i : i + 1], ' ') AS phrase FROM c, unnest([1, 2]) AS t(i) WHERE k = 3),
+kept AS (SELECT * FROM low WHERE NOT (k = 2 AND EXISTS (SELECT 1 FROM inner_ AS o WHERE o.lang = low.lang AND o.phrase = low.phrase AND 100 * o.a >= 50 * low.a)))
+SELECT kept.lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept) AS kept JOIN n ON n.lang = kept.lang WHERE rank <= 2000"""
+
+#: Matches of all words at all lags, islands of them by gaps, and of islands of one place and length the one of the least lag.
+OP12_SQL = r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(CAST(3988292384 AS BIGINT), c >> 1) ELSE c >> 1 END)) AS tab),
+t AS (
+  SELECT row_number() OVER () AS rn, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+         xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(CAST(doc_id AS VARCHAR))), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+             lambda c, b: xor(c >> 8, tab[1 + (xor(c, b) & 255)])), 4294967295) AS h
+  FROM documents, crc),
+s AS (SELECT *, len(ws) AS n, h // 10 AS g, h % 10 = 0 AND len(ws) > 0 AS edited FROM t),
+p AS (SELECT *, CASE WHEN edited THEN g % n ELSE n END AS a, CASE WHEN edited THEN 1 + (n - g % n) // (3 + g % 8) ELSE 1 END AS p FROM s),
+w AS MATERIALIZED (SELECT rn, n, i, CASE WHEN i >= a THEN ws[1 + a + (i - a) % p] ELSE ws[1 + i] END AS w FROM p, unnest(range(n)) AS u(i)),
+m AS (SELECT x.rn, x.i, y.i - x.i AS q FROM w AS x JOIN w AS y ON x.rn = y.rn AND x.w = y.w AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+isl AS (SELECT rn, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY rn, q ORDER BY i) AS grp FROM m) GROUP BY rn, q, grp HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT rn, start, length, min(q) AS period FROM isl GROUP BY rn, start, length),
+best AS (SELECT rn, count(*) OVER (PARTITION BY rn) AS n_runs, start, length, period FROM runs
+         QUALIFY row_number() OVER (PARTITION BY rn ORDER BY length / CAST(period AS DOUBLE) DESC, start, period) = 1),
+digest AS (SELECT rn, sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS runs_sha256 FROM runs GROUP BY rn),
+gone AS (SELECT DISTINCT rn, i FROM runs, unnest(range(start + period, start + length)) AS u(i)),
+kept AS (SELECT rn, sha256(string_agg(w, ' ' ORDER BY i)) AS collapsed_sha256 FROM w ANTI JOIN gone USING (rn, i) GROUP BY rn)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+       coalesce(runs_sha256, sha256('')) AS runs_sha256, coalesce(collapsed_sha256, sha256('')) AS collapsed_sha256
+FROM t LEFT JOIN best USING (rn) LEFT JOIN digest USING (rn) LEFT JOIN kept USING (rn)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": _op1_sql(),
     "op4_decontaminate": OP4_SQL,
     "op6_sharding": OP6_SQL,
     "op9_mixing": OP9_SQL,
+    "op11_collocations": OP11_SQL,
+    "op12_periodic_runs": OP12_SQL,
 }
