@@ -2,9 +2,7 @@
 
 import random
 
-import pytest
-
-from trailgraph.llm import near_copies
+from trailgraph.llm import near_copies, set_join
 
 from ..conftest import SMALL
 
@@ -85,21 +83,9 @@ def test_a_passage_that_many_texts_share(spark, monkeypatch):
     rows += [r + " end" for r in rows[:20]] + [" ".join(r.split()[1:]) for r in rows[20:40]]
     rows = list(enumerate(rows))
     met = []
-    placed = near_copies._placed
-    monkeypatch.setattr(near_copies, "_placed", lambda mixed: met.append(placed(mixed)) or met[-1])
+    candidates = set_join.candidates
+    monkeypatch.setattr(set_join, "candidates", lambda measure, mixed: met.append(candidates(measure, mixed)) or met[-1])
     assert sorted(r.doc_id for r in near_copies.keep_one(docs(spark, rows)).collect()) == brute(rows)
-    monkeypatch.setattr(near_copies, "PART", 1)  # every text is read for the order, so that the passage comes last
+    monkeypatch.setattr(set_join, "PART", 1)  # every text is read for the order, so that the passage comes last
     assert sorted(r.doc_id for r in near_copies.keep_one(docs(spark, rows)).collect()) == brute(rows)
     assert met[-1].distinct().count() < len(rows) * 2
-
-
-@pytest.mark.parametrize("cuts", [(), (1,), (3, 4), tuple(range(1, 9))])
-def test_runs_over_batches(cuts):
-    import numpy as np
-    import pyarrow as pa
-
-    key, s = np.array([1, 2, 2, 3, 4, 4, 4, 4, 5]), np.arange(9)
-    edges = [0, *cuts, 9]
-    batches = [pa.RecordBatch.from_arrays([pa.array(key[a:b]), pa.array(s[a:b]), pa.array(s[a:b].astype(np.int32)), pa.array(s[a:b].astype(np.int32))], names=["key", "s", "n", "i"]) for a, b in zip(edges, edges[1:], strict=False)]
-    got = [(r["key"], r["s"], r["s0"]) for b in near_copies._with_least(iter(batches)) for r in b.to_pylist()]
-    assert got == [(2, 1, 1), (2, 2, 1), (4, 4, 4), (4, 5, 4), (4, 6, 4), (4, 7, 4)]

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, decontaminate, html_text, licenses, mixing, periodic, quality, search, sharding, simhash, token_counts, url_filter
+from . import collocations, decontaminate, html_text, licenses, mixing, periodic, quality, search, set_join, sharding, simhash, token_counts, url_filter
 from .common import read_table, shared_path
 
 N_SHARDS = 24
@@ -118,6 +118,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.components(read_table(spark, sf_dir, "documents"), set_join.Measure(3, 9, 10))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_search": op2_search,
@@ -131,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_text": op10_html_text,
     "op11_collocations": op11_collocations,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_set_join": op13_set_join,
 }
 
 
@@ -267,6 +272,17 @@ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * leng
        coalesce(runs_sha256, sha256('')) AS runs_sha256, coalesce(collapsed_sha256, sha256('')) AS collapsed_sha256
 FROM t LEFT JOIN best USING (rn) LEFT JOIN digest USING (rn) LEFT JOIN kept USING (rn)"""
 
+OP13_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT row_number() OVER () AS rn, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT rn, array_to_string(ws[i : i + least(3, len(ws)) - 1], ' ') AS s FROM t, unnest(range(1, len(ws) - least(3, len(ws)) + 2)) AS u(i) WHERE len(ws) > 0),
+n AS (SELECT rn, count(*) AS n FROM s GROUP BY rn),
+p AS (SELECT x.rn AS a, y.rn AS b, count(*) AS common FROM s AS x JOIN s AS y ON x.s = y.s AND x.rn <> y.rn GROUP BY ALL),
+link AS (SELECT a, b FROM p JOIN n AS x ON x.rn = a JOIN n AS y ON y.rn = b WHERE 100 * common >= 90 * (x.n + y.n - common)),
+reach AS (SELECT rn AS a, rn AS b FROM t UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b)
+SELECT x.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(y.doc_id) AS component_id
+FROM reach JOIN t AS x ON x.rn = reach.a JOIN t AS y ON y.rn = reach.b LEFT JOIN n ON n.rn = x.rn GROUP BY x.rn, x.doc_id"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": _op1_sql(),
     "op4_decontaminate": OP4_SQL,
@@ -274,4 +290,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_mixing": OP9_SQL,
     "op11_collocations": OP11_SQL,
     "op12_periodic_runs": OP12_SQL,
+    "op13_set_join": OP13_SQL,
 }
