@@ -3,11 +3,12 @@
 Pass k reads all texts once.  It counts the phrases of k words that can still
 be frequent, exactly, and on the way counts hash buckets of phrases of k + 1
 words.  What is frequent in pass k, and which buckets are full enough, become
-two bitmaps of fixed size (``BUCKETS`` bits each), which are broadcast for pass
+two bitmaps, at most ``MOST_BUCKETS`` bits each, which are broadcast for pass
 k + 1: there a phrase is counted only if its bucket is full and both phrases of
 k words in it have their bits set.  Bits let a few phrases too many through and
 never lose one, so the counts, which are grouped by the words themselves, are
-exact.  Bucket counts stop at the least count that matters, so a task's counters
+exact.  There is a bucket to every ``BYTES_A_BUCKET`` bytes of text up to that
+bound; beyond it more phrases pass, with the same result.  Bucket counts stop at the least count that matters, so a task's counters
 are one byte for each bucket, are compressed and shuffled in chunks, and are
 added up chunk by chunk.
 
@@ -42,10 +43,10 @@ from .common import arrow_batches, cut, shared_path
 #: Least count, longest phrase, share of a phrase (in hundredths) that lies in a longer one, phrases of a language.
 MIN_COUNT, MAX_WORDS, INSIDE, TOP = 10, 3, 50, 2000
 SCALE = 1_000_000
-#: The size of a bitmap in bits.
-BUCKETS = 1 << 24
-#: Bytes of text that are taken apart at once; languages are ranked in so many parts before the last ranking.
-_TEXT, _SALT = 4 << 20, 32
+#: Buckets, and bits of a bitmap: a power of two, one to so many bytes of text, within these bounds (32 MB to broadcast, 256 MB to count in).
+BYTES_A_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 16, 1 << 16, 1 << 28
+#: Bytes of text that are taken apart at once, counted phrases that a task holds; languages are ranked in so many parts before the last ranking.
+_TEXT, _HELD, _SALT = 4 << 20, 1 << 19, 16
 _END = b"\xff"  # in no UTF-8 text
 _TABLE = bytes(ord("a") + c - ord("A") if ord("A") <= c <= ord("Z") else 0xFF if c in b".,;:!?\n\x0b\x0c\r" else 0x20 if c == 9 else c for c in range(256))
 _FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
@@ -107,11 +108,37 @@ def _counted(lang: str, codes: np.ndarray, words: pa.Array, at: np.ndarray, size
     return _batch(pa.array([lang], type=pa.string()).take(pa.array(np.zeros(len(n), dtype=np.int32))), gram, n.astype(np.int64), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary()))
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same counts in fewer rows."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows > 2 * _HELD:
+            own = _summed(held)
+            held, rows = own.to_batches(), own.num_rows
+            if rows > _HELD:
+                yield from held
+                held, rows = [], 0
+    yield from _summed(held).to_batches() if held else ()
+
+
+def _summed(batches: list[pa.RecordBatch]) -> pa.Table:
+    own = pa.Table.from_batches(batches).group_by(["lang", "gram"], use_threads=False).aggregate([("n", "sum")]).combine_chunks()
+    return pa.table({"lang": own["lang"], "gram": own["gram"], "n": own["n_sum"], "chunk": pa.nulls(len(own), pa.int32()), "data": pa.nulls(len(own), pa.binary())})
+
+
 def _pass(texts: DataFrame, size: int, last: bool, least: int, buckets: int, maps) -> DataFrame:
     """Rows (lang, gram, n) of phrases of ``size`` words, and rows (chunk, data) of the buckets of longer ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = None if last else Counters(buckets, least)
+        yield from _merged(counted(batches, counters))
+        if counters is not None:
+            chunk, data = counters.chunks()
+            yield _batch(pa.nulls(len(chunk), pa.string()), pa.nulls(len(chunk), pa.binary()), pa.nulls(len(chunk), pa.int64()), chunk, data)
+
+    def counted(batches: Iterator[pa.RecordBatch], counters: Counters | None) -> Iterator[pa.RecordBatch]:
         shorter, full = maps.value if maps is not None else (None, None)
         for batch in batches:
             for lang, own in _by_language(batch):
@@ -129,9 +156,6 @@ def _pass(texts: DataFrame, size: int, last: bool, least: int, buckets: int, map
                         both = np.flatnonzero(open_[:-1] & open_[1:])
                         counters.add(_place(_longer(h[both], hashes[both + size]), buckets))
                     yield _counted(lang, codes, words, np.flatnonzero(open_), size)
-        if counters is not None:
-            chunk, data = counters.chunks()
-            yield _batch(pa.nulls(len(chunk), pa.string()), pa.nulls(len(chunk), pa.binary()), pa.nulls(len(chunk), pa.int64()), chunk, data)
 
     return texts.mapInArrow(run, _ROWS)
 
@@ -155,9 +179,16 @@ def _set_bits(grams: DataFrame, buckets: int) -> DataFrame:
     return grams.select("lang", "gram").mapInArrow(run, "chunk int, data binary")
 
 
-def frequent(docs: DataFrame, least: int = MIN_COUNT, max_words: int = MAX_WORDS, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
+def buckets_for(docs: DataFrame) -> int:
+    """Buckets by the size of all texts."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << (size // BYTES_A_BUCKET).bit_length()))
+
+
+def frequent(docs: DataFrame, least: int = MIN_COUNT, max_words: int = MAX_WORDS, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(lang, gram, size, n) of every phrase that occurs ``least`` times, and (lang, n) of all words."""
     spark = docs.sparkSession
+    buckets = buckets or buckets_for(docs)
     texts, found, total, maps = docs.select("lang", "text"), [], None, None
     for size in range(1, max_words + 1):
         path = shared_path(spark, f"phrases-{size}")
@@ -190,7 +221,7 @@ def _score(a: Column, left: Column, right: Column) -> Column:
     return F.call_function("div", (a * a).cast("decimal(32,0)") * F.lit(SCALE).cast("decimal(6,0)" if SCALE < 10**6 else "decimal(7,0)"), left * right).cast("long")
 
 
-def collocations(docs: DataFrame, least: int = MIN_COUNT, max_words: int = MAX_WORDS, inside: int = INSIDE, top: int = TOP, buckets: int = BUCKETS) -> DataFrame:
+def collocations(docs: DataFrame, least: int = MIN_COUNT, max_words: int = MAX_WORDS, inside: int = INSIDE, top: int = TOP, buckets: int | None = None) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the ``top`` phrases of each language."""
     known, total = frequent(docs, least, max_words, buckets)
     split = F.split(F.col("gram").cast("string"), " ", -1)
