@@ -5,14 +5,15 @@ is filed under its prefix, the shingles that come first in one order of all
 shingles (rarest first, as estimated from a part of the texts; any order is
 right): two similar sets share a shingle of their prefixes, so no pair is missed.
 
-*Index-level skipping.*  The list of a shingle is sorted by set size, then by the
-shingle's position in the set.  Entries that agree in both form a block.  Size
+*Index-level skipping.*  The list of a shingle is sorted by the shingle's position
+in a set, then by the set's size.  Entries that agree in both form a block.  Size
 and position bound what a set can share with any entry of a block from there on,
-so a block is kept or skipped whole, before its entries are looked at.
+so a block is kept or skipped whole, before its entries are looked at.  Shingles
+that only one prefix has make no list: a bitmap of hash buckets keeps most of
+them from the shuffle.
 
-*Answer-level skipping.*  In each list the first set of a range of sizes guides
-those that follow; where a set is similar to its guide, its differences from it
-are stored.  Sets that guides already join into one component ask the index for
+*Answer-level skipping.*  In each list the first set guides those that follow;
+where a set is similar to its guide, its differences from it are stored.  Sets that guides already join into one component ask the index for
 nothing more of each other.  Other candidates are answered through their guides:
 the guides' sets are intersected once, and the answers of the sets that follow
 them are derived by adding and taking off their differences; a bound by the
@@ -38,10 +39,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bitmaps import has, marks
+from .bitmaps import Counters, bitmap, has, marks
 from .common import cut, small_batches
 from .simhash import row_key, stars
 
@@ -50,6 +52,8 @@ PART, FREQUENT, LIST = 8, 1 << 16, 1 << 15
 _FLUSH = 1 << 21
 #: Classes of size between a set and the smallest one that can be similar to it.
 CLASSES = 4
+#: Buckets for each entry of a list, within these bounds (32 MB to broadcast); beyond them more entries are shuffled.
+BUCKETS_AN_ENTRY, LEAST_BUCKETS, MOST_BUCKETS = 4, 1 << 16, 1 << 28
 #: Hash ranges of a sketch; bits of the map that tells whose texts are read again.
 RANGES, WANTED = 256, 1 << 24
 _FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
@@ -106,14 +110,12 @@ def _name(own: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(own.tobytes())
 
 
-def _ordered_prefix(measure: Measure, own: np.ndarray, last: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The prefix of a sorted set, by count where it is known, then by hash; and those counts."""
-    known = np.zeros(len(own), dtype=np.int64)
-    if len(last):
-        at = np.minimum(np.searchsorted(last, own), len(last) - 1)
-        known = np.where(last[at] == own, counts[at], 0)
-    by = np.argsort(known, kind="stable")[: measure.prefix_length(len(own))]
-    return own[by], known[by]
+def _known(own: np.ndarray, last: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The counts of shingles, 0 where they are not known."""
+    if not len(last):
+        return np.zeros(len(own), dtype=np.int64)
+    at = np.minimum(np.searchsorted(last, own), len(last) - 1)
+    return np.where(last[at] == own, counts[at], 0)
 
 
 def _sketch(own: np.ndarray) -> bytes:
@@ -155,38 +157,75 @@ def _frequent(measure: Measure, docs: DataFrame) -> tuple[np.ndarray, np.ndarray
     return h[by], top["n"].to_numpy(dtype=np.int64)[by]
 
 
-def sets_of(measure: Measure, docs: DataFrame) -> DataFrame:
-    """doc_id, _k, the name s of each row's set, its size n, and for sets that are not empty the sketch, the prefix and the parts that its lists are dealt out in."""
-    frequent = _frequent(measure, docs)
-    order = docs.sparkSession.sparkContext.broadcast(frequent)  # FREQUENT entries at most
-    names = ["doc_id", "_k", "s", "n", "sketch", "prefix", "parts"]
+def sets_of(measure: Measure, docs: DataFrame, order: Broadcast) -> DataFrame:
+    """doc_id, _k, the name of each row's set, its size n, sketch and prefix (by count where it is known, then by hash)."""
+    names = ["doc_id", "_k", "name", "n", "sketch", "prefix"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, counts = order.value
         for batch in batches:
-            keys, sizes, sketches, prefixes, parts = [], [], [], [_NONE], [np.zeros(0, dtype=np.int64)]
+            keys, sizes, sketches, prefixes = [], [], [], [_NONE]
             for t in batch.column(2).cast(pa.large_binary()):
                 own = measure.shingles(t.as_py())
-                prefix, known = _ordered_prefix(measure, own, last, counts)
                 keys.append(_name(own))
                 sizes.append(len(own))
                 sketches.append(_sketch(own))
-                prefixes.append(prefix)
-                parts.append(known * PART // LIST)
+                prefixes.append(own[np.argsort(_known(own, *order.value), kind="stable")[: measure.prefix_length(len(own))]])
             offsets = pa.array(np.cumsum([len(p) for p in prefixes]).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, x) for x in (_long(np.concatenate(prefixes)), pa.array(np.concatenate(parts).astype(np.int32)))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(keys, type=pa.binary()), pa.array(np.array(sizes, dtype=np.int32)), pa.array(sketches, type=pa.binary()), *lists], names=names)
+            lists = pa.ListArray.from_arrays(offsets, _long(np.concatenate(prefixes)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(keys, type=pa.binary()), pa.array(np.array(sizes, dtype=np.int32)), pa.array(sketches, type=pa.binary()), lists], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "_k", "text").mapInArrow(run, f"doc_id {kind}, _k long, s binary, n int, sketch binary, prefix array<long>, parts array<int>")
+    return docs.select("doc_id", "_k", "text").mapInArrow(run, f"doc_id {kind}, _k long, name binary, n int, sketch binary, prefix array<long>")
+
+
+def distinct_sets(rows: DataFrame) -> DataFrame:
+    """One row for each different set that is not empty, numbered by s: equal sets are folded, and later tables carry numbers instead of names."""
+    first = [F.first(c).alias(c) for c in ("n", "sketch", "prefix")]
+    return cut(rows.where("n > 0").groupBy("name").agg(F.min("_k").alias("_k"), *first).withColumn("s", F.monotonically_increasing_id()))
+
+
+def _entries(sets: DataFrame, order: Broadcast) -> DataFrame:
+    """Rows (key, part, n, i, s) of the lists' entries, without most that would be alone in theirs.
+
+    The buckets that prefixes fill twice or more make a bitmap; other shingles
+    are in no other prefix.  Lists that the estimate finds longer than LIST have
+    parts 1, 2 and so on; a whole one is part 0.
+    """
+    total = sets.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << (BUCKETS_AN_ENTRY * total).bit_length()))
+    width = np.uint64(64 - buckets.bit_length() + 1)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = Counters(buckets, 2)
+        for batch in batches:
+            counters.add((batch.column(0).flatten().to_numpy().view(np.uint64) >> width).astype(np.int64))
+        yield pa.RecordBatch.from_arrays(counters.chunks(), names=["chunk", "data"])
+
+    shared = sets.sparkSession.sparkContext.broadcast(bitmap(sets.select("prefix").mapInArrow(fill, "chunk int, data binary"), 2, buckets))  # MOST_BUCKETS bits at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s, n, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            key, sizes = lists.flatten().to_numpy().view(np.uint64), lists.value_lengths().to_numpy()
+            row = np.repeat(np.arange(len(s)), sizes)
+            place = np.arange(len(key)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            keep = np.flatnonzero(has(shared.value, (key >> width).astype(np.int64)))
+            key, row, place = key[keep], row[keep], place[keep]
+            parts = (_known(key, *order.value) * PART // LIST).astype(np.uint64)
+            mixed = (s[row].view(np.uint64) * _FACTOR) >> np.uint64(32)
+            part = np.where(parts > 0, 1 + mixed % (parts + np.uint64(1)), 0)
+            yield pa.RecordBatch.from_arrays([_long(key), pa.array(part.astype(np.int32)), pa.array(n[row]), pa.array(place.astype(np.int32)), pa.array(s[row])], names=["key", "part", "n", "i", "s"])
+
+    return sets.select("s", "n", "prefix").mapInArrow(run, "key long, part int, n int, i int, s long")
 
 
 def guided(measure: Measure, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, part, n, i, s), sorted so, of lists; those of lists with several rows, or in parts, out, with their guide s0 where its block leaves room for theirs.
+    """Rows (key, part, n, i, s) of lists, sorted by key, part, i, n, s; those of lists with several rows, or in parts, out, with their guide s0 where their block leaves room for it.
 
-    The first row of a list guides those that follow, as long as their sizes can
-    be similar to its own; the next one is the next guide.  Only the guide at
-    hand is kept from batch to batch.
+    The guide of a list is the set that has the shingle first: it has the
+    fewest rarer ones, so it is close to most others, and of a group of near
+    copies it is the same one in most lists.  It is all that is kept from batch
+    to batch.
     """
     names = ["key", "part", "n", "i", "s", "s0"]
     tail, told = None, False  # the guide of the list at hand, and whether it has been put out
@@ -201,16 +240,11 @@ def guided(measure: Measure, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
         several = np.repeat(lengths > 1, lengths) | (part > 0)  # a part of a list may have one row
         if tail is not None and told:
             several[: lengths[0]] = True
-        guide, open_ = np.arange(len(key)), np.flatnonzero(several)
-        while len(open_):  # one range of sizes of every list at a time
-            heads = open_[np.r_[True, (key[open_][1:] != key[open_][:-1]) | (part[open_][1:] != part[open_][:-1])]]
-            own = np.repeat(heads, np.diff(np.r_[np.searchsorted(open_, heads), len(open_)]))
-            led = measure.of * n[own] >= measure.similar * n[open_]
-            guide[open_[led]] = own[led]
-            open_ = open_[~led]
-        # blocks: rows of one list that agree in size and place, and so in guide
+        guide = np.repeat(starts, lengths)
+        # blocks: rows of one list that agree in place and size
         block = np.flatnonzero(np.r_[True, ~same | (n[1:] != n[:-1]) | (i[1:] != i[:-1])])
-        fits = measure.room(n[block], i[block], n[guide[block]], i[guide[block]])
+        b, g = block, guide[block]
+        fits = measure.room(n[b], i[b], n[g], i[g]) & (measure.similar * np.maximum(n[b], n[g]) <= measure.of * np.minimum(n[b], n[g]))
         near = np.repeat(fits, np.diff(np.r_[block, len(key)])) & (guide != np.arange(len(key)))
         show = several.copy()
         if tail is not None and told:
@@ -222,11 +256,11 @@ def guided(measure: Measure, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
             yield out
 
 
-_LISTED = "key long, part int, n int, i int, s binary, s0 binary"
+_LISTED = "key long, part int, n int, i int, s long, s0 long"
 
 
 def _listed(measure: Measure, rows: DataFrame) -> DataFrame:
-    return rows.select("key", "part", "n", "i", "s").repartition("key", "part").sortWithinPartitions("key", "part", "n", "i", "s").mapInArrow(lambda b: guided(measure, b), _LISTED)
+    return rows.select("key", "part", "n", "i", "s").repartition("key", "part").sortWithinPartitions("key", "part", "i", "n", "s").mapInArrow(lambda b: guided(measure, b), _LISTED)
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -264,7 +298,7 @@ def _possible(measure: Measure, pairs: DataFrame, brief: DataFrame) -> DataFrame
             yield batch.select(["a", "b", "n", "m"]).filter(pa.array(room, type=pa.bool_()))
 
     x, y = (brief.select(F.col("s").alias(k), F.col("sketch").alias(v), F.col("n").alias(c)) for k, v, c in (("a", "x", "n"), ("b", "y", "m")))
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y", "n", "m").mapInArrow(run, "a binary, b binary, n int, m int")
+    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y", "n", "m").mapInArrow(run, "a long, b long, n int, m int")
 
 
 def _whole_sets(measure: Measure, docs: DataFrame, brief: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -310,7 +344,7 @@ def _followed(measure: Measure, pairs: DataFrame, docs: DataFrame, brief: DataFr
 
     pairs = cut(_possible(measure, pairs, brief).select("a", "b"))
     sets = _whole_sets(measure, docs, brief, pairs.select(F.explode(F.array("a", "b")).alias("s")))
-    return _with_sets(pairs, sets, "a", "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, more binary, less binary")
+    return _with_sets(pairs, sets, "a", "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, more binary, less binary")
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -339,7 +373,7 @@ def answers(measure: Measure, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
             if measure.holds(common, n, m):
                 a.append(batch.column("a")[row].as_py())
                 b.append(batch.column("b")[row].as_py())
-        yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.binary()), pa.array(b, type=pa.binary())], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], names=["a", "b"])
 
 
 def _answered(measure: Measure, pairs: DataFrame, followed: DataFrame, docs: DataFrame, brief: DataFrame) -> DataFrame:
@@ -354,37 +388,39 @@ def _answered(measure: Measure, pairs: DataFrame, followed: DataFrame, docs: Dat
     sets = _whole_sets(measure, docs, brief, met.select(F.explode(F.array("ga", "gb")).alias("s")))
     columns = ["ga", "gb", "asks", "x", "y", "a", "b", "n", "m", "more_a", "less_a", "more_b", "less_b"]
     rows = pairs.withColumn("asks", F.lit(True)).unionByName(_with_sets(met, sets, "ga", "gb").withColumn("asks", F.lit(False)), allowMissingColumns=True).select(*columns)
-    return rows.repartition("ga", "gb").sortWithinPartitions("ga", "gb", "asks").mapInArrow(lambda batches: answers(measure, batches), "a binary, b binary")
-
-
-def groups(measure: Measure, docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) for each set a but the least b of its component."""
-    own = sets.where("n > 0").dropDuplicates(["s"]).select(F.posexplode(F.arrays_zip("prefix", "parts")).alias("i", "p"), "s", "n")
-    # a list in parts has parts 1, 2, ...; a whole one is part 0
-    part = F.when(F.col("p.parts") > 0, 1 + F.pmod(F.xxhash64("s"), F.col("p.parts").cast("long") + 1)).otherwise(0).cast("int")
-    listed = cut(_listed(measure, own.select(F.col("p.prefix").alias("key"), part.alias("part"), "n", "i", "s")))
-    heads = listed.where("part > 0 AND s0 IS NULL").withColumn("part", F.lit(0))
-    over = _listed(measure, heads)
-    brief = cut(sets.join(listed.select("s").distinct(), "s", "left_semi").groupBy("s").agg(F.min("_k").alias("_k"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    return rows.repartition("ga", "gb").sortWithinPartitions("ga", "gb", "asks").mapInArrow(lambda batches: answers(measure, batches), "a long, b long")
+
+
+def groups(measure: Measure, docs: DataFrame, sets: DataFrame, order: Broadcast) -> DataFrame:
+    """(a, b) for each of the different sets a but the least b of its component."""
+    listed = cut(_listed(measure, _entries(sets, order)))
+    over = _listed(measure, listed.where("part > 0 AND s0 IS NULL").withColumn("part", F.lit(0)))
     direct = cut(listed.unionByName(over).where("s0 IS NOT NULL").select(F.col("s").alias("a"), F.col("s0").alias("b")).distinct())
-    followed = cut(_followed(measure, direct, docs, brief))
+    followed = cut(_followed(measure, direct, docs, sets))
     near = followed.select("a", "b")
     star = stars(near)
     label = listed.join(star.select(F.col("a").alias("s"), F.col("b").alias("g")), "s", "left").select("key", "s", "n", "i", F.coalesce("g", "s").alias("g"))
     mixed = cut(label.join(label.groupBy("key").agg((F.min("g") != F.max("g")).alias("open")).where("open").select("key"), "key"))
     known = direct.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     rest = _ordered(candidates(measure, mixed)).join(known, ["a", "b"], "left_anti")
-    return stars(near.unionByName(_answered(measure, rest, followed, docs, brief)))
+    return stars(near.unionByName(_answered(measure, rest, followed, docs, sets)))
 
 
-def components(docs: DataFrame, measure: Measure) -> DataFrame:
-    """doc_id, n_shingles and component_id (the least doc_id reachable by links, itself included) of every row; rows without words are linked with nothing."""
+def components_of(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, _k, name, n), and the name and component g of each different set that is not empty."""
     small_batches(docs.sparkSession)
     named = docs.select("doc_id", "text", row_key().alias("_k"))
-    sets = cut(sets_of(measure, named))
-    star = groups(measure, named, sets).select(F.col("a").alias("s"), F.col("b").alias("g"))
-    first = sets.where("n > 0").groupBy("s").agg(F.min("doc_id").alias("least")).join(star, "s", "left").withColumn("g", F.coalesce("g", "s"))
-    first = cut(first)
+    order = docs.sparkSession.sparkContext.broadcast(_frequent(measure, named))  # FREQUENT entries at most
+    rows = cut(sets_of(measure, named, order))
+    sets = distinct_sets(rows)
+    star = groups(measure, named, sets, order).select(F.col("a").alias("s"), F.col("b").alias("g"))
+    return rows.select("doc_id", "_k", "name", "n"), sets.select("name", "s").join(star, "s", "left").select("name", F.coalesce("g", "s").alias("g"))
+
+
+def components(docs: DataFrame, measure: Measure) -> DataFrame:
+    """doc_id, n_shingles and component_id (the least doc_id reachable by links, itself included) of every row; rows without words are linked with nothing."""
+    rows, member = components_of(docs, measure)
+    first = cut(rows.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("least")).join(member, "name"))
     least = first.groupBy("g").agg(F.min("least").alias("component_id"))
-    member = first.join(least, "g").select("s", "component_id")
-    return sets.select("doc_id", "s", "n").join(member, "s", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    own = first.join(least, "g").select("name", "component_id")
+    return rows.join(own, "name", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
