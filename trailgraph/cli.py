@@ -7,6 +7,8 @@ import json
 import os
 import signal
 import threading
+import time
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from concurrent.futures import TimeoutError as FutureTimeout
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
@@ -14,7 +16,9 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from pyspark.sql import SparkSession
 
 from . import api
+from .operators.routes import BROADCAST_EDGES
 from .plans.profile import load_profile
+from .resident import Resident, TooLate
 from .sources import store
 
 #: Limits of the server.
@@ -43,24 +47,33 @@ class Server(ThreadingHTTPServer):
     """``GET /health`` and ``POST /route``, also across origins.
 
     At most ``MAX_ROUTES`` requests are planned at a time, others wait; one
-    that has no answer after ``timeout_s`` gets status 408.  The graph is
-    loaded once and stays with the executors.  ``stop`` lets requests in work
-    finish.
+    that has no answer after ``timeout_s`` gets status 408 and gives its planner
+    back.  The graph is loaded once: into this process where it has no more
+    than ``resident_edges`` edges, so that a request takes no Spark job; a
+    larger one is answered by the batch plan, whose jobs end with the request.
+    ``stop`` lets requests in work finish.
     """
 
     daemon_threads = False
     block_on_close = True
 
-    def __init__(self, spark: SparkSession, path: str, host: str, port: int, timeout_s: float = TIMEOUT_S) -> None:
+    def __init__(self, spark: SparkSession, path: str, host: str, port: int, timeout_s: float = TIMEOUT_S, resident_edges: int = BROADCAST_EDGES) -> None:
         self.spark, self.profile, self.timeout_s = spark, load_profile(), timeout_s
         self.graph = store.load(spark, path, self.profile.fingerprint())
+        self.resident = Resident(self.graph, self.profile) if self.graph.edges.count() <= resident_edges else None
         self.planners = ThreadPoolExecutor(MAX_ROUTES)
         super().__init__((host, port), Handler)
 
-    def answer(self, body: str):
+    def answer(self, body: str, group: str, deadline: float) -> tuple[int, str, str]:
         """status, content_type and body for a request's JSON body."""
+        if time.monotonic() > deadline:  # it waited too long; nobody listens any more
+            raise TooLate
+        if self.resident is not None:
+            return self.resident.answer(body, deadline)
+        self.spark.sparkContext.setJobGroup(group, "a route request", interruptOnCancel=True)
         asked = self.spark.createDataFrame([(0, body)], "request_id long, body string")
-        return api.answer(asked, self.graph, self.profile).first()
+        row = api.answer(asked, self.graph, self.profile).first()
+        return row["status"], row["content_type"], row["body"]
 
     def stop(self) -> None:
         """Take no more requests, finish those in work."""
@@ -102,19 +115,20 @@ class Handler(BaseHTTPRequestHandler):
             self.fail(413, "body too large")
         else:
             body = self.rfile.read(size).decode("utf-8", "replace")
-            planned = self.server.planners.submit(self.server.answer, body)
+            group, deadline = uuid.uuid4().hex, time.monotonic() + self.server.timeout_s
+            planned = self.server.planners.submit(self.server.answer, body, group, deadline)
             try:
-                row = planned.result(self.server.timeout_s)
-                self.reply(row["status"], row["content_type"], row["body"])
-            except FutureTimeout:
-                planned.cancel()
+                self.reply(*planned.result(self.server.timeout_s))
+            except (FutureTimeout, TooLate):
+                if not planned.cancel():
+                    self.server.spark.sparkContext.cancelJobGroup(group)
                 self.fail(408, "no answer in time")
             except Exception as error:
                 self.fail(500, str(error)[:300])
 
 
-def server(spark: SparkSession, path: str, host: str, port: int, timeout_s: float = TIMEOUT_S) -> Server:
-    return Server(spark, path, host, port, timeout_s)
+def server(spark: SparkSession, path: str, host: str, port: int, timeout_s: float = TIMEOUT_S, resident_edges: int = BROADCAST_EDGES) -> Server:
+    return Server(spark, path, host, port, timeout_s, resident_edges)
 
 
 def serve(spark: SparkSession, path: str, host: str, port: int) -> None:
@@ -128,7 +142,8 @@ def serve(spark: SparkSession, path: str, host: str, port: int) -> None:
 
 def main(args: list[str] | None = None) -> None:
     given = parser().parse_args(args)
-    builder = SparkSession.builder.appName("trailgraph")
+    # intermediate tables of answered requests are deleted with the tables that stood for them
+    builder = SparkSession.builder.appName("trailgraph").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if given.threads is not None:  # as many threads on this machine; a cluster's master says how many it has
         builder = builder.master(f"local[{given.threads}]")
     spark = builder.getOrCreate()

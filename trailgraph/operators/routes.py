@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from weakref import WeakKeyDictionary
 
 import numpy as np
@@ -105,18 +105,40 @@ def penalty_array(flags: np.ndarray, scenic: np.ndarray, request, profile: Profi
     return value
 
 
-def _answer(g: search.Arrays, request, profile: Profile) -> list[tuple]:
-    start, end = g.place(request.from_node), g.place(request.to_node)
-    if start is None or end is None:
-        if request.from_node != request.to_node:
+def prices_for(g: search.Arrays, request, profile: Profile) -> search.Prices:
+    """A request's first prices: one penalty for each class of edges."""
+    return search.Prices(g, penalty_array(*g.classes[:2], request, profile))
+
+
+class Searches:
+    """Answers requests one after another; those with the same destination and prices as the one before share its front."""
+
+    def __init__(self, g: search.Arrays, profile: Profile) -> None:
+        self.g, self.profile, self.made, self.key, self.goal = g, profile, 0, None, None
+
+    def front(self, end: int, prices: search.Prices) -> search.Front:
+        key = (end, prices.by_class.tobytes())
+        if key != self.key:
+            self.key, self.goal = key, search.Front(self.g, end, search.Prices(self.g, prices.by_class), backward=True)
+            self.made += 1
+        return self.goal
+
+    def paths(self, request, check: Callable[[], None] = lambda: None) -> list[search.Path]:
+        """Routes of a request (with from_node and to_node) in the order found, as positions in the arrays."""
+        start, end = self.g.place(request.from_node), self.g.place(request.to_node)
+        if start is None or end is None:
             return []
-        return [(request.request_id, 0, [int(request.from_node)], [], 0.0, 0.0, 0.0, 0, 0)] if request.alternatives > 0 else []
-    penalty = penalty_array(g.flags, g.scenic, request, profile)
-    found = search.alternatives(g, start, end, int(request.alternatives), float(request.lambda_), float(request.diversity), float(request.max_detour), penalty)
-    return [
-        (request.request_id, i, g.node_ids[p.nodes].tolist(), g.edge_id[p.edges].tolist() if p.edges else [], p.length_m, p.cost, p.unpaved_fraction, p.ford_count, p.fourwd_only_count)
-        for i, p in enumerate(found)
-    ]
+        prices = prices_for(self.g, request, self.profile)
+        return search.alternatives(self.g, start, end, int(request.alternatives), float(request.lambda_), float(request.diversity), float(request.max_detour), prices, self.front(end, prices), check)
+
+    def rows(self, request) -> list[tuple]:
+        g, own = self.g, request.request_id
+        if request.from_node == request.to_node and g.place(request.from_node) is None:
+            return [(own, 0, [int(request.from_node)], [], 0.0, 0.0, 0.0, 0, 0)] if request.alternatives > 0 else []
+        return [
+            (own, i, g.node_ids[p.nodes].tolist(), g.edge_id[p.edges].tolist() if p.edges else [], p.length_m, p.cost, p.unpaved_fraction, p.ford_count, p.fourwd_only_count)
+            for i, p in enumerate(self.paths(request))
+        ]
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -138,6 +160,10 @@ def resident(graph: Graph, broadcast_edges: int = BROADCAST_EDGES) -> Broadcast
     return _resident[graph.edges]
 
 
+#: What a request's first prices hang on.
+_SETTING = ("vehicle", "avoid_paved", "avoid_fords", "prefer_scenic", "scenic_weight")
+
+
 def search_routes(snapped: DataFrame, graph: Graph, profile: Profile, broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:
     """Routes (in the order found) of requests whose ends are snapped.
 
@@ -150,16 +176,18 @@ def search_routes(snapped: DataFrame, graph: Graph, profile: Profile, broadcast_
     if shared is not None:
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            searches = Searches(shared.value, profile)
             for frame in frames:
-                yield _frame([row for r in frame.itertuples(index=False) for row in _answer(shared.value, r, profile)])
+                yield _frame([row for r in frame.itertuples(index=False) for row in searches.rows(r)])
 
-        return asked.repartition("request_id").mapInPandas(run, ROUTES)
+        # dealt by request, so that a destination that many ask for is no single task's; within one, equal ends meet
+        return asked.repartition("request_id").sortWithinPartitions("to_node", *_SETTING, "request_id").mapInPandas(run, ROUTES)
 
     def grouped(own: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
         if own.empty:
             return _frame([])
-        g = _arrays(part)
-        return _frame([row for r in own.itertuples(index=False) for row in _answer(g, r, profile)])
+        searches = Searches(_arrays(part), profile)
+        return _frame([row for r in own.itertuples(index=False) for row in searches.rows(r)])
 
     numbered = dense_ids(asked, [F.col("request_id")], "_n")
     blocks = -(-numbered.count() // REQUEST_BLOCK)
@@ -187,9 +215,12 @@ def single_source(graph: Graph, source: int, broadcast_edges: int = BROADCAST_ED
             for source in frame["id"]:
                 g = shared.value
                 start = g.place(source)
-                settled = {start: 0.0} if start is None else search.distances(g, start)[0]
-                ids = [int(source) if v is None else int(g.node_ids[v]) for v in settled]
-                yield pd.DataFrame({"node_id": ids, "cost": list(settled.values())})
+                if start is None:
+                    yield pd.DataFrame({"node_id": [source], "cost": [0.0]})
+                else:
+                    cost = search.Front(g, start, search.Prices(g)).settle().left
+                    reached = np.isfinite(cost)
+                    yield pd.DataFrame({"node_id": g.node_ids[reached], "cost": cost[reached]})
 
     return graph.edges.sparkSession.range(source, source + 1, 1, 1).mapInPandas(run, "node_id long, cost double")
 
