@@ -26,6 +26,23 @@ def test_wrapped_notices_are_one_paragraph(spark):
             assert findings(spark, f"Some prose here\n\n{wrapped}\n\nMore prose") == [[(2, family)]], t
 
 
+def wrapped(text, width):
+    own = text.split()
+    return "\n".join(" ".join(own[i : i + width]) for i in range(0, len(own), width))
+
+
+def test_notices_in_short_lines(spark):
+    """However few words a line has, a notice is found as if its lines were joined."""
+    texts = ["All rights\nreserved.", "Released\nunder\nCC0\n1.0.", "Licensed under\nthe Apache\nLicense, Version\n2.0.", "MIT\nLicense", "Some prose of mine\nand more.\n\nMIT\nLicense\n\nMore prose"]
+    families = ["proprietary", "cc", "apache", "mit", "mit"]
+    got = findings(spark, *texts)
+    assert [[f for _, f in own] for own in got[:1] + got[2:]] == [[f] for f in families[:1] + families[2:]] and len(got[1]) == 1
+    whole = [t for own in licenses.TEMPLATES.values() for t in own if not any(w[-1] in ".:;!?" for w in t.split()[:-1])]
+    assert len(whole) > 20
+    for width in (1, 2, 3):
+        assert [[f for _, f in own] for own in findings(spark, *(wrapped(t, width) for t in whole))] == [[f for _, f in own] for own in findings(spark, *whole)]
+
+
 def test_other_lines(spark):
     texts = ["SPDX-License-Identifier: EPL-2.0", "Fishing License", "She renewed her driving licence.", "All rights reserved.\nAll rights reserved.", "MIT License\n\nApache License", "", None, "\n\n", "mit"]
     assert findings(spark, *texts) == [[], [], [], [(0, "proprietary"), (1, "proprietary")], [(0, "mit"), (2, "apache")], [], [], [], []]

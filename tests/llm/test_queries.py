@@ -53,16 +53,23 @@ def test_op2_search(spark, table):
 
 
 def slow_findings(text, model):
-    """Families of a text's paragraphs (None: not confirmed), line by line in Python."""
-    known = {h for f in licenses.TEMPLATES.values() for t in f for h in licenses.shingle_hashes(licenses.words(t))}
+    """Families of a text's paragraphs (None: not confirmed), from the words of all its lines, in Python."""
+    own, templates = (text or "").split("\n"), [tuple(licenses.words(t)) for f in licenses.TEMPLATES.values() for t in f]
+    known, short = {t[k : k + 3] for t in templates for k in range(len(t) - 2)}, {t for t in templates if len(t) < 3}
+    placed, marked = [(w, i) for i, line in enumerate(own) for w in licenses.words(line)], set()
+    for k in range(len(placed) - 2):
+        if tuple(w for w, _ in placed[k : k + 3]) in known:
+            marked |= {i for _, i in placed[k : k + 3]}
+    for i, line in enumerate(own):
+        w = tuple(licenses.words(line))
+        after = tuple(licenses.words(own[i + 1])) if i + 1 < len(own) else ()
+        marked |= ({i} if w in short else set()) | ({i, i + 1} if len(w) == len(after) == 1 and w + after in short else set())
     found, run, last = [], [], None
-    for i, line in enumerate((text or "").split("\n")):
-        if not known & set(licenses.shingle_hashes(licenses.words(line))):
-            continue
+    for i in sorted(marked):
         if run and (i != last + 1 or re.search(r"[.!?:;][\s\"')]*$", run[-1])):
             found.append(" ".join(run))
             run = []
-        run.append(line)
+        run.append(own[i])
         last = i
     found += [" ".join(run)] if run else []
     result = []
@@ -160,3 +167,11 @@ def test_op10_html_text(spark):
         best = max(product((0, 1), repeat=len(chain)), key=value)
         assert got[page_id][0] == "\n\n".join(b.text for b, y in zip(chain, best) if y)
     assert tried > 5
+
+
+@pytest.mark.parametrize("ids", [[3, -3, 7], [3, 23, -17, None, 3], [(1 << 63) - 1, -(1 << 63), 3, 7], [(1 << 63) - 5, 3]])
+def test_op8_totals_for_any_ids(spark, tmp_path, ids):
+    """The query's own copies and corrections never meet a row of the table."""
+    spark.createDataFrame([(i, "some words here", "a", "en") for i in ids], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in queries.QUERIES["op8_token_counts"](spark, str(tmp_path)).collect():
+        assert (r.docs, r.tokens) == (len(ids), 3 * len(ids))

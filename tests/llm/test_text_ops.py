@@ -53,7 +53,7 @@ def test_url_index_finds_what_trying_every_rule_finds(spark):
     urls = [f"http://{h}{p}" for h in ("a.b", "x.a.b", "ads.a", "www.casino.b", "net", "q.example.net") for p in ("/c", "/c/d", "/betXwin", "/en/x.exe", "/en/", "/x-casino-y")]
     frame = spark.createDataFrame([(u,) for u in urls], "url string")
     for row in url_filter.judge(frame, rules).collect():
-        hits = [(r.tier, len(r.name or r.pattern), -i, r.action) for i, r in enumerate(rules) if re.search(url_filter.regex(r.pattern), row.host + row.path)]
+        hits = [(r.tier, len(r.name or r.pattern), -i, r.action) for i, r in enumerate(rules) if re.search(url_filter.regex(r.pattern).replace(r"\z", r"\Z"), row.host + row.path)]
         assert row.verdict == (max(hits)[3] if hits else "allow"), row.url
 
 
@@ -230,3 +230,16 @@ def test_rollup_commits(spark, tmp_path, vocabulary):
     assert totals()[("a", "en")] == (2, n("hello there world"))
     assert commit("b2", ("revise", 1, "bye", "b", "en"), ("delete", 3, None, None, None))
     assert totals() == {("a", "en"): (1, 0), ("b", "en"): (1, n("bye"))}
+
+
+def test_ends_of_urls_are_ends_of_texts(spark):
+    """A pattern's end is not before a last line break; the operator and its SQL agree."""
+    import duckdb
+
+    from trailgraph.llm.queries import ORACLE_SQL
+
+    pages = spark.createDataFrame([(1, "http://x.com/a.exe"), (2, "http://x.com/a.exe\n"), (3, "http://x.com/a.exe\r\n"), (4, "http://x.com/robots.txt\u2028")], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages).collect()}
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    assert got == dict(con.execute(f"SELECT page_id, verdict FROM ({ORACLE_SQL['op1_url_filter']})").fetchall()) == {1: "block", 2: "allow", 3: "allow", 4: "allow"}

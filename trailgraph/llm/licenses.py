@@ -1,15 +1,17 @@
 """Licence scans: a trained paragraph classifier, confirmed by templates.
 
-Lines that share a shingle (three words, or all of a shorter line) with a
-template are candidates; neighbouring candidates, up to one that ends a
-sentence, are one paragraph, as the lines of a wrapped notice are.  Paragraphs
+Shingles (three words) are taken over the words of the whole text, across line
+ends, and every line that a template's shingle touches is a candidate; so are
+lines, and pairs of one-word lines, of fewer words that are all of a shorter
+template.  Neighbouring candidates, up to one that ends a sentence, are one
+paragraph, as the lines of a wrapped notice are.  Paragraphs
 are classified by logistic regression over sparse hashed word 1- to 3-grams.
 Classes are licence families and ``unknown``; probabilities are calibrated by a
 temperature fitted on held-out paragraphs, and a family needs at least
 ``MIN_PROBABILITY``.  A prediction counts as confirmed if the paragraph shares
 enough shingles with a template of that family; unconfirmed ones are reported
-as unknown.  No line that shares no shingle could be confirmed by itself, so
-none is lost.
+as unknown.  Confirmation asks for a template's shingle, and however a notice is
+wrapped all lines that its shingles touch are candidates.
 
 The model is fitted in the driver on variations of the templates (a fixed,
 small set); it becomes a constant of the plan, and scanning is one pass of SQL
@@ -18,7 +20,7 @@ functions without shuffle.
 Defined cases
 -------------
 * null or empty text: no findings; null ids are kept;
-* a line without a template's shingle: cannot be confirmed, so not listed;
+* a line that no template's shingle touches: cannot be confirmed, so not listed; a blank line ends a paragraph;
 * repeated rows and lines: each is listed; ties between families: the first in order;
 * empty table: empty result; very long texts: every line is read, whole;
 * extra columns: ``scan`` keeps them and adds ``findings``, in place of a column of that name.
@@ -328,22 +330,31 @@ def _whole(own: Column) -> Column:
     return F.filter(F.array(F.array_join(own, " ")), lambda x: x != "")
 
 
-def _candidate(line: Column) -> Column:
-    """Whether a line has a shingle of any template."""
-    every = sorted({h for family in TEMPLATES.values() for t in family for h in shingle_hashes(words(t))})
-    known = _constant(every, "array<bigint>")
+def _candidates(lines: Column) -> Column:
+    """Numbers of the lines that a template's shingle touches, ascending."""
+    every = [(len(words(t)), shingle_hashes(words(t))) for family in TEMPLATES.values() for t in family]
+    known = sorted({h for n, own in every if n >= 3 for h in own})
+    short = sorted({h for n, own in every if n < 3 for h in own})
 
-    def shared(w: Column) -> Column:
-        at = F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1)))
-        return (F.size(w) > 0) & F.arrays_overlap(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(w, i, 3), " "))), known)
+    def is_short(own: Column) -> Column:
+        return F.xxhash64(F.array_join(own, " ")).isin(short)
 
-    return _let(F.filter(F.split(ascii_lower(line), "[^a-z0-9]+"), lambda w: w != ""), shared)
+    def marked(by_line: Column, flat: Column, line: Column) -> Column:
+        last = F.size(flat) - 3
+        places = F.when(last >= 0, F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda k: F.xxhash64(F.array_join(F.slice(flat, k + 1, 3), " ")).isin(known)))
+        touched = F.flatten(F.transform(F.coalesce(places, F.array().cast("array<int>")), lambda k: F.slice(line, k + 1, 3)))
+        numbers = F.sequence(F.lit(0), F.size(by_line) - 1)
+        alone = F.filter(numbers, lambda i: F.size(F.get(by_line, i)).between(1, 2) & is_short(F.get(by_line, i)))
+        pairs = F.filter(numbers, lambda i: (F.size(F.get(by_line, i)) == 1) & (F.size(F.get(by_line, i + 1)) == 1) & is_short(F.concat(F.get(by_line, i), F.get(by_line, i + 1))))
+        return F.array_sort(F.array_distinct(F.concat(touched, alone, pairs, F.transform(pairs, lambda i: i + 1))))
+
+    by_line = F.transform(lines, lambda x: F.filter(F.split(ascii_lower(x), "[^a-z0-9]+"), lambda w: w != ""))
+    numbered = lambda own: F.flatten(F.transform(own, lambda w, i: F.array_repeat(i, F.size(w))))
+    return _let(by_line, lambda own: _let(F.struct(F.flatten(own).alias("flat"), numbered(own).alias("line")), lambda t: marked(own, t["flat"], t["line"])))
 
 
 def paragraphs(text: Column) -> Column:
     """paragraph (number of its first line, from 0) and text of each run of neighbouring candidates; a run ends where a sentence does."""
-    numbered = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("text")))
-
     def runs(own: Column) -> Column:
         def begins(i: Column) -> Column:
             here, last = F.get(own, i), F.get(own, i - 1)
@@ -362,7 +373,8 @@ def paragraphs(text: Column) -> Column:
         )
 
     none = F.from_json(F.lit("[]"), "array<struct<paragraph:int,text:string>>")
-    return _let(F.filter(numbered, lambda p: _candidate(p["text"])), lambda own: F.when(F.size(own) > 0, runs(own)).otherwise(none))
+    taken = lambda lines: F.transform(_candidates(lines), lambda i: F.struct(i.alias("line"), F.get(lines, i).alias("text")))
+    return _let(F.split(text, "\n"), lambda lines: _let(taken(lines), lambda own: F.when(F.size(own) > 0, runs(own)).otherwise(none)))
 
 
 def scan(docs: DataFrame, model: Model | None = None, column: str = "text") -> DataFrame:

@@ -63,14 +63,17 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of all documents for two tokenizer versions, kept up through batches.
 
     The first batch inserts every document, and second copies of some under
-    other ids.  The second deletes the copies and revises documents with
+    ids beyond all of the table's (none where no such id is left).  The second deletes the copies and revises documents with
     unique ids to the text that they have.  It is committed twice, and counts
     once, so the totals are those of the table.
     """
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     vocabularies = {name: token_counts.load_vocabulary(name) for name in TOKENIZERS}
     rollup = token_counts.Rollup(spark, shared_path(spark, "token-rollup"), vocabularies)
-    copies = docs.where("doc_id % 20 = 3").withColumn("doc_id", -F.col("doc_id"))
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    beyond = (high or 0) - (low or 0) + 1
+    ids = F.try_add(F.col("doc_id"), F.lit(beyond).cast("long")) if beyond < 1 << 63 else F.lit(None).cast("long")
+    copies = docs.where("pmod(doc_id, 20) = 3").withColumn("doc_id", ids).where("doc_id IS NOT NULL")
     unique = docs.where("doc_id % 20 = 7").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("doc_id")
     rollup.commit("load", docs.unionByName(copies).withColumn("op", F.lit(token_counts.INSERT)))
     corrections = copies.withColumn("op", F.lit(token_counts.DELETE)).unionByName(docs.join(unique, "doc_id", "left_semi").withColumn("op", F.lit(token_counts.REVISE)))

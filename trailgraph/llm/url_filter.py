@@ -75,9 +75,9 @@ def regex(pattern: str) -> str:
     elif pattern.startswith("|"):
         start, pattern = "^", pattern[1:]
     if pattern.endswith("|"):
-        end, pattern = "$", pattern[:-1]
+        end, pattern = r"\z", pattern[:-1]  # not $, which fits before a last line break too
     pattern = pattern.rstrip("*") if not end else pattern
-    parts = {"*": r"[\s\S]*", "^": r"(?:[^0-9A-Za-z_.%-]|$)"}
+    parts = {"*": r"[\s\S]*", "^": r"(?:[^0-9A-Za-z_.%-]|\z)"}
     return start + "".join(parts.get(c, re.sub(r"([^0-9A-Za-z/_ -])", r"\\\1", c)) for c in pattern) + end
 
 
