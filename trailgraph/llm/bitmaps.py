@@ -6,11 +6,13 @@ each bucket; they travel compressed, in chunks, and are added up chunk by chunk.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Chunks that counters travel in.
 CHUNKS = 256
@@ -65,13 +67,24 @@ def bitmap(rows: DataFrame, least: int, buckets: int) -> np.ndarray:
     return bits
 
 
-def marks(numbers: DataFrame, buckets: int) -> np.ndarray:
-    """The bitmap of the numbers (one column of longs), modulo ``buckets``."""
+def marks(numbers: DataFrame, buckets: int, least: int = 1) -> np.ndarray:
+    """The bitmap of the numbers (one column of longs), modulo ``buckets``, that ``least`` rows have or that share a bit with so many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = Counters(buckets, 1)
+        counters = Counters(buckets, least)
         for batch in batches:
             counters.add(batch.column(0).to_numpy() % buckets)
         yield pa.RecordBatch.from_arrays(counters.chunks(), names=["chunk", "data"])
 
-    return bitmap(numbers.mapInArrow(run, "chunk int, data binary"), 1, buckets)
+    return bitmap(numbers.mapInArrow(run, "chunk int, data binary"), least, buckets)
+
+
+def marked(bits: np.ndarray, spark: SparkSession) -> Callable[[Column], Column]:
+    """Whether the bit of a number is set, as a column: only the numbers go through Python."""
+    shared, buckets = spark.sparkContext.broadcast(bits), 8 * len(bits)
+
+    @F.pandas_udf("boolean")
+    def test(numbers: pd.Series) -> pd.Series:
+        return pd.Series(has(shared.value, numbers.to_numpy() % buckets))
+
+    return test

@@ -43,7 +43,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bitmaps import Counters, bitmap, has, marks
+from .bitmaps import Counters, bitmap, has, marked, marks
 from .common import cut, small_batches
 from .simhash import row_key, stars
 
@@ -158,7 +158,7 @@ def _frequent(measure: Measure, docs: DataFrame) -> tuple[np.ndarray, np.ndarray
 
 
 def sets_of(measure: Measure, docs: DataFrame, order: Broadcast) -> DataFrame:
-    """doc_id, _k, the name of each row's set, its size n, sketch and prefix (by count where it is known, then by hash)."""
+    """doc_id, _k, the name of each row's set, its size n, sketch and prefix (by count where it is known, then by hash), and the row's number s, which stays once the rows are written."""
     names = ["doc_id", "_k", "name", "n", "sketch", "prefix"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,13 +175,20 @@ def sets_of(measure: Measure, docs: DataFrame, order: Broadcast) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(keys, type=pa.binary()), pa.array(np.array(sizes, dtype=np.int32)), pa.array(sketches, type=pa.binary()), lists], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "_k", "text").mapInArrow(run, f"doc_id {kind}, _k long, name binary, n int, sketch binary, prefix array<long>")
+    return docs.select("doc_id", "_k", "text").mapInArrow(run, f"doc_id {kind}, _k long, name binary, n int, sketch binary, prefix array<long>").withColumn("s", F.monotonically_increasing_id())
 
 
 def distinct_sets(rows: DataFrame) -> DataFrame:
-    """One row for each different set that is not empty, numbered by s: equal sets are folded, and later tables carry numbers instead of names."""
+    """One row for each different set that is not empty, numbered by the s of one of its rows: equal sets are folded, and later tables carry numbers instead of names.
+
+    A bitmap tells most names that one row alone has, so that their prefixes are not shuffled.
+    """
+    spark, name = rows.sparkSession, F.xxhash64("name")
+    known = rows.where("n > 0")
+    several = marked(marks(known.select(name), WANTED, 2), spark)(name)
     first = [F.first(c).alias(c) for c in ("n", "sketch", "prefix")]
-    return cut(rows.where("n > 0").groupBy("name").agg(F.min("_k").alias("_k"), *first).withColumn("s", F.monotonically_increasing_id()))
+    folded = cut(known.where(several).groupBy("name").agg(F.min("_k").alias("_k"), F.min("s").alias("s"), *first))
+    return known.where(~several).select(*folded.columns).unionByName(folded)
 
 
 def _entries(sets: DataFrame, order: Broadcast) -> DataFrame:
