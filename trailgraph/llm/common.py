@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import checkpoint_dir, materialise, shared_path  # noqa: F401
 
+#: Short rows to a file of an intermediate table.
+ROWS_A_FILE = 1 << 14
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -29,6 +32,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 cut = materialise
 
 
+def cut_few(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``cut`` for tables of short rows, in few files: one to so many rows where their number is known, else four to a core.
+
+    Every file that an executor begins starts a process, so hundreds of files
+    of a few rows each cost more than the rows.
+    """
+    files = 4 * df.sparkSession.sparkContext.defaultParallelism if rows is None else -(-rows // ROWS_A_FILE)
+    return cut(df.coalesce(max(1, files)))
+
+
 def quoted(name: str) -> str:
     """A column's name, for use in expressions."""
     return "`" + name.replace("`", "``") + "`"

@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bitmaps import Counters, bitmap, has, marked, marks
-from .common import cut, small_batches
+from .common import cut, cut_few, small_batches
 from .simhash import row_key, stars
 
 #: One text of so many is read for the order; so many shingles are put last; lists that are estimated longer than LIST are dealt out in parts.
@@ -310,7 +310,7 @@ def _possible(measure: Measure, pairs: DataFrame, brief: DataFrame) -> DataFrame
 
 def _whole_sets(measure: Measure, docs: DataFrame, brief: DataFrame, wanted: DataFrame) -> DataFrame:
     """s and its whole set, from the text of one row each.  A bitmap keeps most other rows from the shuffle, the join drops the rest."""
-    wanted = cut(wanted.distinct().join(brief.select("s", "_k"), "s"))
+    wanted = cut_few(wanted.distinct().join(brief.select("s", "_k"), "s"))
     shared = docs.sparkSession.sparkContext.broadcast(marks(wanted.select("_k"), WANTED))  # WANTED bits, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,7 +349,7 @@ def _followed(measure: Measure, pairs: DataFrame, docs: DataFrame, brief: DataFr
             own = batch.select(["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
             yield pa.RecordBatch.from_arrays([*own.columns, pa.array(more, type=pa.binary()), pa.array(less, type=pa.binary())], names=["a", "b", "more", "less"])
 
-    pairs = cut(_possible(measure, pairs, brief).select("a", "b"))
+    pairs = cut_few(_possible(measure, pairs, brief).select("a", "b"))
     sets = _whole_sets(measure, docs, brief, pairs.select(F.explode(F.array("a", "b")).alias("s")))
     return _with_sets(pairs, sets, "a", "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, more binary, less binary")
 
@@ -385,7 +385,7 @@ def answers(measure: Measure, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
 
 def _answered(measure: Measure, pairs: DataFrame, followed: DataFrame, docs: DataFrame, brief: DataFrame) -> DataFrame:
     """The similar ones of the pairs (a, b), through their guides.  A set without a guide is its own."""
-    pairs = cut(_possible(measure, pairs, brief))
+    pairs = cut_few(_possible(measure, pairs, brief))
     guide = followed.groupBy("a").agg(F.min(F.struct(F.length("more") + F.length("less"), "b", "more", "less")).alias("f")).select("a", "f.b", "f.more", "f.less")
     for side in ("a", "b"):
         own = guide.select(F.col("a").alias(side), F.col("b").alias("g"), F.col("more").alias(f"more_{side}"), F.col("less").alias(f"less_{side}"))
@@ -402,7 +402,7 @@ def groups(measure: Measure, docs: DataFrame, sets: DataFrame, order: Broadcast)
     """(a, b) for each of the different sets a but the least b of its component."""
     listed = cut(_listed(measure, _entries(sets, order)))
     over = _listed(measure, listed.where("part > 0 AND s0 IS NULL").withColumn("part", F.lit(0)))
-    direct = cut(listed.unionByName(over).where("s0 IS NOT NULL").select(F.col("s").alias("a"), F.col("s0").alias("b")).distinct())
+    direct = cut_few(listed.unionByName(over).where("s0 IS NOT NULL").select(F.col("s").alias("a"), F.col("s0").alias("b")).distinct())
     followed = cut(_followed(measure, direct, docs, sets))
     near = followed.select("a", "b")
     star = stars(near)

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, own_columns, small_batches
+from .common import cut, cut_few, fresh, own_columns, small_batches
 
 BITS = 64
 RADIUS = 2
@@ -290,19 +290,19 @@ def _ordered(edges: DataFrame) -> DataFrame:
 
 def stars(edges: DataFrame) -> DataFrame:
     """(a, b) for each linked node a but the least b of its component."""
-    edges = cut(edges)
-    state = None
+    edges = cut_few(edges)
+    rows, state = None, None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
         large = both.where(F.col("b") > F.col("a")).join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         own = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
         small = large.join(own, F.col("a") == F.col("u")).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
-        edges = cut(small.select("e.a", "e.b").where(F.col("a") != F.col("b")).distinct())
+        edges = cut_few(small.select("e.a", "e.b").where(F.col("a") != F.col("b")).distinct(), rows)
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.hash("b", "a"))).first()
         if now == state:
             return edges
-        state = now
+        rows, state = now[0], now
 
 
 def component_map(fps: DataFrame) -> DataFrame:
