@@ -35,8 +35,8 @@ class Counters:
 
     def chunks(self) -> list[pa.Array]:
         """Numbers and compressed counts of the chunks that hold anything."""
-        parts = [(i, part.tobytes()) for i, part in enumerate(np.split(self.counts, CHUNKS)) if part.any()]
-        return [pa.array([i for i, _ in parts], type=pa.int32()), pa.array([pa.compress(p, codec="zstd", asbytes=True) for _, p in parts], type=pa.binary())]
+        parts = [(i, pa.compress(pa.py_buffer(part), codec="zstd", asbytes=True)) for i, part in enumerate(np.split(self.counts, CHUNKS)) if part.any()]
+        return [pa.array([i for i, _ in parts], type=pa.int32()), pa.array([data for _, data in parts], type=pa.binary())]
 
 
 def bitmap(rows: DataFrame, least: int, buckets: int) -> np.ndarray:

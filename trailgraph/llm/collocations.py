@@ -43,8 +43,8 @@ from .common import arrow_batches, cut, shared_path
 #: Least count, longest phrase, share of a phrase (in hundredths) that lies in a longer one, phrases of a language.
 MIN_COUNT, MAX_WORDS, INSIDE, TOP = 10, 3, 50, 2000
 SCALE = 1_000_000
-#: Buckets, and bits of a bitmap: a power of two, one to so many bytes of text, within these bounds (32 MB to broadcast, 256 MB to count in).
-BYTES_A_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 16, 1 << 16, 1 << 28
+#: Buckets, and bits of a bitmap: a power of two, one to so many bytes of text, within these bounds (16 MB to broadcast, 128 MB to count in).
+BYTES_A_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 16, 1 << 16, 1 << 27
 #: Bytes of text that are taken apart at once, counted phrases that a task holds; languages are ranked in so many parts before the last ranking.
 _TEXT, _HELD, _SALT = 4 << 20, 1 << 19, 16
 _END = b"\xff"  # in no UTF-8 text

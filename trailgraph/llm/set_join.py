@@ -52,8 +52,8 @@ PART, FREQUENT, LIST = 8, 1 << 16, 1 << 15
 _FLUSH = 1 << 21
 #: Classes of size between a set and the smallest one that can be similar to it.
 CLASSES = 4
-#: Buckets for each entry of a list, within these bounds (32 MB to broadcast); beyond them more entries are shuffled.
-BUCKETS_AN_ENTRY, LEAST_BUCKETS, MOST_BUCKETS = 4, 1 << 16, 1 << 28
+#: Buckets for each entry of a list, within these bounds (8 MB to broadcast, 64 MB to count in); beyond them more entries are shuffled.
+BUCKETS_AN_ENTRY, LEAST_BUCKETS, MOST_BUCKETS = 2, 1 << 16, 1 << 26
 #: Hash ranges of a sketch; bits of the map that tells whose texts are read again.
 RANGES, WANTED = 256, 1 << 24
 _FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
