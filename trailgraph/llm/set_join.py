@@ -12,8 +12,9 @@ so a block is kept or skipped whole, before its entries are looked at.  Shingles
 that only one prefix has make no list: a bitmap of hash buckets keeps most of
 them from the shuffle.
 
-*Answer-level skipping.*  In each list the first set guides those that follow;
-where a set is similar to its guide, its differences from it are stored.  Sets that guides already join into one component ask the index for
+*Answer-level skipping.*  In each list the first set guides those that follow, and
+a set follows the guide that it has in most lists; where the two are similar,
+the set's differences from its guide are stored.  Sets that guides already join into one component ask the index for
 nothing more of each other.  Other candidates are answered through their guides:
 the guides' sets are intersected once, and the answers of the sets that follow
 them are derived by adding and taking off their differences; a bound by the
@@ -349,7 +350,6 @@ def _followed(measure: Measure, pairs: DataFrame, docs: DataFrame, brief: DataFr
             own = batch.select(["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
             yield pa.RecordBatch.from_arrays([*own.columns, pa.array(more, type=pa.binary()), pa.array(less, type=pa.binary())], names=["a", "b", "more", "less"])
 
-    pairs = cut_few(_possible(measure, pairs, brief).select("a", "b"))
     sets = _whole_sets(measure, docs, brief, pairs.select(F.explode(F.array("a", "b")).alias("s")))
     return _with_sets(pairs, sets, "a", "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, more binary, less binary")
 
@@ -402,7 +402,10 @@ def groups(measure: Measure, docs: DataFrame, sets: DataFrame, order: Broadcast)
     """(a, b) for each of the different sets a but the least b of its component."""
     listed = cut(_listed(measure, _entries(sets, order)))
     over = _listed(measure, listed.where("part > 0 AND s0 IS NULL").withColumn("part", F.lit(0)))
-    direct = cut_few(listed.unionByName(over).where("s0 IS NOT NULL").select(F.col("s").alias("a"), F.col("s0").alias("b")).distinct())
+    led = cut_few(listed.unionByName(over).where("s0 IS NOT NULL").groupBy(F.col("s").alias("a"), F.col("s0").alias("b")).agg(F.count(F.lit(1)).alias("lists")))
+    # of a set's guides the one of most lists; what this leaves apart is met below
+    best = F.max(F.struct("lists", (-F.col("b")).alias("b"))).alias("best")
+    direct = cut_few(_possible(measure, led.select("a", "b"), sets).join(led, ["a", "b"]).groupBy("a").agg(best).select("a", (-F.col("best.b")).alias("b")))
     followed = cut(_followed(measure, direct, docs, sets))
     near = followed.select("a", "b")
     star = stars(near)
