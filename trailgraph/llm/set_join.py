@@ -53,8 +53,8 @@ PART, FREQUENT, LIST = 8, 1 << 16, 1 << 15
 _FLUSH = 1 << 21
 #: Classes of size between a set and the smallest one that can be similar to it.
 CLASSES = 4
-#: Buckets for each entry of a list, within these bounds (8 MB to broadcast, 64 MB to count in); beyond them more entries are shuffled.
-BUCKETS_AN_ENTRY, LEAST_BUCKETS, MOST_BUCKETS = 2, 1 << 16, 1 << 26
+#: Buckets that entries of lists are counted in (8 MB to broadcast, 64 MB to count in); beyond them more entries are shuffled.
+LEAST_BUCKETS, MOST_BUCKETS = 1 << 16, 1 << 26
 #: Hash ranges of a sketch; bits of the map that tells whose texts are read again.
 RANGES, WANTED = 256, 1 << 24
 _FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
@@ -63,11 +63,12 @@ _NONE = np.zeros(0, dtype=np.uint64)
 
 @dataclass(frozen=True)
 class Measure:
-    """Words of a shingle, and the least similarity as a fraction."""
+    """Words of a shingle, the least similarity as a fraction, and buckets for each entry of a list (more keep more of them from the shuffle)."""
 
     shingle: int
     similar: int
     of: int
+    buckets: int = 4
 
     def shingles(self, text: str | bytes | None) -> np.ndarray:
         """The sorted hashes (uint64) of a text's different shingles."""
@@ -192,7 +193,7 @@ def distinct_sets(rows: DataFrame) -> DataFrame:
     return known.where(~several).select(*folded.columns).unionByName(folded)
 
 
-def _entries(sets: DataFrame, order: Broadcast) -> DataFrame:
+def _entries(measure: Measure, sets: DataFrame, order: Broadcast) -> DataFrame:
     """Rows (key, part, n, i, s) of the lists' entries, without most that would be alone in theirs.
 
     The buckets that prefixes fill twice or more make a bitmap; other shingles
@@ -200,7 +201,7 @@ def _entries(sets: DataFrame, order: Broadcast) -> DataFrame:
     parts 1, 2 and so on; a whole one is part 0.
     """
     total = sets.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << (BUCKETS_AN_ENTRY * total).bit_length()))
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << (measure.buckets * total).bit_length()))
     width = np.uint64(64 - buckets.bit_length() + 1)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,7 +401,7 @@ def _answered(measure: Measure, pairs: DataFrame, followed: DataFrame, docs: Dat
 
 def groups(measure: Measure, docs: DataFrame, sets: DataFrame, order: Broadcast) -> DataFrame:
     """(a, b) for each of the different sets a but the least b of its component."""
-    listed = cut(_listed(measure, _entries(sets, order)))
+    listed = cut(_listed(measure, _entries(measure, sets, order)))
     over = _listed(measure, listed.where("part > 0 AND s0 IS NULL").withColumn("part", F.lit(0)))
     led = cut_few(listed.unionByName(over).where("s0 IS NOT NULL").groupBy(F.col("s").alias("a"), F.col("s0").alias("b")).agg(F.count(F.lit(1)).alias("lists")))
     # of a set's guides the one of most lists; what this leaves apart is met below
