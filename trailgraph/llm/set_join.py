@@ -13,8 +13,7 @@ that only one prefix has make no list: a bitmap of hash buckets keeps most of
 them from the shuffle.
 
 *Answer-level skipping.*  In each list the first set guides those that follow, and
-a set follows the guide that it has in most lists; where the two are similar,
-the set's differences from its guide are stored.  Sets that guides already join into one component ask the index for
+where a set is similar to its guide, its differences from it are stored.  Sets that guides already join into one component ask the index for
 nothing more of each other.  Other candidates are answered through their guides:
 the guides' sets are intersected once, and the answers of the sets that follow
 them are derived by adding and taking off their differences; a bound by the
@@ -63,12 +62,13 @@ _NONE = np.zeros(0, dtype=np.uint64)
 
 @dataclass(frozen=True)
 class Measure:
-    """Words of a shingle, the least similarity as a fraction, and buckets for each entry of a list (more keep more of them from the shuffle)."""
+    """Words of a shingle, the least similarity as a fraction, buckets for each entry of a list (more keep more of them from the shuffle), and whether a set is compared with all its guides at once or with one first: the latter reads fewer whole sets, the former leaves fewer pairs for later."""
 
     shingle: int
     similar: int
     of: int
     buckets: int = 4
+    all_guides: bool = True
 
     def shingles(self, text: str | bytes | None) -> np.ndarray:
         """The sorted hashes (uint64) of a text's different shingles."""
@@ -404,15 +404,18 @@ def groups(measure: Measure, docs: DataFrame, sets: DataFrame, order: Broadcast)
     listed = cut(_listed(measure, _entries(measure, sets, order)))
     over = _listed(measure, listed.where("part > 0 AND s0 IS NULL").withColumn("part", F.lit(0)))
     led = cut_few(listed.unionByName(over).where("s0 IS NOT NULL").groupBy(F.col("s").alias("a"), F.col("s0").alias("b")).agg(F.count(F.lit(1)).alias("lists")))
-    # of a set's guides the one of most lists; what this leaves apart is met below
-    best = F.max(F.struct("lists", (-F.col("b")).alias("b"))).alias("best")
-    direct = cut_few(_possible(measure, led.select("a", "b"), sets).join(led, ["a", "b"]).groupBy("a").agg(best).select("a", (-F.col("best.b")).alias("b")))
+    direct = _possible(measure, led.select("a", "b"), sets).select("a", "b")
+    if not measure.all_guides:  # the one of most lists; what this leaves apart is met below
+        best = F.max(F.struct("lists", (-F.col("b")).alias("b"))).alias("best")
+        direct = direct.join(led, ["a", "b"]).groupBy("a").agg(best).select("a", (-F.col("best.b")).alias("b"))
+    direct = cut_few(direct)
+    tried = led if measure.all_guides else direct
     followed = cut(_followed(measure, direct, docs, sets))
     near = followed.select("a", "b")
     star = stars(near)
     label = listed.join(star.select(F.col("a").alias("s"), F.col("b").alias("g")), "s", "left").select("key", "s", "n", "i", F.coalesce("g", "s").alias("g"))
     mixed = cut(label.join(label.groupBy("key").agg((F.min("g") != F.max("g")).alias("open")).where("open").select("key"), "key"))
-    known = direct.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    known = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     rest = _ordered(candidates(measure, mixed)).join(known, ["a", "b"], "left_anti")
     return stars(near.unionByName(_answered(measure, rest, followed, docs, sets)))
 
