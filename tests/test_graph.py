@@ -285,7 +285,7 @@ def test_plan_routes_both_ways(spark):
     graph = graph_of(spark, [(1, [0, 1, 3], {"highway": "track"}), (2, [0, 2, 3], {"highway": "track", "surface": "asphalt"})], DIAMOND)
     assert graph.edges.count() == 8 and contract.contract(graph).edges.count() == 8
     asked = request_table(spark, {"alternatives": 2}, {"avoid_paved": True}, {"from_lat": 48.0}, {"to_lat": 99.0}, {"alternatives": 0}, {"to_lat": 47.0})
-    for limit in (10**6, 0):  # broadcast graph, dealt graph
+    for limit in (10**6, 0):  # broadcast graph, graph in cells
         found, errors = routes.plan_routes(asked, graph, PROFILE, limit)
         rows = {(r.request_id, r["rank"]): r for r in found.collect()}
         assert set(rows) == {(0, 1), (0, 2), (1, 1), (5, 1)}

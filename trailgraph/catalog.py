@@ -15,7 +15,7 @@ from .functions import geo, tags
 from .functions.storage import materialise, shared_path
 from .operators import conflate, contract, fuel, requests, routes, scenic, ways
 from .plans.build import build
-from .plans.profile import load_profile, report
+from .plans.profile import load_profile, usage
 from .sources import gpx, osm_pbf, shapefile, store
 
 BBOX = (-121.95, 44.02, -121.7, 44.3)
@@ -350,7 +350,10 @@ def graph_store(spark, sf_dir):
 
 @query
 def profile_fingerprint(spark, sf_dir):
-    return spark.range(1).select(F.lit(load_profile().fingerprint()).alias("fingerprint"))
+    """The fingerprint that a stored graph carries, with the edges it stands for."""
+    path = shared_path(spark, "graph-fingerprint")
+    store.save(_graph(spark, sf_dir), path, load_profile().fingerprint())
+    return store.inspect(spark, path).select("fingerprint", "edges")
 
 
 @query
@@ -374,7 +377,8 @@ def scenic_in_box(spark, sf_dir):
 
 @query
 def profile_report(spark, sf_dir):
-    return report(spark, load_profile())
+    """The profile's report, with the ways that each entry prices."""
+    return usage(load_profile(), Network(spark, sf_dir).ways())
 
 
 # ------------------------------------------------------------------ forest roads
@@ -604,16 +608,16 @@ def _planned(spark, sf_dir):
     return _once(spark, sf_dir, "planned", make)
 
 
-def _plain(spark, sf_dir) -> DataFrame:
+def _plain(spark, sf_dir, **ways_to_search) -> DataFrame:
     """Plain cheapest routes (no penalties) between the ends of the requests."""
 
     def make():
         graph = _graph(spark, sf_dir)
         snapped = routes.snap_requests(requests.validate(Network(spark, sf_dir).requests()).where("error is null"), graph)
         neutral = {"avoid_paved": F.lit(False), "avoid_fords": F.lit(False), "prefer_scenic": F.lit(False), "vehicle": F.lit("dirtbike"), "alternatives": F.lit(1)}
-        return materialise(routes.search_routes(snapped.where("error is null").withColumns(neutral), graph, load_profile()))
+        return materialise(routes.search_routes(snapped.where("error is null").withColumns(neutral), graph, load_profile(), **ways_to_search))
 
-    return _once(spark, sf_dir, "plain", make)
+    return _once(spark, sf_dir, f"plain{sorted(ways_to_search.items())}", make)
 
 
 @query
@@ -628,6 +632,12 @@ def route_cost(spark, sf_dir):
     return _plain(spark, sf_dir).select("request_id", _d("cost", 2))
 
 
+@query
+def route_cost_cells(spark, sf_dir):
+    """The same costs by cells and their overlay, as for a graph that no task can hold."""
+    return _plain(spark, sf_dir, broadcast_edges=0, cell_nodes=512).select("request_id", _d("cost", 2))
+
+
 @query
 def route_path(spark, sf_dir):
     """Ends and cost of the same routes, worked out from the path: whether its edges lead from node to node, and what they cost."""

@@ -37,6 +37,21 @@ def cell(degrees: Column, step: float) -> Column:
     return F.floor(degrees / F.lit(step)).cast("long")
 
 
+def space_order(lat_e7: Column, lon_e7: Column) -> Column:
+    """Place of a stored coordinate along a Z-order curve: what has near numbers is near."""
+
+    def spread(value: Column) -> Column:
+        """A free bit beside each of 31."""
+        for shift in (16, 8, 4, 2, 1):
+            mask = (1 << 64) // ((1 << shift) + 1)  # runs of ``shift`` ones, each followed by as many zeros
+            value = value.bitwiseOR(F.shiftleft(value, shift)).bitwiseAND(F.lit(mask & ((1 << 63) - 1)))
+        return value
+
+    north = F.shiftright(lat_e7.cast("long") + 900_000_000, 1)
+    east = F.shiftright(lon_e7.cast("long") + 1_800_000_000, 1)
+    return spread(north).bitwiseOR(F.shiftleft(spread(east), 1))
+
+
 def in_bbox(lat: Column, lon: Column, bbox: tuple[float, float, float, float]) -> Column:
     """Closed box (min_lon, min_lat, max_lon, max_lat)."""
     min_lon, min_lat, max_lon, max_lat = bbox

@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geo import EARTH_RADIUS_M, from_e7, haversine_m
-from ..functions.storage import dense_ids, materialise
+from ..functions.storage import materialise
 from ..functions.tags import has_flag
 from ..plans.profile import DEFAULT_VEHICLE, Profile
 from ..schemas import FORD, FOURWD_ONLY, PAVED, ROUGH, ROUTES, TRAIL, VERY_ROUGH
+from . import overlay, search
 from . import requests as req
-from . import search
 from .spatial import nearest
 from .ways import Graph
 
@@ -31,8 +31,6 @@ UNPAVED_WEIGHT, DETOUR_WEIGHT = 0.6, 0.4
 EPSILON = float(np.finfo(np.float32).eps)
 #: Edges that are broadcast to all executors at most (about 60 bytes each).
 BROADCAST_EDGES = 5_000_000
-#: Requests that share one pass over a larger graph.
-REQUEST_BLOCK = 64
 
 _COLUMNS = ["edge_id", "src", "dst", "cost", "length_m", "flags", "scenic_score"]
 
@@ -160,16 +158,12 @@ def resident(graph: Graph, broadcast_edges: int = BROADCAST_EDGES) -> Broadcast
     return _resident[graph.edges]
 
 
-#: What a request's first prices hang on.
-_SETTING = ("vehicle", "avoid_paved", "avoid_fords", "prefer_scenic", "scenic_weight")
-
-
-def search_routes(snapped: DataFrame, graph: Graph, profile: Profile, broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:
+def search_routes(snapped: DataFrame, graph: Graph, profile: Profile, broadcast_edges: int = BROADCAST_EDGES, cell_nodes: int = overlay.CELL_NODES) -> DataFrame:
     """Routes (in the order found) of requests whose ends are snapped.
 
     A graph up to ``broadcast_edges`` edges goes to each executor once, and
-    stays there for later requests; a larger one is dealt to the requests by a
-    shuffle, a block of requests at a time.
+    stays there for later requests; a larger one is searched by cells of
+    ``cell_nodes`` nodes and the overlay between them.
     """
     asked = snapped.select("request_id", "from_node", "to_node", "vehicle", "avoid_paved", "avoid_fords", "prefer_scenic", "scenic_weight", "alternatives", "diversity", "max_detour", F.col("lambda").alias("lambda_"))
     shared = resident(graph, broadcast_edges)
@@ -181,23 +175,9 @@ def search_routes(snapped: DataFrame, graph: Graph, profile: Profile, broadcast_
                 yield _frame([row for r in frame.itertuples(index=False) for row in searches.rows(r)])
 
         # dealt by request, so that a destination that many ask for is no single task's; within one, equal ends meet
-        return asked.repartition("request_id").sortWithinPartitions("to_node", *_SETTING, "request_id").mapInPandas(run, ROUTES)
-
-    def grouped(own: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-        if own.empty:
-            return _frame([])
-        searches = Searches(_arrays(part), profile)
-        return _frame([row for r in own.itertuples(index=False) for row in searches.rows(r)])
-
-    numbered = dense_ids(asked, [F.col("request_id")], "_n")
-    blocks = -(-numbered.count() // REQUEST_BLOCK)
-    result = asked.sparkSession.createDataFrame([], ROUTES)
-    for block in range(blocks):  # each materialised, so that no plan holds all blocks
-        own = numbered.where(F.col("_n").between(block * REQUEST_BLOCK, (block + 1) * REQUEST_BLOCK - 1)).drop("_n")
-        ids = [r[0] for r in own.select("request_id").collect()]
-        dealt = graph.edges.select(*_COLUMNS, F.explode(F.array(*map(F.lit, ids))).alias("request_id"))
-        result = result.unionByName(materialise(own.groupBy("request_id").cogroup(dealt.groupBy("request_id")).applyInPandas(grouped, ROUTES)))
-    return result
+        return asked.repartition("request_id").sortWithinPartitions("to_node", *overlay.SETTING, "request_id").mapInPandas(run, ROUTES)
+
+    return overlay.search_routes(asked, graph, lambda flags, scenic, request: penalty_array(flags, scenic, request, profile), cell_nodes)
 
 
 def _arrays(frame: pd.DataFrame) -> search.Arrays:

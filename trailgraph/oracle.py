@@ -286,12 +286,15 @@ sums AS (SELECT way_id, sum(CAST(length_m AS DOUBLE)) AS length_m, count(*) FILT
             row_number() OVER (PARTITION BY g.node_id ORDER BY (g.lat_e7 / 1e7 - s.lat_e7 / 1e7) * (g.lat_e7 / 1e7 - s.lat_e7 / 1e7) + (g.lon_e7 / 1e7 - s.lon_e7 / 1e7) * (g.lon_e7 / 1e7 - s.lon_e7 / 1e7), s.osm_id) AS rn FROM gnodes g, stations s) WHERE rn = 1"""),
         "cumulative_distance": q(f"""SELECT way_id, pos, round(sum(step) OVER (PARTITION BY way_id ORDER BY pos), 4) AS cum_m FROM (SELECT way_id, pos, coalesce({hav("lag(lat) OVER w", "lag(lon) OVER w", "lat", "lon")}, 0) AS step
             FROM (SELECT way_id, CAST(pos AS INTEGER) AS pos, osm_id, lat_e7 / 1e7 AS lat, lon_e7 / 1e7 AS lon FROM occ JOIN gnodes USING (osm_id)) WINDOW w AS (PARTITION BY way_id ORDER BY pos))"""),
-        "profile_report": "SELECT * FROM " + _values([(t, k, float(v), None) for t in ("base", "surface", "tracktype", "smoothness") for k, v in getattr(profile, t).items()] + [("vehicle", k, float(v.fourwd_only_penalty), v.min_smoothness) for k, v in profile.vehicle.items()] + [("vehicle.narrow_path_bonus", k, float(v.narrow_path_bonus), None) for k, v in profile.vehicle.items() if v.narrow_path_bonus is not None]).replace("(VALUES", "(SELECT section, key, CAST(value AS DOUBLE) AS value, detail FROM (VALUES") + " t(section, key, value, detail))",
+        "profile_report": q("SELECT CAST(row_number() OVER (ORDER BY r.section, r.key) AS BIGINT) AS place, r.section, r.key, r.value, r.detail, CASE WHEN r.section NOT LIKE 'vehicle%' THEN coalesce(n, 0) END AS n_ways FROM (" + "SELECT * FROM " + _values([(t, k, float(v), None) for t in ("base", "surface", "tracktype", "smoothness") for k, v in getattr(profile, t).items()] + [("vehicle", k, float(v.fourwd_only_penalty), v.min_smoothness) for k, v in profile.vehicle.items()] + [("vehicle.narrow_path_bonus", k, float(v.narrow_path_bonus), None) for k, v in profile.vehicle.items() if v.narrow_path_bonus is not None]).replace("(VALUES", "(SELECT section, key, CAST(value AS DOUBLE) AS value, detail FROM (VALUES") + " t(section, key, value, detail))" + """) r LEFT JOIN (
+            SELECT 'base' AS section, highway AS key, count(*) AS n FROM ways GROUP BY ALL UNION ALL SELECT 'surface', surface, count(*) FROM ways GROUP BY ALL
+            UNION ALL SELECT 'tracktype', tracktype, count(*) FROM ways GROUP BY ALL UNION ALL SELECT 'smoothness', smoothness, count(*) FROM ways GROUP BY ALL) c ON c.section = r.section AND c.key = r.key"""),
         "graph_inspect": q("SELECT (SELECT count(*) FROM gnodes) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM stations) AS fuel_stations"),
         "contract_chains": q("SELECT src, dst, lowest, CAST(n_steps - 1 AS INTEGER) AS n_interior, round(cost, 2) AS cost, round(length_m, 2) AS length_m, flags, scenic_score FROM chosen", chain, True),
         "contract_graph": q("SELECT edge_id, src, dst, round(CAST(cost AS DOUBLE), 2) AS cost, round(CAST(length_m AS DOUBLE), 2) AS length_m, flags, scenic_score, CAST(n_points AS INTEGER) AS n_points FROM cedges", chain + ",\n" + gone, True),
         "sssp": q("SELECT node AS node_id, round(d, 3) AS cost FROM dist", "best AS MATERIALIZED (SELECT src, dst, min(CAST(cost AS DOUBLE)) AS cost FROM edges GROUP BY src, dst),\n" + sssp, True),
         "route_cost": q("SELECT request_id, round(d, 2) AS cost FROM req_ends JOIN dist ON rid = request_id AND node = t", routed, True),
+        "route_cost_cells": q("SELECT request_id, round(d, 2) AS cost FROM req_ends JOIN dist ON rid = request_id AND node = t", routed, True),
         "route_path": q("SELECT request_id, f AS first_node, t AS last_node, round(d, 2) AS cost, true AS connected FROM req_ends JOIN dist ON rid = request_id AND node = t", routed, True),
         "first_route_cost": q("SELECT request_id, round(d, 2) AS cost FROM req_ends JOIN dist ON rid = request_id AND node = t", planned, True),
         "route_errors": q(f"SELECT request_id, 400 AS status, CASE WHEN f IS NULL THEN '{FAR.format('origin')}' WHEN t IS NULL THEN '{FAR.format('destination')}' ELSE '{NO_ROUTE}' END AS error FROM req_ends LEFT JOIN dist ON rid = request_id AND node = t WHERE d IS NULL", planned, True),
@@ -302,7 +305,7 @@ sums AS (SELECT way_id, sum(CAST(length_m AS DOUBLE)) AS length_m, count(*) FILT
         "gpx_way_tracks": q("""SELECT way_id, '<trk><name>trailgraph-route-1</name><desc>length=' || printf('%.1f', length_m / 1000) || 'km unpaved=' || unpaved * 100 || '% fords=' || fords || ' 4wd_only=' || fourwd || ' score=' || printf('%.2f', unpaved * 0.6)
             || '</desc><trkseg>' || points || '</trkseg></trk>' AS xml FROM marks JOIN sums USING (way_id)""", track),
         "bbox_parse": q("SELECT osm_id FROM nodes WHERE lat BETWEEN 44.02 AND 44.3 AND lon BETWEEN -121.95 AND -121.7"),
-        "profile_fingerprint": f"SELECT sha256('{_canonical(profile)}') AS fingerprint",
+        "profile_fingerprint": q(f"SELECT sha256('{_canonical(profile)}') AS fingerprint, count(*) AS edges FROM edges"),
         "private_segments": q(f"""SELECT way_id, CAST(i AS INTEGER) AS pos, x.node_id AS src, y.node_id AS dst, coalesce(access, '') <> 'private' AS open FROM pways, unnest(range(0, len(nodes) - 1)) AS t(i) JOIN pnodes x ON x.osm_id = nodes[i + 1] JOIN pnodes y ON y.osm_id = nodes[i + 2]""",
             """pways AS (SELECT * FROM ways WHERE highway IN (SELECT highway FROM allowed) AND coalesce(vehicle, '') <> 'no' AND coalesce(motor_vehicle, '') <> 'no'),
 pocc AS (SELECT way_id, CAST(i AS BIGINT) AS pos, nodes[i + 1] AS osm_id FROM pways, unnest(range(0, len(nodes))) AS t(i)),

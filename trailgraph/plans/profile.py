@@ -10,6 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 DEFAULT_VEHICLE = "high-clearance"
 _DEFAULT_FILE = Path(__file__).with_name("default_profile.toml")
@@ -104,3 +105,17 @@ def report(spark: SparkSession, profile: Profile) -> DataFrame:
         if v.narrow_path_bonus is not None:
             rows.append(("vehicle.narrow_path_bonus", name, float(v.narrow_path_bonus), None))
     return spark.createDataFrame(rows, "section string, key string, value double, detail string").orderBy("section", "key")
+
+
+#: The tag that each factor table reads.
+TABLE_TAGS = {"base": "highway", "surface": "surface", "tracktype": "tracktype", "smoothness": "smoothness"}
+
+
+def usage(profile: Profile, ways: DataFrame) -> DataFrame:
+    """The report with each entry's place in it (from 1) and n_ways, the ways (with tags) that carry its tag; null where an entry is no tag's."""
+    rows = report(ways.sparkSession, profile)
+    place = F.rank().over(Window.orderBy("section", "key"))  # as many rows as the profile has entries
+    carried = F.array(*(F.struct(F.lit(t).alias("section"), F.try_element_at("tags", F.lit(tag)).alias("key")) for t, tag in TABLE_TAGS.items()))
+    counts = ways.select(F.explode(carried).alias("c")).groupBy("c.section", "c.key").agg(F.count(F.lit(1)).alias("n_ways"))
+    known = rows.withColumn("place", place.cast("long")).join(counts, ["section", "key"], "left")
+    return known.select("place", "section", "key", "value", "detail", F.when(F.col("section").isin(*TABLE_TAGS), F.coalesce("n_ways", F.lit(0))).alias("n_ways"))
