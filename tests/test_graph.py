@@ -425,3 +425,20 @@ def test_build_with_forest_roads(spark):
     records = spark.createDataFrame([record(0, [(47.018, -116.0), (47.03, -116.0), (47.04, -116.01)])], schemas.USFS_RECORDS)
     graph = build(way_table(spark, (1, [100, 101, 102], {"highway": "track"})), nodes, PROFILE, usfs_records=records, simplify=False)
     assert graph.nodes.count() == 5 and graph.edges.count() == 8
+
+
+def test_scenic_pairs_are_all_found_and_few_more_are_tested(spark):
+    """All kinds over a dense field, at latitudes where a degree of longitude is narrow, against every pair."""
+    from trailgraph.operators import scenic
+
+    for base in (0.0, 47.0, -70.0):
+        points = spark.range(400).select("id", (F.lit(base) + (F.col("id") * 37 % 101) * 0.004).alias("lat"), (F.lit(10.0) + (F.col("id") * 53 % 103) * 0.004).alias("lon"))
+        kinds = F.array(*map(F.lit, sorted(scenic.KINDS)))
+        places = spark.range(330).select((F.lit(base) + (F.col("id") * 29 % 97) * 0.0043).alias("f_lat"), (F.lit(10.0) + (F.col("id") * 41 % 89) * 0.0047).alias("f_lon"), F.get(kinds, (F.col("id") % len(scenic.KINDS)).cast("int")).alias("kind"))
+        places = places.withColumns({"radius": scenic.radius(F.col("kind")), "weight": F.lit(1.0)})
+        near = geo.haversine_m(F.col("lat"), F.col("lon"), F.col("f_lat"), F.col("f_lon")) <= F.col("radius")
+        inside = (F.abs(F.col("lat") - F.col("f_lat")) <= scenic.BOX) & (F.abs(F.col("lon") - F.col("f_lon")) <= scenic.BOX)
+        pairs = scenic.candidates(points, places)
+        met = pairs.where(near & inside).count()
+        every = points.join(places, near & inside)
+        assert met == every.count() > 1000 and pairs.count() <= 4 * met

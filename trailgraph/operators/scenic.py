@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import from_e7, haversine_m, in_bbox, to_e7
+from ..functions.geo import EARTH_RADIUS_M, from_e7, haversine_m, in_bbox, to_e7
 from ..functions.tags import scenic_kind
-from .spatial import cell_join
 
 #: Radius in metres and weight of each kind.
 KINDS = {
@@ -26,6 +27,8 @@ KINDS = {
 MAX_SCORE = 0.9
 #: Half the side of the box, in degrees on both axes, that is searched around a midpoint.
 BOX = 15000.0 / 111000.0
+#: Metres of a cell's side in the finest grid.
+FINEST_M = 600.0
 
 
 def _table(place: int, kind: Column) -> Column:
@@ -54,17 +57,49 @@ def way_features(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     return centre.select((-F.col("way_id")).alias("osm_id"), to_e7(F.col("lat")).alias("lat_e7"), to_e7(F.col("lon")).alias("lon_e7"), "kind")
 
 
+def grid(radius_m: float) -> int:
+    """The grid of a radius: the widest whose cells are no wider than it."""
+    return math.floor(math.log2(radius_m / FINEST_M))
+
+
+def _width(number: Column) -> Column:
+    """Degrees of a cell's side."""
+    return F.pow(F.lit(2.0), number) * math.degrees(FINEST_M / EARTH_RADIUS_M)
+
+
+def candidates(midpoints: DataFrame, places: DataFrame) -> DataFrame:
+    """Pairs of midpoints (lat, lon) and places (f_lat, f_lon, radius) of which each place's circle may hold the midpoint; none is left out, none comes twice."""
+    by_radius = F.create_map(*(F.lit(x) for r in sorted({r for r, _ in KINDS.values()}) for x in (r, grid(r))))
+    north = F.degrees(F.col("radius") / EARTH_RADIUS_M)
+    across = F.sin(F.col("radius") / EARTH_RADIUS_M) / F.greatest(F.cos(F.radians("f_lat")), F.lit(1e-12))
+    east = F.when(across < 1, F.least(F.degrees(F.asin(across)), F.lit(BOX))).otherwise(F.lit(BOX))
+
+    def touched(at: str, reach: Column) -> Column:
+        side, margin = _width(F.col("grid")), F.lit(1e-7)
+        return F.explode(F.sequence(*(F.floor((F.col(at) + sign * (reach + margin)) / side).cast("long") for sign in (-1, 1))))
+
+    filed = places.withColumn("grid", by_radius[F.col("radius")]).withColumn("ci", touched("f_lat", north)).withColumn("cj", touched("f_lon", east))
+    grids = F.array(*(F.lit(g) for g in sorted({grid(r) for r, _ in KINDS.values()})))
+    own = midpoints.withColumn("grid", F.explode(grids))
+    own = own.withColumns({c: F.floor(F.col(at) / _width(F.col("grid"))).cast("long") for c, at in (("ci", "lat"), ("cj", "lon"))})
+    return own.join(filed, ["grid", "ci", "cj"]).drop("grid", "ci", "cj")
+
+
 def scores(midpoints: DataFrame, features: DataFrame, key: list[str], bbox: tuple[float, float, float, float] | None = None) -> DataFrame:
     """``key`` and scenic_score (0 to 255) of the midpoints (key, lat, lon) that have features near; others score 0.
 
-    Cells are as wide as the box, so the nine around a midpoint hold it.
+    Each kind has a grid whose cells are between half and all of its radius
+    wide.  A feature is filed under the cells that its circle may touch, a
+    midpoint under its own cell of each grid, so that few pairs are tested
+    that are not near.  A crowded cell is a skewed key of a plain join, which
+    adaptive execution splits.
     """
     places = features.select(from_e7(F.col("lat_e7")).alias("f_lat"), from_e7(F.col("lon_e7")).alias("f_lon"), radius(F.col("kind")).alias("radius"), weight(F.col("kind")).alias("weight"))
     if bbox is not None:
         places = places.where(in_bbox(F.col("f_lat"), F.col("f_lon"), bbox))
     box = F.lit(BOX)
+    near = candidates(midpoints, places)
     inside = F.col("f_lat").between(F.col("lat") - box, F.col("lat") + box) & F.col("f_lon").between(F.col("lon") - box, F.col("lon") + box)
-    near = cell_join(midpoints, places, BOX, right_lat="f_lat", right_lon="f_lon").where(inside)
-    near = near.withColumn("_d", haversine_m(F.col("lat"), F.col("lon"), F.col("f_lat"), F.col("f_lon"))).where(F.col("_d") <= F.col("radius"))
+    near = near.where(inside).withColumn("_d", haversine_m(F.col("lat"), F.col("lon"), F.col("f_lat"), F.col("f_lon"))).where(F.col("_d") <= F.col("radius"))
     total = F.sum(F.col("weight") * (F.lit(1.0) - F.col("_d") / F.col("radius")))
     return near.groupBy(*key).agg(F.round(F.least(total, F.lit(MAX_SCORE)) / F.lit(MAX_SCORE) * 255).cast("int").alias("scenic_score"))
