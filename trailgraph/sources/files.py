@@ -38,6 +38,20 @@ def size(path: str) -> int | None:
     return store.get_file_info(name).size
 
 
+def listed(path: str, ending: str) -> list[str]:
+    """The files of a folder that end so, by name; a path that is a file stands for itself."""
+    local = _local(path)
+    if local is not None:
+        return sorted(os.path.join(local, n) for n in os.listdir(local) if n.endswith(ending)) if os.path.isdir(local) else [path]
+    from pyarrow import fs
+
+    store, name = _store(path)
+    if store.get_file_info(name).type != fs.FileType.Directory:
+        return [path]
+    found = store.get_file_info(fs.FileSelector(name))
+    return sorted(f"{path.rstrip('/')}/{x.base_name}" for x in found if x.base_name.endswith(ending))
+
+
 def write(path: str, data: bytes) -> None:
     """A new file, with the folders above it."""
     local = _local(path)

@@ -3,7 +3,8 @@
 Rows have record_id (from 0), the attributes of forest-road records (text
 fields, trimmed; others and missing ones null) and parts, a list of lists of
 (lon, lat).  Polylines with or without M or Z values are read; other shapes
-have no parts.  The path, or the address in a store, must be readable by driver
+have no parts.  The path is a file or a folder of them (``.shp``), whose records
+are numbered on from file to file.  The path, or the address in a store, must be readable by driver
 and executors.
 """
 
@@ -68,22 +69,25 @@ class Table:
 
 @dataclass
 class _Records(InputPartition):
+    path: str
+    record_id: int
     first: int
     offsets: list[int]
 
 
 class _Reader(DataSourceReader):
     def __init__(self, path: str) -> None:
-        self.path, self.base = path, os.path.splitext(path)[0]
+        self.path = path
 
-    def _offsets(self) -> list[int]:
+    def _offsets(self, path: str) -> list[int]:
         """Byte offsets of the records: from the index file if there is one, else by walking record headers."""
-        if files.size(f"{self.base}.shx") is not None:
-            with files.opened(f"{self.base}.shx") as file:
+        base = os.path.splitext(path)[0]
+        if files.size(f"{base}.shx") is not None:
+            with files.opened(f"{base}.shx") as file:
                 file.seek(100)
                 return (np.frombuffer(file.read(), dtype=">i4").reshape(-1, 2)[:, 0].astype(np.int64) * 2).tolist()
-        found, size = [], files.size(self.path)
-        with files.opened(self.path) as file:
+        found, size = [], files.size(path)
+        with files.opened(path) as file:
             at = 100
             while at + 8 <= size:
                 file.seek(at)
@@ -92,20 +96,25 @@ class _Reader(DataSourceReader):
         return found
 
     def partitions(self) -> list[_Records]:
-        offsets = self._offsets()
-        return [_Records(i, offsets[i : i + TASK_RECORDS]) for i in range(0, max(1, len(offsets)), TASK_RECORDS)]
+        parts, before = [], 0
+        for path in files.listed(self.path, ".shp"):
+            offsets = self._offsets(path)
+            parts += [_Records(path, before + i, i, offsets[i : i + TASK_RECORDS]) for i in range(0, max(1, len(offsets)), TASK_RECORDS)]
+            before += len(offsets)
+        return parts
 
     def read(self, partition: _Records) -> Iterator[pa.RecordBatch]:
-        table = Table.of(f"{self.base}.dbf")
+        base = os.path.splitext(partition.path)[0]
+        table = Table.of(f"{base}.dbf")
         point = pa.struct([("lon", pa.float64()), ("lat", pa.float64())])
         ids, attributes, shapes = [], [], []
-        with files.opened(self.path) as shp, files.opened(f"{self.base}.dbf") as dbf:
+        with files.opened(partition.path) as shp, files.opened(f"{base}.dbf") as dbf:
             for i, offset in enumerate(partition.offsets, partition.first):
                 shp.seek(offset)
                 length = struct.unpack(">2i", shp.read(8))[1]
                 content = shp.read(2 * length)
                 dbf.seek(table.header + i * table.width)
-                ids.append(i)
+                ids.append(partition.record_id + i - partition.first)
                 attributes.append(table.row(dbf.read(table.width)))
                 shapes.append([[{"lon": x, "lat": y} for x, y in part] for part in parts_of(content)])
         if ids:
