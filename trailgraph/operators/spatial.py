@@ -23,6 +23,28 @@ def cell_join(left: DataFrame, right: DataFrame, step: float, lat: str = "lat",
     return joined.drop("ci", "cj", "r_ci", "r_cj")
 
 
+#: Targets of one list at most; where cells hold more, hits are joined row by row.
+LISTED = 10_000
+
+
+def _met(points: DataFrame, key: str, targets: DataFrame, step: float) -> DataFrame:
+    """The points with ``best``: d, t_id, t_lat, t_lon of the nearest target in their cell and its neighbours, null without any.
+
+    Targets are listed by cell, so that a point meets one row and is shuffled
+    once, and nothing is sorted or grouped by hits.
+    """
+    offer = lambda t: F.struct(degree_distance(F.col("lat"), F.col("lon"), t["t_lat"], t["t_lon"]).alias("d"), t["t_id"].alias("t_id"), t["t_lat"].alias("t_lat"), t["t_lon"].alias("t_lon"))
+    filed = targets.withColumn("_c", F.explode(around(cell(F.col("t_lat"), step), cell(F.col("t_lon"), step))))
+    counts = filed.groupBy("_c").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if counts <= LISTED:
+        lists = filed.groupBy(F.col("_c.ci").alias("r_ci"), F.col("_c.cj").alias("r_cj")).agg(F.collect_list(F.struct("t_id", "t_lat", "t_lon")).alias("_t"))
+        own = points.withColumns({"ci": cell(F.col("lat"), step), "cj": cell(F.col("lon"), step)})
+        joined = own.join(lists, (F.col("ci") == F.col("r_ci")) & (F.col("cj") == F.col("r_cj")), "left")
+        return joined.select(*points.columns, F.array_min(F.transform("_t", offer)).alias("best"))
+    hits = cell_join(targets, points, step, "t_lat", "t_lon", "lat", "lon").select(key, offer({c: F.col(c) for c in ("t_id", "t_lat", "t_lon")}).alias("b"))
+    return points.join(hits.groupBy(key).agg(F.min("b").alias("best")), key, "left")
+
+
 def nearest(points: DataFrame, key: str, targets: DataFrame, step: float = 0.05, limit: Column | None = None) -> DataFrame:
     """The nearest target of each point in degrees, then the lowest id.
 
@@ -31,29 +53,27 @@ def nearest(points: DataFrame, key: str, targets: DataFrame, step: float = 0.05,
     ``limit`` in degrees (an expression over the points), points without a
     target that near may be left out.
 
-    Points are filed under nine cells, targets under their own.  A hit is final
+    Targets are filed under nine cells, points under their own.  A hit is final
     if it lies within one cell's width, as every closer target then lies in the
     nine cells.  What stays open is searched again with cells four times as
     wide, up to its limit, at last with cells wider than the globe.
     """
-    found, rest = None, points
-    best = F.min(F.struct(degree_distance(F.col("lat"), F.col("lon"), F.col("t_lat"), F.col("t_lon")).alias("d"), F.col("t_id"), F.col("t_lat"), F.col("t_lon"))).alias("best")
+    found, rest, columns, targets = None, points, points.columns, materialise(targets)
     while True:
-        hits = cell_join(targets, rest, step, "t_lat", "t_lon", "lat", "lon").groupBy(key).agg(best)
-        if step > 360:
-            final = hits
-        else:
-            final = hits.where(F.col("best.d") <= step * step)
-        final = materialise(final)
+        met = materialise(_met(rest, key, targets, step))
+        done = F.col("best").isNotNull()
+        if step <= 360:
+            done &= F.col("best.d") <= step * step
+        final = met.where(done)
         found = final if found is None else found.unionByName(final)
         if step > 360:
             break
-        rest = rest.join(final, key, "left_anti")
-        rest = materialise(rest if limit is None else rest.where(limit > step))
+        rest = met.where(~done).select(*columns)
+        rest = rest if limit is None else rest.where(limit > step)
         if rest.isEmpty():
             break
         step = step * 4 if step < 20 else 361.0
-    return points.join(found, key).select(*points.columns, F.col("best.t_id").alias("t_id"), F.col("best.t_lat").alias("t_lat"), F.col("best.t_lon").alias("t_lon"))
+    return found.select(*columns, F.col("best.t_id").alias("t_id"), F.col("best.t_lat").alias("t_lat"), F.col("best.t_lon").alias("t_lon"))
 
 
 def distance(lat_a: str, lon_a: str, lat_b: str, lon_b: str) -> Column:
