@@ -502,8 +502,7 @@ def initial_penalties(spark, sf_dir):
 
 @query
 def penalty_histogram(spark, sf_dir):
-    found = routes.class_penalties(_asked(spark, sf_dir), _graph(spark, sf_dir).edges)
-    return found.select("request_id", _d("penalty", 6), "n").groupBy("request_id", "penalty").agg(F.sum("n").alias("n"))
+    return routes.penalty_counts(_asked(spark, sf_dir), _graph(spark, sf_dir).edges, 6)
 
 
 @query

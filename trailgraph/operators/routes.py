@@ -33,6 +33,8 @@ EPSILON = float(np.finfo(np.float32).eps)
 BROADCAST_EDGES = 5_000_000
 #: Tasks of a search for each core.
 TASKS_PER_CORE = 4
+#: Settings of penalties whose counts are broadcast at most.
+FEW_SETTINGS = 1024
 
 _COLUMNS = ["edge_id", "src", "dst", "cost", "length_m", "flags", "scenic_score"]
 
@@ -74,10 +76,25 @@ def class_penalties(requests: DataFrame, edges: DataFrame) -> DataFrame:
     if not classes:
         return requests.sparkSession.createDataFrame([], "request_id long, flags int, scenic_score int, penalty double, n long")
     table = F.from_json(F.lit(json.dumps([r.asDict() for r in classes])), "array<struct<flags:int,scenic_score:int,n:bigint>>")
-    met = requests.select(*_ASKED, F.explode(table).alias("c"))
+    # a request is few bytes and many rows: dealt to all cores, or one task would make them all
+    tasks = TASKS_PER_CORE * requests.sparkSession.sparkContext.defaultParallelism
+    met = requests.select(*_ASKED).repartition(tasks, "request_id").select(*_ASKED, F.explode(table).alias("c"))
     return met.select("request_id", "c.flags", "c.scenic_score", req.initial_penalty(F.col("c.flags"), F.col("c.scenic_score")).alias("penalty"), "c.n")
 
 
+def penalty_counts(requests: DataFrame, edges: DataFrame, places: int) -> DataFrame:
+    """request_id, penalty (rounded) and the number of edges with it, counted once for each setting of penalties that requests have."""
+    setting = _ASKED[1:]
+    numbered = materialise(requests.select(*setting).distinct().withColumn("request_id", F.monotonically_increasing_id()))
+    found = class_penalties(numbered, edges).withColumn("penalty", F.round("penalty", places))
+    counted = found.groupBy(F.col("request_id").alias("_setting"), "penalty").agg(F.sum("n").alias("n"))
+    numbered = numbered.select(F.col("request_id").alias("_setting"), *(F.col(c).alias(f"_{c}") for c in setting))
+    asked = requests.select(*_ASKED).join(numbered, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in setting]).select("request_id", "_setting")
+    if numbered.count() <= FEW_SETTINGS:  # penalties are hundreds at most, so their counts are few rows
+        counted = F.broadcast(counted)
+    return asked.join(counted, "_setting").select("request_id", "penalty", "n")
+
+
 def edge_penalties(requests: DataFrame, edges: DataFrame) -> DataFrame:
     """request_id, edge_id, penalty of every edge for every request: a report.  Searches never use it; they work penalties out inside their own task."""
     own = class_penalties(requests, edges).drop("n")
