@@ -1,12 +1,15 @@
 """Work that few bytes stand for is dealt to all tasks, and helpers that grew faster than their input."""
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from trailgraph import fixture_files
 from trailgraph.catalog import QUERIES
 from trailgraph.fixture import Network
-from trailgraph.operators import fuel, overlay, routes, spatial
+from trailgraph.operators import fuel, overlay, routes, search, spatial
 from trailgraph.operators.ways import Graph
 from trailgraph.plans.profile import load_profile
 from trailgraph.schemas import GRAPH_EDGES, GRAPH_NODES
@@ -82,3 +85,36 @@ def test_files_are_made_by_tasks(spark, monkeypatch):
     extract = fixture_files.write_extract(net)
     assert osm_pbf.read(spark, extract, "way").count() == net.ways().count()
     assert osm_pbf.read(spark, extract, "node").count() == net.nodes().count()
+
+
+def test_requests_of_one_setting_share_rounds_of_fronts(spark, monkeypatch):
+    """One batch of fronts for each setting, however many destinations its requests have."""
+    graph, asked = line(spark)
+    g = routes._arrays(graph.edges.select(*routes._COLUMNS).toPandas())
+    rows = asked.withColumn("to_node", (F.col("request_id") * 7) % 20).withColumnRenamed("lambda", "lambda_").toPandas().sort_values(["vehicle", "to_node", "request_id"])
+    batches, make = [], search.settled
+    monkeypatch.setattr(search, "settled", lambda g, tariff, asked: batches.append(len(asked)) or make(g, tariff, asked))
+    found = list(routes.Searches(g, load_profile()).rows(rows.itertuples(index=False)))
+    assert batches == [10, 10]
+    assert {r[0]: r[5] for r in found} == {i: float(abs(i * 7 % 20 - i)) for i in range(20)}
+
+
+def test_fronts_of_a_batch_are_exact_as_far_as_they_are_needed():
+    pick = random.Random(2)
+    pairs = [(pick.randrange(40), pick.randrange(40)) for _ in range(160)]
+    ids, costs = list(range(160)), [pick.choice([0.0, 1.0, 2.5, 7.0]) for _ in range(160)]
+    zero = [0] * 160
+    g = search.Arrays.of(ids, [a for a, _ in pairs], [b for _, b in pairs], costs, costs, zero, zero, range(42))
+    tariff = search.Tariff(g, np.ones(1))
+    asked = {t: [(t * 3 + i) % 42 for i in range(1 + t % 3)] for t in range(42)}
+    for target, goal in search.settled(g, tariff, asked).items():
+        full = search.Front(g, target, search.Prices(g), backward=True).settle().left
+        assert goal.low == max(full[s] for s in asked[target])
+        assert np.array_equal(np.minimum(goal.left, goal.low), np.minimum(full, goal.low))
+
+
+def test_a_search_ends_at_its_target_though_another_node_costs_nothing_more():
+    zero = [0, 0, 0]
+    g = search.Arrays.of([0, 1, 2], [2, 1, 0], [1, 0, 1], [1.0, 0.0, 0.0], [1.0, 0.0, 0.0], zero, zero)
+    path = search.shortest_path(g, 2, 1)
+    assert path.nodes == [2, 1] and path.edges == [2]
