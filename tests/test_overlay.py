@@ -92,3 +92,24 @@ def test_space_order(spark):
     for r in got:
         lat, lon = ((places[r.i][0] + 900000000) >> 1), ((places[r.i][1] + 1800000000) >> 1)
         assert r.z == sum(((lat >> b) & 1) << (2 * b) | ((lon >> b) & 1) << (2 * b + 1) for b in range(31))
+
+
+def test_costs_from_one_node_over_cells(spark, cell_nodes=20):
+    graph, island = town(spark)
+    for source in (40, island):
+        want = {r.node_id: r.cost for r in routes.single_source(graph, source).collect()}
+        got = {r.node_id: r.cost for r in routes.single_source(graph, source, 0, cell_nodes).collect()}
+        assert got == pytest.approx(want) and len(got) == len(want) and (len(got) > 70 or source == island)
+    assert [tuple(r) for r in routes.single_source(graph, 999, 0, cell_nodes).collect()] == [(999, 0.0)]
+
+
+def test_rounds_from_one_node_are_not_its_hops(spark, monkeypatch):
+    """A row of 120 nodes in three cells: a few rounds, not one for each hop."""
+    nodes = [(i, 470000000, -1160000000 + i * 10000) for i in range(120)]
+    rows = [(2 * i + d, i + d, i + 1 - d, 1.0, 100.0, 0, 0, []) for i in range(119) for d in (0, 1)]
+    graph = Graph(spark.createDataFrame(nodes, GRAPH_NODES), spark.createDataFrame(rows, GRAPH_EDGES))
+    made = []
+    for module in (overlay, routes):
+        monkeypatch.setattr(module, "materialise", lambda df, cut=module.materialise: made.append(1) or cut(df))
+    got = {r.node_id: r.cost for r in routes.single_source(graph, 0, 0, 40).collect()}
+    assert got == {i: float(i) for i in range(120)} and len(made) < 20
