@@ -33,7 +33,7 @@ Shingles are 64-bit hashes.  Defined cases
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -399,8 +399,13 @@ def _answered(measure: Measure, pairs: DataFrame, followed: DataFrame, docs: Dat
     return rows.repartition("ga", "gb").sortWithinPartitions("ga", "gb", "asks").mapInArrow(lambda batches: answers(measure, batches), "a long, b long")
 
 
-def groups(measure: Measure, docs: DataFrame, sets: DataFrame, order: Broadcast) -> DataFrame:
-    """(a, b) for each of the different sets a but the least b of its component."""
+def groups(measure: Measure, docs: DataFrame, sets: DataFrame, order: Broadcast, hints: DataFrame | None = None) -> DataFrame:
+    """(a, b) for each of the different sets a but the least b of its component.
+
+    ``hints`` are pairs (a, b) of different sets that may be similar: they are
+    held to the measure like a set and its guide, and where they are, the sets
+    are joined before the index is asked.
+    """
     listed = cut(_listed(measure, _entries(measure, sets, order)))
     over = _listed(measure, listed.where("part > 0 AND s0 IS NULL").withColumn("part", F.lit(0)))
     led = cut_few(listed.unionByName(over).where("s0 IS NOT NULL").groupBy(F.col("s").alias("a"), F.col("s0").alias("b")).agg(F.count(F.lit(1)).alias("lists")))
@@ -408,6 +413,8 @@ def groups(measure: Measure, docs: DataFrame, sets: DataFrame, order: Broadcast)
     if not measure.all_guides:  # the one of most lists; what this leaves apart is met below
         best = F.max(F.struct("lists", (-F.col("b")).alias("b"))).alias("best")
         direct = direct.join(led, ["a", "b"]).groupBy("a").agg(best).select("a", (-F.col("best.b")).alias("b"))
+    if hints is not None:
+        direct = direct.unionByName(_possible(measure, hints, sets).select("a", "b")).distinct()
     direct = cut_few(direct)
     tried = led if measure.all_guides else direct
     followed = cut(_followed(measure, direct, docs, sets))
@@ -420,14 +427,18 @@ def groups(measure: Measure, docs: DataFrame, sets: DataFrame, order: Broadcast)
     return stars(near.unionByName(_answered(measure, rest, followed, docs, sets)))
 
 
-def components_of(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, _k, name, n), and the name and component g of each different set that is not empty."""
+def components_of(docs: DataFrame, measure: Measure, hinted: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, _k, name, n), and the name and component g of each different set that is not empty.
+
+    ``hinted`` makes the hints of ``groups`` from the documents (doc_id, text,
+    _k) and the different sets with the row k that each is read from.
+    """
     small_batches(docs.sparkSession)
     named = docs.select("doc_id", "text", row_key().alias("_k"))
     order = docs.sparkSession.sparkContext.broadcast(_frequent(measure, named))  # FREQUENT entries at most
     rows = cut(sets_of(measure, named, order))
     sets = distinct_sets(rows)
-    star = groups(measure, named, sets, order).select(F.col("a").alias("s"), F.col("b").alias("g"))
+    star = groups(measure, named, sets, order, hinted(named, sets) if hinted else None).select(F.col("a").alias("s"), F.col("b").alias("g"))
     return rows.select("doc_id", "_k", "name", "n"), sets.select("name", "s").join(star, "s", "left").select("name", F.coalesce("g", "s").alias("g"))
 
 
