@@ -118,3 +118,19 @@ def test_a_search_ends_at_its_target_though_another_node_costs_nothing_more():
     g = search.Arrays.of([0, 1, 2], [2, 1, 0], [1, 0, 1], [1.0, 0.0, 0.0], [1.0, 0.0, 0.0], zero, zero)
     path = search.shortest_path(g, 2, 1)
     assert path.nodes == [2, 1] and path.edges == [2]
+
+
+def test_a_step_of_a_route_does_not_carry_the_whole_route(spark):
+    """What route_path deals by edge is a row for each step; with the route's nodes in it that grew with the square of a route's length."""
+
+    def joins(plan):
+        children = [plan.children().apply(i) for i in range(plan.children().size())]
+        if plan.nodeName() == "Join":
+            yield from (child.schema().simpleString() for child in children)
+        for child in children:
+            yield from joins(child)
+
+    found = QUERIES["route_path"](spark, SMALL)
+    dealt = list(joins(found._jdf.queryExecution().optimizedPlan()))
+    assert any("edge_id" in schema for schema in dealt)
+    assert not any("array" in schema for schema in dealt)

@@ -640,12 +640,16 @@ def route_cost_cells(spark, sf_dir):
 @query
 def route_path(spark, sf_dir):
     """Ends and cost of the same routes, worked out from the path: whether its edges lead from node to node, and what they cost."""
-    steps = _plain(spark, sf_dir).select("request_id", "nodes", F.posexplode_outer("edges").alias("pos", "edge_id"))
+    found = _plain(spark, sf_dir)
+    # a step carries its own two nodes, not its route's whole list of them
+    n = F.size("edges")
+    zipped = F.arrays_zip(F.col("edges").alias("edge_id"), F.slice("nodes", 1, n).alias("a"), F.slice("nodes", 2, n).alias("b"))
+    steps = found.select("request_id", F.explode(zipped).alias("s")).select("request_id", "s.*")
     edges = _graph(spark, sf_dir).edges.select("edge_id", "src", "dst", F.col("cost").cast("double").alias("step"))
-    joined = steps.join(edges, "edge_id", "left")
-    fits = F.col("edge_id").isNull() | ((F.col("src") == F.get("nodes", F.col("pos"))) & (F.col("dst") == F.get("nodes", F.col("pos") + 1)))
-    ends = (F.first(F.element_at("nodes", i)).alias(name) for i, name in ((1, "first_node"), (-1, "last_node")))
-    return joined.groupBy("request_id").agg(*ends, F.round(F.coalesce(F.sum("step"), F.lit(0.0)), 2).alias("cost"), F.bool_and(F.coalesce(fits, F.lit(False))).alias("connected"))
+    fits = F.coalesce((F.col("src") == F.col("a")) & (F.col("dst") == F.col("b")), F.lit(False))
+    total = steps.join(edges, "edge_id", "left").groupBy("request_id").agg(F.sum("step").alias("cost"), F.bool_and(fits).alias("connected"))
+    ends = found.select("request_id", F.element_at("nodes", 1).alias("first_node"), F.element_at("nodes", -1).alias("last_node"))
+    return ends.join(total, "request_id", "left").select("request_id", "first_node", "last_node", F.round(F.coalesce("cost", F.lit(0.0)), 2).alias("cost"), F.coalesce("connected", F.lit(True)).alias("connected"))
 
 
 @query
