@@ -94,3 +94,13 @@ def test_entry_without_training_data_parts(monkeypatch):
     entry = importlib.reload(importlib.import_module("__spark_entry__"))
     assert set(entry.queries()) == set(catalog.QUERIES)
     assert set(entry.oracle_sql()) == set(SQL)
+
+
+def test_first_costs_and_errors_look_for_no_alternatives(spark, monkeypatch):
+    """Costs of first routes and requests without any are those of the whole plan, and take no search for later routes."""
+    planned = catalog._planned(spark, SMALL)
+    want = [canonical(planned[0].where("found = 0").select("request_id", catalog._d("cost", 2)).toPandas()), canonical(planned[1].toPandas())]
+    monkeypatch.setattr(catalog, "_prepared", {k: v for k, v in catalog._prepared.items() if k[2] in ("graph", "contracted")})
+    found = catalog.QUERIES["first_route_cost"](spark, SMALL)
+    assert [canonical(found.toPandas()), canonical(catalog.QUERIES["route_errors"](spark, SMALL).toPandas())] == want
+    assert not any(k[2] == "planned" for k in catalog._prepared)
